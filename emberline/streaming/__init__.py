@@ -1,0 +1 @@
+"""Empty on purpose: the workload is batch only, so there is no streaming operator to offer."""
