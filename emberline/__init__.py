@@ -1 +1,23 @@
-"""Emberline."""
+"""Emberline: satellite fire detections to labelled training tables, as Spark DataFrame operators."""
+
+from emberline.plans.pipeline import (
+    audit,
+    build_environment,
+    clean_cover,
+    feature_join,
+    fetch_fires,
+    label_union,
+    merge_features,
+    profile,
+)
+
+__all__ = [
+    "audit",
+    "build_environment",
+    "clean_cover",
+    "feature_join",
+    "fetch_fires",
+    "label_union",
+    "merge_features",
+    "profile",
+]

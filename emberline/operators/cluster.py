@@ -179,13 +179,9 @@ def linked_cells(points: DataFrame, eps_km: float) -> DataFrame:
     return links
 
 
-def _mixed(c: Column, times: int) -> Column:
-    """A bijective scramble of 64-bit keys: a fresh random order of the nodes for every round."""
-    for _ in range(times):
-        c = c.bitwiseXOR(F.shiftleft(c, 13))
-        c = c.bitwiseXOR(F.shiftrightunsigned(c, 7))
-        c = c.bitwiseXOR(F.shiftleft(c, 17))
-    return c
+def _draw(c: Column, seed: int) -> Column:
+    """A random order of the nodes, new for every round. Equal draws do no harm: any neighbour is valid."""
+    return F.xxhash64(c, F.lit(seed))
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -199,11 +195,11 @@ def contract(edges: DataFrame) -> DataFrame:
     graph = settle(both.union(both.select("v", "u")).distinct(), "graph")
     steps = []
     while (n_edges := graph.count()) > 0:
-        order = len(steps) % 5 + 2
+        seed = len(steps)
         best = graph.groupBy("u").agg(
-            F.min_by("v", _mixed(F.col("v"), order)).alias("v"), F.count(F.lit(1)).alias("_rows")
+            F.min_by("v", _draw(F.col("v"), seed)).alias("v"), F.count(F.lit(1)).alias("_rows")
         )
-        mine = _mixed(F.col("u"), order) < _mixed(F.col("v"), order)
+        mine = _draw(F.col("u"), seed) < _draw(F.col("v"), seed)
         step = settle(best.select("u", F.when(mine, F.col("u")).otherwise(F.col("v")).alias("to"), "_rows"), "step")
         n_nodes = step.count()
         steps.append((step, n_nodes))

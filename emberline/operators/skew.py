@@ -37,21 +37,23 @@ def lookup(
     how: str = "left",
     right_rows: int | None = None,
     counts: tuple[DataFrame, int, int] | None = None,
+    weight: int = 1,
 ) -> DataFrame:
     """Join to a table with one row per key. ``how`` is ``left`` or ``inner``.
 
-    ``right_rows`` is the known size of ``right``, ``counts`` the known ``key_counts`` of ``left``.
+    ``right_rows`` is the known size of ``right``, ``counts`` the known ``key_counts`` of ``left``, ``weight``
+    the size of a right row in ordinary rows.
     A right side of few rows is broadcast. Otherwise only the keys that ``left`` really uses are fetched;
     if these are few they are broadcast, else the rows of hot keys (and of NULL keys, which match nothing)
     get their answers from a broadcast of fewer than 256 rows and stay where they are, and the rest is
     shuffled.
     """
     keys = list(keys)
-    if right_rows is not None and right_rows <= BROADCAST_ROWS:
+    if right_rows is not None and right_rows * weight <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
     counts, n_keys, n_rows = counts or key_counts(left, keys)
     used = counts.select(*keys, "_rows").join(right, keys, "inner")
-    if n_keys <= BROADCAST_ROWS:
+    if n_keys * weight <= BROADCAST_ROWS:
         return left.join(F.broadcast(used.drop("_rows")), keys, how)
     is_hot = F.col("_rows") > n_rows / HOT_SHARE
     hot_keys = counts.where(is_hot).select(*keys, F.lit(True).alias("_hot"))

@@ -1,0 +1,118 @@
+"""The entry points: whole jobs composed of the operators."""
+
+from collections.abc import Sequence
+from datetime import date
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emberline.functions.dates import day_prefix
+from emberline.functions.geo import RasterMeta
+from emberline.operators import clean, enrich, events, quality, synth
+from emberline.operators.lineage import settle
+from emberline.operators.skew import skew_join
+
+KEY = ("lat", "lon", "date")
+FIRE_NAMES = {"lat": "lat_mean", "lon": "lon_mean", "date": "date_first"}
+
+
+def fetch_fires(
+    hotspots: DataFrame,
+    start: date | str | None = None,
+    end: date | str | None = None,
+    dist_km: float = 5.0,
+    gap_days: int = 6,
+    res_m: float = 375.0,
+) -> DataFrame:
+    """Raw detections to fire events, largest first; empty if nothing is left in the date range."""
+    usable = clean.date_range(clean.clean_hotspots(hotspots), start, end)
+    return events.largest_first(events.separate_fire_events(usable, dist_km, gap_days).fires(res_m))
+
+
+def label_union(fires: DataFrame, non_fires: DataFrame) -> DataFrame:
+    """Fires (``final`` 1) and non-fires (0) in one table; columns only one side has are NULL on the other."""
+    for old, new in FIRE_NAMES.items():
+        if old in non_fires.columns:
+            non_fires = non_fires.withColumnRenamed(old, new)
+    return fires.withColumn("final", F.lit(1)).unionByName(
+        non_fires.withColumn("final", F.lit(0)), allowMissingColumns=True
+    )
+
+
+def build_environment(
+    hotspots: DataFrame,
+    edges: DataFrame,
+    cover: DataFrame,
+    legend: DataFrame,
+    weather_daily: DataFrame,
+    scenes: DataFrame,
+    clouds: DataFrame,
+    dem: DataFrame,
+    meta: RasterMeta,
+    limit: int | None = 100,
+    start: date | str | None = None,
+    end: date | str | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """Fires and synthetic non-fires with land cover, weather, vegetation and terrain.
+
+    The limit (-1 for none) takes fires before non-fires, the largest first, before anything is looked up.
+    """
+    fires = settle(fetch_fires(hotspots, start, end), "fires")
+    if fires.isEmpty():
+        raise ValueError("no fires in the chosen range")
+    others = synth.synthetic_points(fires, edges, cover, meta, seed).drop("region", "source")
+    merged = label_union(fires.withColumn("point_id", F.concat_ws(":", F.lit("fire"), "fire_id")), others)
+    chosen = clean.head(merged, limit, F.desc("final"), F.desc_nulls_last("count"), "point_id")
+    at = chosen.withColumns({new: F.col(old) for new, old in FIRE_NAMES.items()})
+    points = settle(at, "points")
+    points = enrich.add_weather(points, weather_daily, meta)
+    points = enrich.add_veg_index(points, scenes, clouds, meta)
+    points = enrich.add_terrain(points, dem, meta)
+    points = enrich.add_land_cover(points, cover, legend, meta)
+    return points.select("vegetacion2", *[c for c in points.columns if c != "vegetacion2"])
+
+
+def merge_features(tables: Sequence[DataFrame]) -> DataFrame:
+    """Left-join feature tables to the first one on (lat, lon, date), dates brought to whole days."""
+    if len(tables) < 2:
+        raise ValueError("at least two tables are needed")
+    daily = [quality.normalise_date(t) for t in tables]
+    return reduce(lambda a, b: skew_join(a, b, KEY, "left"), daily)
+
+
+def feature_join(labels: DataFrame, feature: DataFrame) -> DataFrame:
+    """``lat, lon, date, final`` of the labelled points with one feature table, matching rows only."""
+    for old, new in FIRE_NAMES.items():
+        if new in labels.columns:
+            labels = labels.drop(old).withColumnRenamed(new, old)
+    by_day = lambda df: df.withColumn(
+        "date", day_prefix(F.col("date")) if dict(df.dtypes)["date"] == "string" else F.to_date("date")
+    )
+    return skew_join(by_day(labels.select(*KEY, "final")), by_day(feature), KEY, "inner")
+
+
+def audit(labels: DataFrame, features: dict[str, DataFrame]) -> DataFrame:
+    """Nulls per feature table, class and column."""
+    parts = [
+        quality.null_audit(feature_join(labels, df)).select(F.lit(name).alias("feature"), "*")
+        for name, df in features.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def clean_cover(df: DataFrame, legend: DataFrame) -> DataFrame:
+    """Without points of unknown, water or urban land cover."""
+    return quality.drop_water_urban(quality.drop_unusable_cover(df), legend)
+
+
+def profile(df: DataFrame, preview: int = 10, order: Sequence[str] = KEY) -> dict[str, DataFrame]:
+    """First rows, completeness, numeric statistics, value shares and distinct counts of a final table."""
+    return {
+        "head": clean.head(df, preview, *order),
+        "completeness": quality.completeness(df),
+        "describe": quality.describe(df),
+        "value_shares": quality.value_shares(df),
+        "n_unique": quality.n_unique(df),
+    }
