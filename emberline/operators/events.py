@@ -4,7 +4,6 @@ Everything an event needs is first added up per (cell, day, rounded longitude),
 a third of all detections is then just a few thousand tiles: days and the 0.01 degree grid bound their number.
 """
 
-import math
 from dataclasses import dataclass
 from datetime import date
 
@@ -12,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.functions.geo import buffered_area, to_6933
 from emberline.functions.rounding import grid_units, np_round, py_round
@@ -76,34 +76,38 @@ def chained_id(days: DataFrame) -> DataFrame:
     return days.withColumn("fire_id", F.concat_ws("_", F.col("label").cast("string"), opened))
 
 
-@F.pandas_udf("area double, perimeter double")
+_HULL = T.StructType([T.StructField("area", T.DoubleType()), T.StructField("perimeter", T.DoubleType())])
+
+
+def _chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """One side of the convex hull of points sorted along x."""
+    out: list[tuple[float, float]] = []
+    for x, y in points:
+        while len(out) > 1:
+            (ax, ay), (bx, by) = out[-2], out[-1]
+            if (bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0:
+                break
+            out.pop()
+        out.append((x, y))
+    return out
+
+
+def hull_measure(points: set[tuple[float, float]]) -> tuple[float, float]:
+    """Area and perimeter of the convex hull; a segment counts there and back, a point not at all."""
+    order = sorted(points)
+    if len(order) < 2:
+        return 0.0, 0.0
+    ring = _chain(order)[:-1] + _chain(order[::-1])[:-1]
+    x, y = (np.array(c) for c in zip(*ring))
+    x, y = x - x[0], y - y[0]
+    nx, ny = np.roll(x, -1), np.roll(y, -1)
+    return float(abs(np.sum(x * ny - nx * y)) / 2), float(np.sum(np.hypot(nx - x, ny - y)))
+
+
+@F.pandas_udf(_HULL)
 def _hull(xs: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
-    """Convex hull of points given as lowest and highest y per x."""
-
-    def chain(points):
-        out = []
-        for p in points:
-            while len(out) > 1 and (
-                (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0
-            ):
-                out.pop()
-            out.append(p)
-        return out
-
-    def measure(x, lo, hi):
-        order = np.argsort(x)
-        x, lo, hi = x[order].tolist(), lo[order].tolist(), hi[order].tolist()
-        ends = [(x[0], hi[0])] if hi[0] != lo[0] else []
-        lower = chain(list(zip(x, lo)) + ([(x[-1], hi[-1])] if hi[-1] != lo[-1] else []))
-        upper = chain(list(zip(x, hi))[::-1] + [(x[0], lo[0])])
-        ring = lower[:-1] + upper[:-1] if ends or len(x) > 1 or lo[0] != hi[0] else lower
-        area = length = 0.0
-        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
-            area += (x1 - ring[0][0]) * (y2 - ring[0][1]) - (x2 - ring[0][0]) * (y1 - ring[0][1])
-            length += math.hypot(x2 - x1, y2 - y1)
-        return abs(area) / 2, length
-
-    rows = [measure(np.asarray(x), np.asarray(lo), np.asarray(hi)) for x, lo, hi in zip(xs, lows, highs)]
+    """Hulls of fires given as lowest and highest y per x."""
+    rows = [hull_measure({*zip(x, lo), *zip(x, hi)}) for x, lo, hi in zip(xs, lows, highs)]
     return pd.DataFrame(rows, columns=["area", "perimeter"])
 
 
@@ -120,7 +124,8 @@ def _with_area(fires: DataFrame, res_m: float) -> DataFrame:
     return fires.withColumn("hull", hull).withColumn("area_ha", py_round(square_metres / 10000)).drop("hull", "slices")
 
 
-_SLICES = F.collect_list(F.struct("lon_u", "lat_lo", "lat_hi"))
+def _slices() -> Column:
+    return F.collect_list(F.struct("lon_u", "lat_lo", "lat_hi")).alias("slices")
 
 
 def fire_area(points: DataFrame, res_m: float = 1000.0) -> DataFrame:
@@ -135,7 +140,7 @@ def fire_area(points: DataFrame, res_m: float = 1000.0) -> DataFrame:
         .groupBy("fire_id", "lon_u")
         .agg(F.min("_lat").alias("lat_lo"), F.max("_lat").alias("lat_hi"), F.count(F.lit(1)).alias("n"))
     )
-    fires = per_lon.groupBy("fire_id").agg(F.sum("n").alias("count"), _SLICES.alias("slices"))
+    fires = per_lon.groupBy("fire_id").agg(F.sum("n").alias("count"), _slices())
     return _with_area(fires, res_m).select("fire_id", "area_ha")
 
 
@@ -163,7 +168,7 @@ def _summary(per_lon: DataFrame) -> DataFrame:
         F.sum("n").alias("count"),
         F.min("date_lo").alias("date_first"),
         F.max("date_hi").alias("date_last"),
-        _SLICES.alias("slices"),
+        _slices(),
     )
 
 

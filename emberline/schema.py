@@ -1,18 +1,32 @@
 """Explicit schemas at the boundaries."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
-HOTSPOT = StructType.fromDDL(
+_KINDS = {"LONG": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "DATE": T.DateType()}
+
+
+def _struct(text: str) -> T.StructType:
+    """``name KIND, ...`` as a schema; unlike ``fromDDL`` it needs no running session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (part.split() for part in text.split(","))])
+
+
+HOTSPOT = _struct(
     "ord LONG, latitude DOUBLE, longitude DOUBLE, acq_date DATE, confidence STRING, frp DOUBLE"
 )
-FIRE_EVENT = StructType.fromDDL(
+FIRE_EVENT = _struct(
     "fire_id STRING, lat_mean DOUBLE, lon_mean DOUBLE, frp_sum DOUBLE, frp_mean DOUBLE, count LONG, "
     "date_first DATE, date_last DATE, duration_days INT, area_ha DOUBLE"
 )
-SYNTHETIC_POINT = StructType.fromDDL("point_id STRING, region STRING, source STRING, lat DOUBLE, lon DOUBLE, date DATE")
-COVER_LEGEND = StructType.fromDDL("code INT, label STRING")
-RINGS = StructType.fromDDL("region STRING, part INT, ring ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>")
-RASTER_CELL = StructType.fromDDL("row INT, col INT, value DOUBLE")
+SYNTHETIC_POINT = _struct("point_id STRING, region STRING, source STRING, lat DOUBLE, lon DOUBLE, date DATE")
+COVER_LEGEND = _struct("code INT, label STRING")
+RINGS = T.StructType(
+    [
+        T.StructField("region", T.StringType()),
+        T.StructField("part", T.IntegerType()),
+        T.StructField("ring", T.ArrayType(_struct("x DOUBLE, y DOUBLE"))),
+    ]
+)
+RASTER_CELL = _struct("row INT, col INT, value DOUBLE")
 
 WEATHER_COLUMNS = (
     "temp_mean",
@@ -28,8 +42,8 @@ WEATHER_COLUMNS = (
     "evapotranspiration",
     "sunshine_seconds",
 )
-WEATHER_DAILY = StructType.fromDDL(
+WEATHER_DAILY = _struct(
     "row INT, col INT, date DATE, " + ", ".join(f"{c} DOUBLE" for c in WEATHER_COLUMNS)
 )
-S2_SCENE = StructType.fromDDL("scene_id LONG, row INT, col INT, obs_date DATE, b3 DOUBLE, b4 DOUBLE, b8 DOUBLE")
-S2_CLOUD = StructType.fromDDL("scene_id LONG, cs_cdf DOUBLE")
+S2_SCENE = _struct("scene_id LONG, row INT, col INT, obs_date DATE, b3 DOUBLE, b4 DOUBLE, b8 DOUBLE")
+S2_CLOUD = _struct("scene_id LONG, cs_cdf DOUBLE")
