@@ -9,6 +9,7 @@ undecided pairs are cut into sub-cells (a quarter of the side each time) until e
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,22 +138,16 @@ def _refine(points: DataFrame, undecided: DataFrame, eps_km: float) -> list[Data
     found = []
     zero = F.lit(0).cast("long")
     rest = undecided.select("a_cell", "b_cell", zero.alias("a_sub"), zero.alias("b_sub"))
-    n = undecided.count()
     level = 0
-    while n > 0:
+    while (n := rest.count()) > 0:
         level += 1
         involved = rest.select(F.col("a_cell").alias("cell")).union(rest.select("b_cell")).distinct()
-        if 2 * n <= BROADCAST_ROWS:
-            source = points.join(F.broadcast(involved), "cell", "left_semi")
-        else:
-            source = points
+        few = 2 * n <= BROADCAST_ROWS
+        source = points.join(F.broadcast(involved), "cell", "left_semi") if few else points
         parts = _extent(
             source.withColumn("sub", _sub_cell(eps_km, level - 1)).withColumn("part", _sub_cell(eps_km, level)),
             ["cell", "sub", "part"],
         )
-        if 2 * n > BROADCAST_ROWS:
-            parts = parts.join(involved, "cell", "left_semi")
-        parts = settle(parts, "sub-cells")
         pairs = rest.join(_side_of(parts, "a", ["cell", "sub", "part"]), ["a_cell", "a_sub"]).join(
             _side_of(parts, "b", ["cell", "sub", "part"]), ["b_cell", "b_sub"]
         )
@@ -164,8 +159,7 @@ def _refine(points: DataFrame, undecided: DataFrame, eps_km: float) -> list[Data
         )
         linked = judged.where("linked").select("a_cell", "b_cell").distinct()
         found.append(linked)
-        rest = settle(judged.where("NOT linked").drop("linked").join(linked, ["a_cell", "b_cell"], "left_anti"), "open")
-        n = rest.count()
+        rest = judged.where("NOT linked").drop("linked").join(linked, ["a_cell", "b_cell"], "left_anti")
     return found
 
 
@@ -174,9 +168,7 @@ def linked_cells(points: DataFrame, eps_km: float) -> DataFrame:
     cells = settle(_extent(points, ["cell"]), "cells")
     judged = settle(_candidates(cells, eps_km), "cell-pairs")
     links = judged.where("linked").select("a_cell", "b_cell")
-    for more in _refine(points, judged.where("open"), eps_km):
-        links = links.union(more)
-    return links
+    return _union([links, *_refine(points, judged.where("open"), eps_km)])
 
 
 def _draw(c: Column, seed: int) -> Column:
@@ -184,24 +176,24 @@ def _draw(c: Column, seed: int) -> Column:
     return F.xxhash64(c, F.lit(seed))
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b): ``node, root`` for every node that has an edge.
+def contract(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Connected components of ``edges`` (a, b): ``node, root`` for every node that has an edge, and their number.
 
     Each round every node joins its smallest neighbour in a fresh random order, and the graph between the
     joined nodes replaces it: it shrinks by a constant factor, chains and hubs alike. The renaming of the
     last round is then carried back through the earlier ones.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
-    graph = settle(both.union(both.select("v", "u")).distinct(), "graph")
+    graph = both.union(both.select("v", "u"))
     steps = []
-    while (n_edges := graph.count()) > 0:
+    while not graph.isEmpty():
         seed = len(steps)
         best = graph.groupBy("u").agg(
             F.min_by("v", _draw(F.col("v"), seed)).alias("v"), F.count(F.lit(1)).alias("_rows")
         )
         mine = _draw(F.col("u"), seed) < _draw(F.col("v"), seed)
         step = settle(best.select("u", F.when(mine, F.col("u")).otherwise(F.col("v")).alias("to"), "_rows"), "step")
-        n_nodes = step.count()
+        n_nodes, n_edges = step.agg(F.count(F.lit(1)), F.sum("_rows")).first()
         steps.append((step, n_nodes))
         moved = graph
         for end in "uv":
@@ -212,7 +204,7 @@ def contract(edges: DataFrame) -> DataFrame:
             moved.where("to_u <> to_v").select(F.col("to_u").alias("u"), F.col("to_v").alias("v")).distinct(), "graph"
         )
     if not steps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), 0
     root, n_root = steps[-1][0].select(F.col("u").alias("node"), F.col("to").alias("root")), steps[-1][1]
     for step, n_nodes in reversed(steps[:-1]):
         later = root.withColumnRenamed("node", "to")
@@ -220,37 +212,45 @@ def contract(edges: DataFrame) -> DataFrame:
             "node", F.coalesce("root", "to").alias("root")
         )
         n_root = n_nodes
-    return settle(root, "roots")
+    return root, n_root
 
 
-def components(points: DataFrame, eps_km: float) -> DataFrame:
+def _rooted(df: DataFrame, key: str, roots: tuple[DataFrame, int], out: str) -> DataFrame:
+    """Add the root of ``key``, which is the key itself for nodes without edges."""
+    named = roots[0].select(F.col("node").alias(key), F.col("root").alias("_root"))
+    return lookup(df, named, [key], right_rows=roots[1]).withColumn(out, F.coalesce("_root", key)).drop("_root")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
+def components(points: DataFrame, eps_km: float, open_limit: int = BROADCAST_ROWS) -> DataFrame:
     """``cell, component`` of every occupied cell. ``points`` has ``cell, lat, lon`` and should be settled.
 
-    Sure links are contracted first; open pairs whose cells already belong together need no decision, which
-    in dense areas is nearly all of them. What is left is refined and contracted on top.
+    With more than ``open_limit`` open pairs the sure links are contracted first: open pairs whose cells
+    already belong together, in dense areas nearly all of them, then need no decision. What is left is
+    refined and contracted on top.
     """
     cells = settle(_extent(points, ["cell"]), "cells")
     judged = settle(_candidates(cells, eps_km), "cell-pairs")
-    sure = contract(judged.where("linked").select(F.col("a_cell").alias("a"), F.col("b_cell").alias("b")))
-    n_sure = sure.count()
-
-    def rooted(df: DataFrame, key: str, roots: DataFrame, n_roots: int, out: str) -> DataFrame:
-        named = roots.select(F.col("node").alias(key), F.col("root").alias("_root"))
-        return lookup(df, named, [key], right_rows=n_roots).withColumn(out, F.coalesce("_root", key)).drop("_root")
-
-    unsure = rooted(judged.where("open").select("a_cell", "b_cell"), "a_cell", sure, n_sure, "a")
-    unsure = settle(rooted(unsure, "b_cell", sure, n_sure, "b").where("a <> b"), "unsure")
-    labels = rooted(cells.select("cell"), "cell", sure, n_sure, "component")
+    sure = judged.where("linked").select("a_cell", "b_cell")
+    unsure = judged.where("open").select("a_cell", "b_cell")
+    ends = [F.col("a_cell").alias("a"), F.col("b_cell").alias("b")]
+    if unsure.count() <= open_limit:
+        links = _union([sure, *_refine(points, unsure, eps_km)])
+        return _rooted(cells.select("cell"), "cell", contract(links.select(*ends)), "component")
+
+    early = contract(sure.select(*ends))
+    early = settle(early[0], "roots"), early[1]
+    unsure = _rooted(_rooted(unsure, "a_cell", early, "a"), "b_cell", early, "b").where("a <> b")
+    unsure = settle(unsure, "unsure")
+    labels = _rooted(cells.select("cell"), "cell", early, "_early")
     found = _refine(points, unsure.select("a_cell", "b_cell"), eps_km)
-    if found:
-        links = found[0]
-        for more in found[1:]:
-            links = links.union(more)
-        late = contract(unsure.join(links, ["a_cell", "b_cell"], "left_semi").select("a", "b").distinct())
-        labels = rooted(labels, "component", late, late.count(), "_final").select(
-            "cell", F.col("_final").alias("component")
-        )
-    return settle(labels, "components")
+    if not found:
+        return labels.withColumnRenamed("_early", "component")
+    late = contract(unsure.join(_union(found), ["a_cell", "b_cell"], "left_semi").select("a", "b"))
+    return _rooted(labels, "_early", late, "component").drop("_early")
 
 
 def label(first: DataFrame) -> DataFrame:

@@ -226,14 +226,12 @@ def separate_fire_events(
     """Cluster cleaned detections in space and split the clusters in time."""
     points = settle(cluster.with_cell(clean, dist_km), "points")
     components = cluster.components(points, dist_km)
-    cell_tiles = settle(tiles(points, ["cell", "date"]), "tiles")
+    cell_tiles = tiles(points, ["cell", "date"])
     part_tiles = settle(merge_tiles(cell_tiles.join(components, "cell"), ["component", "date"]), "component-tiles")
     days = part_tiles.groupBy("component", "date").agg(F.min("first_ord").alias("first_ord"))
     first = settle(days.groupBy("component").agg(F.min("first_ord").alias("first_ord")), "first")
     numbered = cluster.label(first).select("component", "label")
-    days = settle(
-        chained_id(split_by_gap(days, max_gap_days, seed_date).join(numbered, "component")), "fire-days"
-    )
+    days = chained_id(split_by_gap(days, max_gap_days, seed_date).join(numbered, "component"))
     named = part_tiles.join(days.select("component", "date", "seq", "fire_id"), ["component", "date"])
     return FireSplit(points, cell_tiles, components, days, named)
 
