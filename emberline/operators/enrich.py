@@ -15,10 +15,23 @@ WINDOW_DAYS = 30
 CLEAR_SKY = 0.5
 
 
-def add_weather(points: DataFrame, weather_daily: DataFrame, meta: RasterMeta) -> DataFrame:
+Counts = tuple[DataFrame, int, int]
+
+
+def cell_days(points: DataFrame, meta: RasterMeta) -> Counts:
+    """Points per (cell, day), to be worked out once where several enrichments follow each other."""
+    return key_counts(raster.with_pixel(points, meta), CELL_DAY)
+
+
+def cells(points: DataFrame, meta: RasterMeta) -> Counts:
+    """Points per cell."""
+    return key_counts(raster.with_pixel(points, meta), raster.PIXEL)
+
+
+def add_weather(points: DataFrame, weather_daily: DataFrame, meta: RasterMeta, counts: Counts | None = None) -> DataFrame:
     """The twelve daily variables of the point's cell and day; all NULL if there are none."""
     at = raster.with_pixel(points, meta)
-    return lookup(at, weather_daily.select(*CELL_DAY, *WEATHER_COLUMNS), CELL_DAY).drop("row", "col")
+    return lookup(at, weather_daily.select(*CELL_DAY, *WEATHER_COLUMNS), CELL_DAY, counts=counts).drop("row", "col")
 
 
 def add_veg_index(
@@ -28,6 +41,7 @@ def add_veg_index(
     meta: RasterMeta,
     window_days: int = WINDOW_DAYS,
     clear_sky: float = CLEAR_SKY,
+    counts: Counts | None = None,
 ) -> DataFrame:
     """Median NDVI and NDWI of the clear scenes in the ``window_days`` before the point's day (day excluded).
 
@@ -35,7 +49,7 @@ def add_veg_index(
     by equality; the answer per (cell, scene day) is an array of at most ``window_days`` days.
     """
     at = raster.with_pixel(points, meta)
-    counts = key_counts(at, CELL_DAY)
+    counts = counts or key_counts(at, CELL_DAY)
     need, n_need = counts[0].select(*CELL_DAY).where(F.col("date").isNotNull()), counts[1]
     wanted = (
         need.withColumn("obs_date", F.explode(F.transform(F.sequence(F.lit(1), F.lit(window_days)), lambda k: F.date_sub("date", k))))
@@ -65,9 +79,9 @@ def slope_percent(degrees: Column) -> Column:
     return F.coalesce(F.tan(F.radians(degrees)) * 100, F.lit(0.0))
 
 
-def add_terrain(points: DataFrame, dem: DataFrame, meta: RasterMeta) -> DataFrame:
+def add_terrain(points: DataFrame, dem: DataFrame, meta: RasterMeta, counts: Counts | None = None) -> DataFrame:
     at = raster.with_pixel(points, meta)
-    counts = key_counts(at, raster.PIXEL)
+    counts = counts or key_counts(at, raster.PIXEL)
     terrain = raster.slope_from_dem(counts[0], dem, meta).select(
         *raster.PIXEL, F.col("elevation").alias("elevacion_centro"), F.col("slope_deg").alias("grados")
     )
@@ -78,8 +92,10 @@ def add_terrain(points: DataFrame, dem: DataFrame, meta: RasterMeta) -> DataFram
     )
 
 
-def add_land_cover(points: DataFrame, cover: DataFrame, legend: DataFrame, meta: RasterMeta) -> DataFrame:
-    coded = raster.sample_filled(points, cover, meta, "_code")
+def add_land_cover(
+    points: DataFrame, cover: DataFrame, legend: DataFrame, meta: RasterMeta, counts: Counts | None = None
+) -> DataFrame:
+    coded = raster.sample_filled(points, cover, meta, "_code", counts=counts)
     return raster.label(coded, legend, "_code", "vegetacion2").drop("_code")
 
 

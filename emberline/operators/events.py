@@ -236,5 +236,85 @@ def separate_fire_events(
     return FireSplit(points, cell_tiles, components, days, named)
 
 
+ORD_BLOCK = 65_536
+
+
+def split_in_input_order(
+    points: DataFrame, max_gap_days: int = 6, seed_date: date = SEED_DATE, block: int = ORD_BLOCK
+) -> DataFrame:
+    """Add ``seq`` and ``split`` to points with ``component``, walking each component by ``ord``, not by date.
+
+    Each point is compared with the one before it in source order, so a step back in time never splits.
+    A component is walked in blocks of consecutive order numbers; only one row per block is carried over to
+    the next one.
+    """
+    p = points.withColumn("_block", F.floor(F.col("ord") / F.lit(block)).cast("long"))
+    within = Window.partitionBy("component", "_block").orderBy("ord")
+    across = Window.partitionBy("component").orderBy("_block")
+    upto = Window.unboundedPreceding
+    last = p.groupBy("component", "_block").agg(F.max_by("date", "ord").alias("_last"))
+    carried = last.withColumn("_carried", F.lag("_last").over(across)).drop("_last")
+    previous = F.coalesce(F.lag("date").over(within), F.col("_carried"), F.lit(seed_date))
+    flagged = settle(
+        p.join(carried, ["component", "_block"]).withColumn("split", F.datediff("date", previous) > max_gap_days), "walk"
+    ).drop("_carried")
+    opened = F.sum(F.col("split").cast("int"))
+    before = flagged.groupBy("component", "_block").agg(opened.alias("_opened"))
+    before = before.withColumn("_before", F.sum("_opened").over(across.rowsBetween(upto, -1))).drop("_opened")
+    return (
+        flagged.join(before, ["component", "_block"])
+        .withColumn("seq", opened.over(within.rowsBetween(upto, 0)) + F.coalesce("_before", F.lit(0)))
+        .drop("_block", "_before")
+    )
+
+
+def fire_points_in_input_order(
+    clean: DataFrame, dist_km: float = 2.0, max_gap_days: int = 6, seed_date: date = SEED_DATE
+) -> DataFrame:
+    """Cleaned detections with ``fire_id``, clusters split along the source order.
+
+    Same as ``separate_fire_events(...).labelled_points()`` if the source is sorted by date.
+    """
+    points = settle(cluster.with_cell(clean, dist_km), "points")
+    per_cell = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"), F.min("ord").alias("first_ord"))
+    cells = settle(per_cell.join(cluster.components(points, dist_km), "cell"), "cells")
+    first = settle(cells.groupBy("component").agg(F.min("first_ord").alias("first_ord")), "first")
+    cells = settle(cells.drop("first_ord").join(cluster.label(first).drop("first_ord"), "component"), "numbered")
+    n_cells, n_rows = cells.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    named = lookup(
+        points, cells.drop("_rows"), ["cell"], "inner", right_rows=n_cells, counts=(cells.select("cell", "_rows"), n_cells, n_rows)
+    )
+    walked = settle(split_in_input_order(named, max_gap_days, seed_date), "walked")
+
+    w = Window.partitionBy("component").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    starts = walked.groupBy("component", "label", "seq").agg(
+        F.min(F.when(F.col("split"), F.col("ord"))).alias("start"), F.count(F.lit(1)).alias("_rows")
+    )
+    chain = F.concat_ws("_", F.col("label").cast("string"), F.collect_list(F.col("start").cast("string")).over(w))
+    ids = settle(starts.withColumn("fire_id", chain).select("component", "seq", "fire_id", "_rows"), "fire-ids")
+    n_ids = ids.count()
+    return lookup(
+        walked, ids.drop("_rows"), ["component", "seq"], "inner", right_rows=n_ids, counts=(ids.drop("fire_id"), n_ids, n_rows)
+    ).select(
+        "ord",
+        np_round(F.col("lat"), ROUND_DECIMALS).alias("lat"),
+        np_round(F.col("lon"), ROUND_DECIMALS).alias("lon"),
+        "frp",
+        "date",
+        "fire_id",
+    )
+
+
+def fires_in_input_order(points: DataFrame, res_m: float = 375.0) -> DataFrame:
+    """One row per ``fire_id``; first and last date are those of the first and last row, not the extremes."""
+    ends = (
+        points.groupBy("fire_id")
+        .agg(F.min_by("date", "ord").alias("date_first"), F.max_by("date", "ord").alias("date_last"))
+        .withColumn("duration_days", F.datediff("date_last", "date_first") + 1)
+    )
+    summary = fire_summary(points).drop("date_first", "date_last", "duration_days")
+    return summary.join(ends, "fire_id").join(fire_area(points, res_m), "fire_id", "left")
+
+
 def largest_first(fires: DataFrame) -> DataFrame:
     return fires.orderBy(F.desc("count"), "fire_id")

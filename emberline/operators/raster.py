@@ -78,10 +78,11 @@ def sample_filled(
     offset: int | None = None,
     lat: str = "lat",
     lon: str = "lon",
+    counts: tuple[DataFrame, int, int] | None = None,
 ) -> DataFrame:
     """Like ``sample``, invalid pixels filled from their neighbourhood. Every pixel is worked out once."""
     at = with_pixel(points, meta, lat, lon)
-    counts = key_counts(at, PIXEL)
+    counts = counts or key_counts(at, PIXEL)
     filled = filled_pixels(counts[0], raster, meta, stat, window, offset)
     return lookup(at, filled.withColumnRenamed("value", name), PIXEL, counts=counts).drop(*PIXEL)
 

@@ -17,6 +17,7 @@ BROADCAST_ROWS = 200_000
 SALTS = 8
 CHUNK = 8_192
 TASK_ROWS = 2_000_000
+BUCKETS = 4_096
 
 
 def _any_null(keys: Sequence[str]) -> Column:
@@ -61,7 +62,8 @@ def lookup(
     stay = F.coalesce(F.col("_hot"), F.lit(False)) | _any_null(keys)
     hot = marked.where(stay).drop("_hot").join(F.broadcast(used.where(is_hot).drop("_rows")), keys, how)
     cold = marked.where(~stay).drop("_hot").join(used.where(~is_hot).drop("_rows"), keys, how)
-    return hot.unionByName(cold)
+    # Written out: both branches read ``left``, so a chain of lookups would otherwise double per link.
+    return settle(hot.unionByName(cold), "looked-up")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -76,41 +78,63 @@ def _collapse(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(name))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def bucket_sizes(df: DataFrame, keys: Sequence[str]) -> dict[int, int]:
+    """Rows per hash bucket of the key: at most BUCKETS numbers, whatever the data."""
+    return {r[0]: r[1] for r in df.groupBy(_bucket(keys).alias("b")).count().collect()}
+
+
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], sizes: dict[int, int] | None = None) -> DataFrame | None:
+    """Keys with more than 1/HOT_SHARE of the rows (and more than CHUNK rows), or None.
+
+    A hot key makes its bucket heavy, so only heavy buckets, usually none, have their keys counted.
+    """
+    sizes = bucket_sizes(df, keys) if sizes is None else sizes
+    limit = max(sum(sizes.values()) / HOT_SHARE, CHUNK)
+    heavy = [b for b, n in sizes.items() if n > limit]
+    if not heavy:
+        return None
+    counts = df.where(_bucket(keys).isin(heavy)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.where(F.col("_rows") > limit).select(*keys)
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    left_sizes: dict[int, int] | None = None,
+) -> DataFrame:
     """Equi-join, NULL keys equal each other, any number of rows per key on both sides.
 
     Without hot keys it is a plain join. Rows of hot keys are collapsed to distinct rows with a count and
     spread over a SALTS x SALTS grid, each side repeated along one axis, so that no task sees more than
     1/SALTS of either side's rows of a key; the counts are multiplied out afterwards.
+    ``left_sizes`` are the ``bucket_sizes`` of ``left`` if known.
     """
     keys = list(keys)
-    sides = [key_counts(side, keys) for side in (left, right)]
-    hot_keys = reduce(
-        DataFrame.unionByName,
-        [c.where(F.col("_rows") > n / HOT_SHARE).where(F.col("_rows") > CHUNK).select(*keys) for c, _, n in sides],
-    ).distinct()
-    hot_keys = settle(hot_keys, "hot-keys")
-    if hot_keys.isEmpty():
+    found = [k for k in (hot_keys(left, keys, left_sizes), hot_keys(right, keys)) if k is not None]
+    hot = settle(reduce(DataFrame.unionByName, found).distinct(), "hot-keys") if found else None
+    if hot is None or hot.isEmpty():
         return _null_safe(left, right, keys, how)
 
-    hot_keys = F.broadcast(hot_keys)
-    cold = _null_safe(
-        _null_safe(left, hot_keys, keys, "left_anti"), _null_safe(right, hot_keys, keys, "left_anti"), keys, how
-    )
-    hot_left = _null_safe(left, hot_keys, keys, "left_semi")
-    hot_right = _null_safe(right, hot_keys, keys, "left_semi")
+    hot = F.broadcast(hot)
+    cold = _null_safe(_null_safe(left, hot, keys, "left_anti"), _null_safe(right, hot, keys, "left_anti"), keys, how)
+    hot_left = _null_safe(left, hot, keys, "left_semi")
+    hot_right = _null_safe(right, hot, keys, "left_semi")
     l, r = _collapse(hot_left, "_n_left"), _collapse(hot_right, "_n_right")
     axis = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     l = l.withColumn("_i", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).withColumn("_j", axis)
     r = r.withColumn("_j", F.pmod(F.xxhash64(*right.columns), F.lit(SALTS)).cast("int")).withColumn("_i", axis)
     pairs = _null_safe(l, r, [*keys, "_i", "_j"], "inner").withColumn("_n", F.col("_n_left") * F.col("_n_right"))
-    columns = cold.columns
-    hot = repeat_rows(pairs, "_n", "_k").select(*columns)
-    out = cold.unionByName(hot)
+    out = cold.unionByName(repeat_rows(pairs, "_n", "_k").select(*cold.columns))
     if how == "left":
-        answered = F.broadcast(_null_safe(sides[1][0], hot_keys, keys, "left_semi").select(*keys))
+        answered = F.broadcast(hot_right.select(*keys).distinct())
         out = out.unionByName(_null_safe(hot_left, answered, keys, "left_anti"), allowMissingColumns=True)
-    return out
+    return settle(out, "joined")
 
 
 def repeat_rows(df: DataFrame, n_col: str, index: str, total: int = 0) -> DataFrame:

@@ -100,6 +100,13 @@ SELECT c.*, label, CASE WHEN date_diff('day', coalesce(lag(date) OVER (PARTITION
 SELECT ord, frp, date, lat, lon, round_even(lat * 100, 0) / 100 AS lat_r, round_even(lon * 100, 0) / 100 AS lon_r,
   CAST(label AS VARCHAR) || coalesce(string_agg(CASE WHEN split = 1 THEN '_' || CAST(ord AS VARCHAR) END, '')
     OVER (PARTITION BY label ORDER BY date, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS fire_id FROM gap_row""",
+        "shuffled_gap": """
+SELECT c.*, label, CASE WHEN date_diff('day', coalesce(lag(date) OVER (PARTITION BY label ORDER BY c.ord), DATE '2020-01-01'), date) > 6
+  THEN 1 ELSE 0 END AS split FROM clean_point c JOIN fire_component k ON k.ord = c.ord""",
+        "shuffled_fire_point": """
+SELECT ord, frp, date, lat, lon,
+  CAST(label AS VARCHAR) || coalesce(string_agg(CASE WHEN split = 1 THEN '_' || CAST(ord AS VARCHAR) END, '')
+    OVER (PARTITION BY label ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS fire_id FROM shuffled_gap""",
         "fire_sum": """
 SELECT fire_id, CAST(sum(CAST(round_even(lat * 100, 0) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS lat_mean,
   CAST(sum(CAST(round_even(lon * 100, 0) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS lon_mean,

@@ -11,7 +11,7 @@ from emberline.functions.dates import day_prefix
 from emberline.functions.geo import RasterMeta
 from emberline.operators import clean, enrich, events, quality, synth
 from emberline.operators.lineage import settle
-from emberline.operators.skew import skew_join
+from emberline.operators.skew import bucket_sizes, skew_join
 
 KEY = ("lat", "lon", "date")
 FIRE_NAMES = {"lat": "lat_mean", "lon": "lon_mean", "date": "date_first"}
@@ -24,9 +24,18 @@ def fetch_fires(
     dist_km: float = 5.0,
     gap_days: int = 6,
     res_m: float = 375.0,
+    order: str = "date",
 ) -> DataFrame:
-    """Raw detections to fire events, largest first; empty if nothing is left in the date range."""
+    """Raw detections to fire events, largest first; empty if nothing is left in the date range.
+
+    ``order`` is the order in which a cluster is walked for gaps: ``date``, or ``input`` for the source's own.
+    """
     usable = clean.date_range(clean.clean_hotspots(hotspots), start, end)
+    if order == "input":
+        points = settle(events.fire_points_in_input_order(usable, dist_km, gap_days), "fire-points")
+        return events.largest_first(events.fires_in_input_order(points, res_m))
+    if order != "date":
+        raise ValueError(f"unknown order {order!r}")
     return events.largest_first(events.separate_fire_events(usable, dist_km, gap_days).fires(res_m))
 
 
@@ -67,10 +76,11 @@ def build_environment(
     chosen = clean.head(merged, limit, F.desc("final"), F.desc_nulls_last("count"), "point_id")
     at = chosen.withColumns({new: F.col(old) for new, old in FIRE_NAMES.items()})
     points = settle(at, "points")
-    points = enrich.add_weather(points, weather_daily, meta)
-    points = enrich.add_veg_index(points, scenes, clouds, meta)
-    points = enrich.add_terrain(points, dem, meta)
-    points = enrich.add_land_cover(points, cover, legend, meta)
+    days, cells = enrich.cell_days(points, meta), enrich.cells(points, meta)
+    points = enrich.add_weather(points, weather_daily, meta, days)
+    points = enrich.add_veg_index(points, scenes, clouds, meta, counts=days)
+    points = enrich.add_terrain(points, dem, meta, cells)
+    points = enrich.add_land_cover(points, cover, legend, meta, cells)
     return points.select("vegetacion2", *[c for c in points.columns if c != "vegetacion2"])
 
 
@@ -78,25 +88,34 @@ def merge_features(tables: Sequence[DataFrame]) -> DataFrame:
     """Left-join feature tables to the first one on (lat, lon, date), dates brought to whole days."""
     if len(tables) < 2:
         raise ValueError("at least two tables are needed")
-    daily = [quality.normalise_date(t) for t in tables]
-    return reduce(lambda a, b: skew_join(a, b, KEY, "left"), daily)
+    first, *others = [quality.normalise_date(t) for t in tables]
+    sizes = bucket_sizes(first, KEY)
+    return reduce(lambda a, b: skew_join(a, b, KEY, "left", sizes), others, first)
 
 
-def feature_join(labels: DataFrame, feature: DataFrame) -> DataFrame:
-    """``lat, lon, date, final`` of the labelled points with one feature table, matching rows only."""
+def _by_day(df: DataFrame) -> DataFrame:
+    text = dict(df.dtypes)["date"] == "string"
+    return df.withColumn("date", day_prefix(F.col("date")) if text else F.to_date("date"))
+
+
+def _label_keys(labels: DataFrame) -> DataFrame:
     for old, new in FIRE_NAMES.items():
         if new in labels.columns:
             labels = labels.drop(old).withColumnRenamed(new, old)
-    by_day = lambda df: df.withColumn(
-        "date", day_prefix(F.col("date")) if dict(df.dtypes)["date"] == "string" else F.to_date("date")
-    )
-    return skew_join(by_day(labels.select(*KEY, "final")), by_day(feature), KEY, "inner")
+    return _by_day(labels.select(*KEY, "final"))
+
+
+def feature_join(labels: DataFrame, feature: DataFrame) -> DataFrame:
+    """``lat, lon, date, final`` of the labelled points with one feature table, matching rows only."""
+    return skew_join(_label_keys(labels), _by_day(feature), KEY, "inner")
 
 
 def audit(labels: DataFrame, features: dict[str, DataFrame]) -> DataFrame:
     """Nulls per feature table, class and column."""
+    keyed = _label_keys(labels)
+    sizes = bucket_sizes(keyed, KEY)
     parts = [
-        quality.null_audit(feature_join(labels, df)).select(F.lit(name).alias("feature"), "*")
+        quality.null_audit(skew_join(keyed, _by_day(df), KEY, "inner", sizes)).select(F.lit(name).alias("feature"), "*")
         for name, df in features.items()
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -408,6 +408,18 @@ def _(spark):
     return rounded(fires, lat_mean=6, lon_mean=6, frp_sum=4, frp_mean=4, area_ha=1)
 
 
+@query(
+    "w1_input_order",
+    "hotspot",
+    oracle="""SELECT fire_id, round(avg(round_even(lat * 100, 0)) / 100, 6) AS lat_mean, round(CAST(sum(CAST(frp AS DECIMAL(20,6))) AS DOUBLE), 4) AS frp_sum,
+count(*) AS count, arg_min(date, ord) AS date_first, arg_max(date, ord) AS date_last,
+CAST(date_diff('day', arg_min(date, ord), arg_max(date, ord)) + 1 AS INT) AS duration_days FROM shuffled_fire_point GROUP BY fire_id""",
+)
+def _(spark):
+    fires = pipeline.fetch_fires(spark.table("hotspot"), order="input").drop("lon_mean", "frp_mean", "area_ha")
+    return rounded(fires, lat_mean=6, frp_sum=4)
+
+
 # ---- regions --------------------------------------------------------------------------------------------
 
 
