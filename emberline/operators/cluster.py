@@ -116,7 +116,7 @@ def _candidates(cells: DataFrame, eps_km: float) -> DataFrame:
     keys = cells.select("cell")
     wanted = keys.select(
         F.col("cell").alias("a_cell"),
-        F.explode(F.array(*[F.lit(s).cast("long") + F.col("cell") for s in steps])).alias("b_cell"),
+        F.explode(F.transform(F.expr(f"array({', '.join(f'{s}L' for s in steps)})"), lambda s: s + F.col("cell"))).alias("b_cell"),
     )
     low, high = F.lit(0.0), F.lit(0.0)
     for shift in (2 * BITS, BITS, 0):

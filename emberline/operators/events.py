@@ -114,6 +114,7 @@ def _hull(xs: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
 def _with_area(fires: DataFrame, res_m: float) -> DataFrame:
     """Replace ``slices`` (one per rounded longitude) and ``count`` by ``area_ha``."""
     many = F.col("count") >= 3
+    fires = fires.withColumn("slices", F.when(many, F.col("slices")).otherwise(F.slice("slices", 1, 0)))
     hull = _hull(
         F.transform("slices", lambda s: to_6933(s["lon_u"] / UNIT, s["lat_lo"] / UNIT)[0]),
         F.transform("slices", lambda s: to_6933(s["lon_u"] / UNIT, s["lat_lo"] / UNIT)[1]),

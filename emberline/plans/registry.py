@@ -826,15 +826,15 @@ _DESCRIBED = (("labelled_point", "area_ha"), ("labelled_point", "lat"), ("labell
     "a14_describe",
     "labelled_point",
     oracle="\nUNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
-round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75,
-round(max({c}), 4) AS max FROM {t}"""
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std, round(min({c}), 7) AS min,
+round(quantile_cont({c}, 0.25), 7) AS p25, round(quantile_cont({c}, 0.5), 7) AS p50, round(quantile_cont({c}, 0.75), 7) AS p75,
+round(max({c}), 7) AS max FROM {t}"""
         for t, c in _DESCRIBED
     ),
 )
 def _(spark):
     out = quality.describe(spark.table("labelled_point"), [c for _, c in _DESCRIBED])
-    return rounded(out, **{c: 4 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
+    return rounded(out, **{c: 7 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 
 @query(
