@@ -1,12 +1,13 @@
 """Emberline: satellite fire detections to labelled training tables, as Spark DataFrame operators."""
 
-from emberline.plans.pipeline import (
+from emberline.plans.jobs import (
     audit,
     build_environment,
     clean_cover,
     feature_join,
     fetch_fires,
     label_union,
+    label_union_by_year,
     merge_features,
     profile,
 )
@@ -18,6 +19,7 @@ __all__ = [
     "feature_join",
     "fetch_fires",
     "label_union",
+    "label_union_by_year",
     "merge_features",
     "profile",
 ]

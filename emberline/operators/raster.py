@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import METRES_PER_DEGREE, RasterMeta, pixel_of
 from emberline.operators.skew import key_counts, lookup
 
-# Land-cover codes of water, urban and other places where no wildfire can start.
-UNUSABLE_COVER = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 33, 34, 36, 37, 38, 39, 40, 41, 42, 43, 44, -1)
+# Land-cover codes of water and urban areas, the last code of the legend, the label of no cover.
 WATER_URBAN_COVER = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 33, 34, 36, 37, 38, 39, 40, 41, 42, 43)
 MAX_COVER_CODE = 44
 NO_COVER = "Sin datos"
 
+# No wildfire starts on these, nor where the map has no data.
+UNUSABLE_COVER = (*WATER_URBAN_COVER, MAX_COVER_CODE, -1)
+
 PIXEL = ["row", "col"]
 
 

@@ -4,7 +4,7 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.dates import day_prefix
@@ -12,6 +12,7 @@ from emberline.functions.geo import RasterMeta
 from emberline.operators import clean, enrich, events, quality, synth
 from emberline.operators.lineage import settle
 from emberline.operators.skew import bucket_sizes, skew_join
+from emberline.sources import tables
 
 KEY = ("lat", "lon", "date")
 FIRE_NAMES = {"lat": "lat_mean", "lon": "lon_mean", "date": "date_first"}
@@ -49,6 +50,17 @@ def label_union(fires: DataFrame, non_fires: DataFrame) -> DataFrame:
     )
 
 
+def label_union_by_year(
+    spark: SparkSession, root: str, fires: str, non_fires: str, target: str, years: Sequence[int] | None = None
+) -> None:
+    """Label the topics ``fires`` and ``non_fires`` and store their union as topic ``target``, year by year.
+
+    Both topics are partitioned by year, so years pair by value and only the chosen ones are read.
+    """
+    sides = [tables.read_topic(spark, root, topic, years).drop("year") for topic in (fires, non_fires)]
+    tables.write_label_union(label_union(*sides), f"{root}/{target}")
+
+
 def build_environment(
     hotspots: DataFrame,
     edges: DataFrame,

@@ -12,7 +12,7 @@ from emberline.functions.dates import clamped_date, day_prefix
 from emberline.functions.geo import RasterMeta
 from emberline.operators import clean, cluster, enrich, events, quality, raster, synth, zones
 from emberline.operators.lineage import checkpoint_root, settle
-from emberline.plans import pipeline
+from emberline.plans import jobs
 from emberline.plans.oracle import WATER_LIST, WEATHER_LIST, crossing, medians, pixel, slopes, sql
 from emberline.schema import HOTSPOT, WEATHER_COLUMNS
 from emberline.sources import tables
@@ -57,7 +57,7 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def fires_of(spark: SparkSession) -> DataFrame:
-    return settle(pipeline.fetch_fires(spark.table("hotspot")), "fires")
+    return settle(jobs.fetch_fires(spark.table("hotspot")), "fires")
 
 
 def fire_points_of(spark: SparkSession) -> DataFrame:
@@ -160,6 +160,23 @@ def _(spark):
     return tables.read_topic(spark, root, "Pendiente", [1996, 1998])
 
 
+@query(
+    "s8_read_year_files",
+    "feature_slope",
+    oracle="""SELECT lat, lon, date, elevacion_centro, grados, NULL::BIGINT AS extra FROM feature_slope WHERE substring(date, 1, 4) = '1996'
+UNION ALL SELECT lat, lon, date, elevacion_centro, NULL, CAST(1 AS BIGINT) FROM feature_slope WHERE substring(date, 1, 4) = '1997'""",
+)
+def _(spark):
+    root = scratch(spark)
+    slope = spark.table("feature_slope")
+    of = lambda year: slope.where(F.col("date").startswith(str(year)))
+    tables.write_table(of(1996), f"{root}/Pendiente/north_1998.parquet")
+    extended = of(1997).drop("grados").withColumn("extra", F.lit(1).cast("long"))
+    tables.write_table(extended, f"{root}/Pendiente/south_1998.parquet")
+    tables.write_table(of(1998), f"{root}/Pendiente/other_1999.parquet")
+    return tables.read_year_files(spark, root, "Pendiente", 1998)
+
+
 @query(
     "s9_read_topics",
     "feature_slope",
@@ -198,7 +215,7 @@ def _(spark):
     path = scratch(spark)
     points = spark.table("labelled_point").withColumn("date", day_prefix(F.col("date")))
     fires = points.where("final = 1").withColumnsRenamed({"lat": "lat_mean", "lon": "lon_mean", "date": "date_first"}).drop("final")
-    labelled = pipeline.label_union(fires, points.where("final = 0").drop("final", "area_ha"))
+    labelled = jobs.label_union(fires, points.where("final = 0").drop("final", "area_ha"))
     tables.write_label_union(labelled, path)
     out = spark.read.parquet(path).select("point_id", "lat_mean", "lon_mean", "date_first", "area_ha", "final", "year")
     return rounded(out, lat_mean=6, lon_mean=6)
@@ -373,13 +390,13 @@ def _(spark):
     return split_of(spark).days.select("label", "date", "first_ord", F.col("split").cast("int").alias("split"))
 
 
-_SUMMARY_SQL = """SELECT fire_id, round(lat_mean, 6) AS lat_mean, round(lon_mean, 6) AS lon_mean, round(frp_sum, 4) AS frp_sum,
-round(frp_mean, 4) AS frp_mean, count, date_first, date_last, duration_days"""
+_SUMMARY_SQL = """SELECT fire_id, round(lat_mean, 8) AS lat_mean, round(lon_mean, 8) AS lon_mean, round(frp_sum, 4) AS frp_sum,
+round(frp_mean, 8) AS frp_mean, count, date_first, date_last, duration_days"""
 
 
 @query("a4_a5_fire_summary", "hotspot", oracle=f"{_SUMMARY_SQL} FROM fire_sum")
 def _(spark):
-    return rounded(events.fire_summary(split_of(spark).labelled_points()), lat_mean=6, lon_mean=6, frp_sum=4, frp_mean=4)
+    return rounded(events.fire_summary(split_of(spark).labelled_points()), lat_mean=8, lon_mean=8, frp_sum=4, frp_mean=8)
 
 
 @query("a6_fire_area", "hotspot", oracle="SELECT fire_id, round(area_ha, 1) AS area_ha FROM fire_ha")
@@ -404,8 +421,8 @@ def _(spark):
     oracle=f"{_SUMMARY_SQL}, round(area_ha, 1) AS area_ha FROM fire_row ORDER BY count DESC, fire_id",
 )
 def _(spark):
-    fires = pipeline.fetch_fires(spark.table("hotspot"))
-    return rounded(fires, lat_mean=6, lon_mean=6, frp_sum=4, frp_mean=4, area_ha=1)
+    fires = jobs.fetch_fires(spark.table("hotspot"))
+    return rounded(fires, lat_mean=8, lon_mean=8, frp_sum=4, frp_mean=8, area_ha=1)
 
 
 @query(
@@ -416,7 +433,7 @@ count(*) AS count, arg_min(date, ord) AS date_first, arg_max(date, ord) AS date_
 CAST(date_diff('day', arg_min(date, ord), arg_max(date, ord)) + 1 AS INT) AS duration_days FROM shuffled_fire_point GROUP BY fire_id""",
 )
 def _(spark):
-    fires = pipeline.fetch_fires(spark.table("hotspot"), order="input").drop("lon_mean", "frp_mean", "area_ha")
+    fires = jobs.fetch_fires(spark.table("hotspot"), order="input").drop("lon_mean", "frp_mean", "area_ha")
     return rounded(fires, lat_mean=6, frp_sum=4)
 
 
@@ -704,7 +721,7 @@ LEFT JOIN ({slopes("e2_point", "point_id")}) d ON d.point_id = t.point_id""",
 )
 def _(spark):
     t = spark.table
-    env = pipeline.build_environment(
+    env = jobs.build_environment(
         t("hotspot"), edges_of(spark), t("land_cover_cell"), t("cover_legend"), t("weather_daily"), t("s2_scene"),
         t("s2_cloud"), t("dem_cell"), COVER_META, limit=-1,
     )
@@ -742,12 +759,12 @@ LEFT JOIN feature_veg a ON {_ON.replace("x.", "a.")} LEFT JOIN feature_slope b O
 LEFT JOIN feature_soil c ON {_ON.replace("x.", "c.")} LEFT JOIN feature_cover d ON {_ON.replace("x.", "d.")}""",
 )
 def _(spark):
-    return pipeline.merge_features([spark.table("labelled_point"), *[spark.table(f"feature_{f}") for f in FEATURES]])
+    return jobs.merge_features([spark.table("labelled_point"), *[spark.table(f"feature_{f}") for f in FEATURES]])
 
 
 @query("j14_feature_join", "labelled_point", "feature_veg", oracle=_feature_sql("veg", _quoted("veg")))
 def _(spark):
-    return pipeline.feature_join(spark.table("labelled_point"), spark.table("feature_veg"))
+    return jobs.feature_join(spark.table("labelled_point"), spark.table("feature_veg"))
 
 
 @query(
@@ -759,7 +776,7 @@ UNION ALL SELECT NULL, round(lat, 6), round(lon, 6), CAST(substring(date, 1, 10)
 )
 def _(spark):
     others = quality.normalise_date(spark.table("labelled_point").where("final = 0").select("lat", "lon", "date"))
-    union = pipeline.label_union(fires_of(spark), others)
+    union = jobs.label_union(fires_of(spark), others)
     return rounded(union.select("fire_id", "lat_mean", "lon_mean", "date_first", "count", "final"), lat_mean=6, lon_mean=6)
 
 
@@ -774,9 +791,28 @@ FROM ({_feature_sql(name, _quoted(name))}) GROUP BY final"""
     )
 
 
+@query(
+    "e4_label_union_by_year",
+    "hotspot",
+    "labelled_point",
+    oracle="""SELECT fire_id, round(lat_mean, 6) AS lat_mean, CAST(date_first AS VARCHAR) AS date_first, count, CAST(1 AS INT) AS final,
+CAST(year(date_first) AS INT) AS year FROM fire_sum
+UNION ALL SELECT NULL, round(lat, 6), substring(date, 1, 10), NULL, 0, CAST(substring(date, 1, 4) AS INT) FROM labelled_point
+WHERE final = 0 AND substring(date, 1, 4) IN ('1997', '2000')""",
+)
+def _(spark):
+    root = scratch(spark)
+    others = quality.normalise_date(spark.table("labelled_point").where("final = 0").select("lat", "lon", "date"))
+    tables.write_topic(fires_of(spark), root, "fires", "date_first")
+    tables.write_topic(others, root, "non_fires")
+    jobs.label_union_by_year(spark, root, "fires", "non_fires", "labelled", [1997, 2000, 2024])
+    union = spark.read.parquet(f"{root}/labelled")
+    return rounded(union.select("fire_id", "lat_mean", "date_first", "count", "final", "year"), lat_mean=6)
+
+
 @query("a12_null_audit", "labelled_point", "feature_veg", oracle=_audit_sql("veg"))
 def _(spark):
-    joined = pipeline.feature_join(spark.table("labelled_point"), spark.table("feature_veg"))
+    joined = jobs.feature_join(spark.table("labelled_point"), spark.table("feature_veg"))
     out = quality.null_audit(joined).select(F.lit("veg").alias("feature"), "*")
     return rounded(out, pct_rows_with_null=6)
 
@@ -788,7 +824,7 @@ def _(spark):
     oracle="\nUNION ALL ".join(_audit_sql(f) for f in FEATURES),
 )
 def _(spark):
-    out = pipeline.audit(spark.table("labelled_point"), {f: spark.table(f"feature_{f}") for f in FEATURES})
+    out = jobs.audit(spark.table("labelled_point"), {f: spark.table(f"feature_{f}") for f in FEATURES})
     return rounded(out, pct_rows_with_null=6)
 
 
@@ -799,7 +835,7 @@ def _(spark):
     oracle=f"""SELECT * FROM ({_feature_sql("veg", _quoted("veg"))}) WHERE final = 1 AND (NDVI IS NULL OR NDWI IS NULL)""",
 )
 def _(spark):
-    return quality.rows_with_null(pipeline.feature_join(spark.table("labelled_point"), spark.table("feature_veg")), final=1)
+    return quality.rows_with_null(jobs.feature_join(spark.table("labelled_point"), spark.table("feature_veg")), final=1)
 
 
 _POINT_COLUMNS = ("point_id", "lat", "lon", "date", "final", "area_ha")
@@ -870,7 +906,7 @@ WHERE final = 0 AND (NDVI IS NULL OR NDWI IS NULL) GROUP BY ALL) k ON k.month =
 )
 def _(spark):
     labels = quality.normalise_date(spark.table("labelled_point"))
-    joined = pipeline.feature_join(spark.table("labelled_point"), spark.table("feature_veg"))
+    joined = jobs.feature_join(spark.table("labelled_point"), spark.table("feature_veg"))
     return rounded(quality.monthly_nulls(labels, quality.rows_with_null(joined, final=0)), pct=6)
 
 
@@ -902,7 +938,7 @@ def _(spark):
 UNION SELECT lat, lon, date FROM feature_slope WHERE grados IS NULL""",
 )
 def _(spark):
-    return quality.null_keys_union(spark.table("feature_veg"), spark.table("feature_slope"), pipeline.KEY)
+    return quality.null_keys_union(spark.table("feature_veg"), spark.table("feature_slope"), jobs.KEY)
 
 
 @query(
@@ -922,7 +958,7 @@ def _(spark):
 AND NOT EXISTS (SELECT 1 FROM cover_legend WHERE code IN ({WATER_LIST}) AND label = vegetacion2)""",
 )
 def _(spark):
-    return pipeline.clean_cover(spark.table("feature_cover"), spark.table("cover_legend")).select("lat", "lon", "date", "vegetacion2")
+    return jobs.clean_cover(spark.table("feature_cover"), spark.table("cover_legend")).select("lat", "lon", "date", "vegetacion2")
 
 
 @query(
@@ -939,5 +975,5 @@ LEFT JOIN feature_veg a ON {_ON.replace("x.", "a.")} LEFT JOIN feature_slope b O
     ),
 )
 def _(spark):
-    merged = pipeline.merge_features([spark.table("labelled_point"), spark.table("feature_veg"), spark.table("feature_slope")])
-    return pipeline.profile(settle(merged, "merged"))["completeness"].select("column", "non_null", "rows")
+    merged = jobs.merge_features([spark.table("labelled_point"), spark.table("feature_veg"), spark.table("feature_slope")])
+    return jobs.profile(settle(merged, "merged"))["completeness"].select("column", "non_null", "rows")

@@ -72,6 +72,14 @@ def read_topic(spark: SparkSession, root: str, topic: str, years: Sequence[int]
     return df if years is None else df.where(F.col("year").isin(*years))
 
 
+def read_year_files(spark: SparkSession, root: str, topic: str, year: int, depth: int = 0) -> DataFrame:
+    """Parquet tables of a topic whose name ends in the year, ``depth`` folders down: ``<topic>/*<year>.parquet``.
+
+    Columns only some of them have are NULL in the others.
+    """
+    return spark.read.option("mergeSchema", True).parquet(f"{root}/{topic}/{'*/' * depth}*{year}.parquet")
+
+
 def read_topics(spark: SparkSession, root: str, topics: Sequence[str], years: Sequence[int]) -> dict[str, DataFrame]:
     return {topic: read_topic(spark, root, topic, years) for topic in topics}
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import clean, events
-from emberline.plans import pipeline
+from emberline.plans import jobs
 
 START = dt.date(2024, 3, 1)
 CLEAN = "ord long, lat double, lon double, frp double, date date"
@@ -99,13 +99,13 @@ def test_both_orders_agree_on_sorted_input(spark, views):
 
 
 def test_expected_figures_and_invariance(spark, views):
-    fires = pipeline.fetch_fires(views("hotspot"))
+    fires = jobs.fetch_fires(views("hotspot"))
     assert fires.columns == ["fire_id", "lat_mean", "lon_mean", "frp_sum", "frp_mean", "count", "date_first", "date_last", "duration_days", "area_ha"]
     rows = fires.collect()
     assert len(rows) == 150 and sum(r["count"] for r in rows) == 310
     assert sum(r["count"] >= 3 for r in rows) == 43 and sum(r["count"] == 2 for r in rows) == 29
     assert [r["count"] for r in rows] == sorted((r["count"] for r in rows), reverse=True)
-    again = pipeline.fetch_fires(views("hotspot").repartition(7, F.rand(9)))
+    again = jobs.fetch_fires(views("hotspot").repartition(7, F.rand(9)))
     assert [tuple(r) for r in again.collect()] == [tuple(r) for r in rows]
 
 
@@ -117,7 +117,7 @@ def test_gaps_inside_a_fire_never_exceed_the_limit(spark, views):
 
 
 def test_nothing_left_gives_an_empty_table(spark, views):
-    assert pipeline.fetch_fires(views("hotspot"), start="2031-01-01").count() == 0
+    assert jobs.fetch_fires(views("hotspot"), start="2031-01-01").count() == 0
 
 
 def test_one_place_with_a_third_of_all_rows(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import quality
-from emberline.plans import pipeline
+from emberline.plans import jobs
 
 
 @pytest.fixture
@@ -96,23 +96,23 @@ def test_monthly_nulls(table):
 def test_merge_needs_two_tables_matches_nulls_and_multiplies_copies(spark):
     a = spark.createDataFrame([(1.0, 2.0, "2024-01-05"), (None, 2.0, "2024-01-05 00:00:00"), (9.0, 9.0, None)], "lat double, lon double, date string")
     b = spark.createDataFrame([(1.0, 2.0, "2024-01-05 03:00:00", 1), (1.0, 2.0, "2024-01-05", 2), (None, 2.0, "2024-01-05", 3)], "lat double, lon double, date string, f int")
-    got = sorted((r["lat"] or 0, r["f"] or 0) for r in pipeline.merge_features([a, b]).collect())
+    got = sorted((r["lat"] or 0, r["f"] or 0) for r in jobs.merge_features([a, b]).collect())
     assert got == [(0, 3), (1.0, 1), (1.0, 2), (9.0, 0)]
     with pytest.raises(ValueError):
-        pipeline.merge_features([a])
+        jobs.merge_features([a])
 
 
 def test_label_union_renames_and_fills(spark):
     fires = spark.createDataFrame([("f", 1.0, 2.0, "2024-01-01", 7)], "fire_id string, lat_mean double, lon_mean double, date_first string, count int")
     others = spark.createDataFrame([(3.0, 4.0, "2024-01-02")], "lat double, lon double, date string")
-    got = {r["final"]: r for r in pipeline.label_union(fires, others).collect()}
+    got = {r["final"]: r for r in jobs.label_union(fires, others).collect()}
     assert got[0]["lat_mean"] == 3.0 and got[0]["count"] is None and got[0]["fire_id"] is None
     assert got[1]["count"] == 7
-    assert pipeline.feature_join(pipeline.label_union(fires, others), others.withColumn("f", F.lit(1))).count() == 1
+    assert jobs.feature_join(jobs.label_union(fires, others), others.withColumn("f", F.lit(1))).count() == 1
 
 
 def test_profile_parts(views):
-    parts = pipeline.profile(views("feature_cover"))
+    parts = jobs.profile(views("feature_cover"))
     assert set(parts) == {"head", "completeness", "describe", "value_shares", "n_unique"}
     assert parts["head"].count() == 10
     assert all(df.count() for df in parts.values())

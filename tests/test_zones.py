@@ -80,9 +80,9 @@ def test_mask_names(spark):
 
 
 def test_expected_counts(spark, views):
-    from emberline.plans import pipeline
+    from emberline.plans import jobs
 
-    fires = pipeline.fetch_fires(views("hotspot"))
+    fires = jobs.fetch_fires(views("hotspot"))
     got = zones.assign_region(fires, zones.edges_from_vertices(views("region_vertex")))
     # Rounded centroids move one of the 138 unrounded ones over a border.
     assert got.count() in (138, 139) and got.select("region").distinct().count() == 8
