@@ -12,7 +12,8 @@ def drop_low_confidence(df: DataFrame) -> DataFrame:
 
 
 def min_frp(df: DataFrame, threshold: float = 50.0) -> DataFrame:
-    return df.where(F.col("frp") > threshold)
+    """Strictly above the threshold. NaN, which Spark orders above all numbers, is not."""
+    return df.where((F.col("frp") > threshold) & ~F.isnan("frp"))
 
 
 def dedup_first(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.dates import day_prefix
 from emberline.functions.geo import RasterMeta
 from emberline.operators import clean, raster
 from emberline.operators.lineage import settle
@@ -45,18 +46,24 @@ def add_veg_index(
 ) -> DataFrame:
     """Median NDVI and NDWI of the clear scenes in the ``window_days`` before the point's day (day excluded).
 
-    Each (cell, day) is worked out once. It is turned into the days it looks back to, so that scenes meet it
-    by equality; the answer per (cell, scene day) is an array of at most ``window_days`` days.
+    Each (cell, day) is worked out once. The calendar is cut into spans of ``window_days``; a look-back touches
+    two of them, so scenes meet it by equality of cell and span, and the days that wait for a span of a cell are
+    an array of fewer than twice ``window_days``.
     """
     at = raster.with_pixel(points, meta)
     counts = counts or key_counts(at, CELL_DAY)
     need, n_need = counts[0].select(*CELL_DAY).where(F.col("date").isNotNull()), counts[1]
+    span = lambda day: F.floor(day / window_days).cast("int")
+    day = F.unix_date("date")
     wanted = (
-        need.withColumn("obs_date", F.explode(F.transform(F.sequence(F.lit(1), F.lit(window_days)), lambda k: F.date_sub("date", k))))
-        .groupBy("row", "col", "obs_date")
+        need.withColumn("span", F.explode(F.sequence(span(day - window_days), span(day - 1))))
+        .groupBy("row", "col", "span")
         .agg(F.collect_list("date").alias("dates"))
     )
-    used = lookup(scenes, wanted, ["row", "col", "obs_date"], "inner", right_rows=n_need * window_days)
+    spanned = scenes.withColumn("span", span(F.unix_date("obs_date")))
+    used = lookup(spanned, wanted, ["row", "col", "span"], "inner", right_rows=2 * n_need)
+    in_window = lambda d: (F.col("obs_date") < d) & (F.col("obs_date") >= F.date_sub(d, window_days))
+    used = used.withColumn("dates", F.filter("dates", in_window)).where(F.size("dates") > 0)
     clear = clouds.where(F.col("cs_cdf") >= clear_sky).select("scene_id")
     used = lookup(used, clear, ["scene_id"], "inner", right_rows=clear.count())
     ratio = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(a) + F.col(b))
@@ -109,8 +116,8 @@ def _chosen(points: DataFrame, limit: int | None, start, end, order: tuple) -> D
     for old, new in named.items():
         if old in points.columns and new not in points.columns:
             points = points.withColumnRenamed(old, new)
-    if dict(points.dtypes)["date"] == "string":
-        points = points.withColumn("date", F.try_to_date(F.substring("date", 1, 10)))
+    text = dict(points.dtypes)["date"] == "string"
+    points = points.withColumn("date", day_prefix(F.col("date")) if text else F.to_date("date"))
     chosen = clean.date_range(points, start, end)
     return clean.head(chosen, limit, *(order or ("date", "lat", "lon"))).select("lat", "lon", "date")
 

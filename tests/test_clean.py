@@ -19,7 +19,7 @@ def test_missing_confidence_stays_and_low_goes(spark):
 
 
 def test_power_threshold_is_strict(spark):
-    df = hotspots(spark, (1.0, 1.0, DAY, "n", 50.0), (2.0, 1.0, DAY, "n", 50.01), (3.0, 1.0, DAY, "n", None))
+    df = hotspots(spark, (1.0, 1.0, DAY, "n", 50.0), (2.0, 1.0, DAY, "n", 50.01), (3.0, 1.0, DAY, "n", None), (4.0, 1.0, DAY, "n", float("nan")))
     assert [r["lat"] for r in clean.clean_hotspots(df).collect()] == [2.0]
 
 
