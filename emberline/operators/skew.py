@@ -16,7 +16,7 @@ HOT_SHARE = 256
 BROADCAST_ROWS = 200_000
 SALTS = 8
 CHUNK = 8_192
-TASK_ROWS = 2_000_000
+MIN_TASK_ROWS, MAX_TASK_ROWS = 50_000, 2_000_000
 BUCKETS = 4_096
 
 
@@ -144,7 +144,9 @@ def repeat_rows(df: DataFrame, n_col: str, index: str, total: int = 0) -> DataFr
     set outright, from the expected ``total`` if known: adaptive merging would judge the chunks by their own
     small size and not by what they turn into.
     """
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total:
+        tasks = max(min(tasks, -(-total // MIN_TASK_ROWS)), total // MAX_TASK_ROWS)
     n = F.col(n_col)
     size = F.lit(CHUNK).cast("long")
     chunks = df.where(n > 0).withColumn(
