@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -103,12 +105,27 @@ def test_quantiles_with_a_hot_group_and_many_equal_values(spark):
     assert whole == pytest.approx(frame["v"].median())
 
 
-def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    assert checkpoint_root(spark) == (before or spark.sparkContext.getCheckpointDir())
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        assert settle(spark.range(3), "t").count() == 3
-        assert any((tmp_path / "shared").iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def session(setting=None, current=None, master="local[2]"):
+    """Just enough of a session to ask for its checkpoint folder."""
+    state = {"dir": current}
+    context = SimpleNamespace(
+        master=master, getCheckpointDir=lambda: state["dir"], setCheckpointDir=lambda d: state.update(dir=d)
+    )
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting), sparkContext=context)
+
+
+def test_checkpoint_folder_comes_from_the_session():
+    assert checkpoint_root(session("s3a://shared/ck")) == "s3a://shared/ck"
+    assert checkpoint_root(session(None, "hdfs:///ck", "yarn")) == "hdfs:///ck"
+    own = session()
+    assert checkpoint_root(own) == checkpoint_root(own) and "emberline" in checkpoint_root(own)
+    with pytest.raises(RuntimeError):
+        checkpoint_root(session(master="spark://host:7077"))
+
+
+def test_settled_tables_lie_in_the_folder_and_cut_lineage(spark):
+    df = settle(spark.range(3).withColumn("x", F.col("id") * 2), "t")
+    assert df.count() == 3
+    (folder,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    assert checkpoint_root(spark).removeprefix("file:").rstrip("/") in folder
+    assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
