@@ -105,7 +105,7 @@ def _judge(pairs: DataFrame, eps_km: float) -> DataFrame:
 def _candidates(cells: DataFrame, eps_km: float) -> DataFrame:
     """Cell pairs close enough to hold a pair within eps, each once, judged by extent.
 
-    Keys first: a cell looks up at most 62 neighbour keys, and only existing pairs fetch their extents.
+    Keys first: a cell looks up at most 62 neighbour keys, and only existing pairs carry extents.
     """
     side = cell_side(eps_km)
     steps = [
@@ -113,10 +113,9 @@ def _candidates(cells: DataFrame, eps_km: float) -> DataFrame:
         for i, j, k in itertools.product(range(-2, 3), repeat=3)
         if (i, j, k) > (0, 0, 0)
     ]
-    keys = cells.select("cell")
-    wanted = keys.select(
-        F.col("cell").alias("a_cell"),
-        F.explode(F.transform(F.expr(f"array({', '.join(f'{s}L' for s in steps)})"), lambda s: s + F.col("cell"))).alias("b_cell"),
+    step = F.explode(F.expr(f"array({', '.join(f'{s}L' for s in steps)})"))
+    wanted = cells.select("cell", step.alias("step")).select(
+        F.col("cell").alias("a_cell"), (F.col("cell") + F.col("step")).alias("b_cell")
     )
     low, high = F.lit(0.0), F.lit(0.0)
     for shift in (2 * BITS, BITS, 0):
@@ -124,8 +123,8 @@ def _candidates(cells: DataFrame, eps_km: float) -> DataFrame:
         near, far = F.least(F.abs(i), F.abs(i + 1)), F.greatest(F.abs(i), F.abs(i + 1))
         low, high = low + near * near, high + far * far
     touches_sphere = (low * side * side <= 1 + 1e-6) & (high * side * side >= 1 - 1e-6)
-    pairs = wanted.where(touches_sphere).join(keys.withColumnRenamed("cell", "b_cell"), "b_cell", "left_semi")
-    pairs = pairs.join(_side_of(cells, "a", ["cell"]), "a_cell").join(_side_of(cells, "b", ["cell"]), "b_cell")
+    pairs = wanted.where(touches_sphere).join(_side_of(cells, "b", ["cell"]), "b_cell")
+    pairs = pairs.join(_side_of(cells, "a", ["cell"]), "a_cell")
     return _judge(pairs, eps_km).select("a_cell", "b_cell", "linked", "open")
 
 
