@@ -4,11 +4,13 @@ Everything an event needs is first added up per (cell, day, rounded longitude),
 a third of all detections is then just a few thousand tiles: days and the 0.01 degree grid bound their number.
 """
 
+import sys
 from dataclasses import dataclass
 from datetime import date
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,9 @@ def chained_id(days: DataFrame) -> DataFrame:
     return days.withColumn("fire_id", F.concat_ws("_", F.col("label").cast("string"), opened))
 
 
+# Ship the hull code with the job: workers need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _HULL = T.StructType([T.StructField("area", T.DoubleType()), T.StructField("perimeter", T.DoubleType())])
 
 
