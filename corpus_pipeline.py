@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import quality_rules
+from emberline.llm import decontaminate, packing, quality_rules
+from emberline.llm.queries import tokenizer
 from emberline.operators.lineage import settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -15,8 +16,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of benchmark passages are cut out."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in training sequences."""
+    return packing.pack_documents(docs, tokenizer())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
+    ("benchmark decontamination", leaks),
+    ("best-fit packing", pack),
 ]
 
 #: Fingerprints, tokens and the packing are beyond SQL; the tests hold every stage against a plain version.

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space that separates words, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]"
@@ -42,5 +44,13 @@ def rows(batches: Iterable[pa.RecordBatch], *columns: str, size: int = 512) -> I
             yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
-def batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def worker_state(name: str, make: Callable[[], object]) -> object:
+    """A value that later tasks of the same worker process find again."""
+    home = sys.modules.setdefault("_emberline_worker", type(sys)("_emberline_worker"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)

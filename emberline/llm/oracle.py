@@ -44,6 +44,26 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM b CROSS JOIN order_of LEFT JOIN hits h USING (doc_id)
 """
 
+#: Words by number, windows of up to ten of them, and the document words that an equal window covers.
+_DECONTAMINATE = r"""
+WITH fold AS (SELECT 'd' AS side, doc_id::VARCHAR AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+              FROM documents UNION ALL
+              SELECT 'b', item_id::VARCHAR, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+w AS (SELECT side, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM fold),
+items AS (SELECT id, len(list_slice(w, i, i + 9)) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS g
+          FROM w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE side = 'b' AND len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM items),
+spots AS (SELECT w.id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g
+          FROM w, sizes, unnest(range(1, len(w) - n + 2)) u(i) WHERE side = 'd'),
+met AS (SELECT s.id, s.i, s.n, b.id AS item FROM spots s JOIN items b USING (n, g)),
+hits AS (SELECT id, count(DISTINCT i + k) AS n FROM met, unnest(range(0, n)) u(k) GROUP BY 1),
+found AS (SELECT id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY 1)
+SELECT w.id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(f.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(f.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits h USING (id) LEFT JOIN found f USING (id) WHERE w.side = 'd'
+"""
+
 SQL: dict[str, str] = {
+    "op9_fm_index": _DECONTAMINATE,
     "op8_risk_rules": _QUALITY,
 }

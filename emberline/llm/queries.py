@@ -1,11 +1,13 @@
 """The operators of this subpackage applied to the given tables, whole tables and whole texts."""
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import quality_rules
+from emberline.llm import decontaminate, packing, quality_rules
 from emberline.llm.common import documents
 
 
@@ -13,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file, 2 MB at most, read once by the driver."""
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op2_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer())
+
+
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
     return judged.select(
@@ -21,6 +32,22 @@ def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("_text"))
+    found = decontaminate.find(docs, _table(spark, sf_dir, "benchmark"), "_text")
+    hits = decontaminate.n_hit(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_complement_packing": op2_complement_packing,
     "op8_risk_rules": op8_risk_rules,
+    "op9_fm_index": op9_fm_index,
 }
