@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, packing, quality_rules
+from emberline.llm import decontaminate, packing, quality_rules, simhash
 from emberline.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op2_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
     return judged.select(
@@ -48,6 +52,7 @@ def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_complement_packing": op2_complement_packing,
+    "op5_simhash": op5_simhash,
     "op8_risk_rules": op8_risk_rules,
     "op9_fm_index": op9_fm_index,
 }
