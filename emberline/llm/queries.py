@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, packing, quality_rules, simhash
+from emberline.llm import decontaminate, packing, quality_rules, sharding, simhash
 from emberline.llm.common import documents
 
 
@@ -28,6 +28,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 8).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("number").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
 def op8_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
     return judged.select(
@@ -53,6 +66,7 @@ def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_complement_packing": op2_complement_packing,
     "op5_simhash": op5_simhash,
+    "op7_virtual_slots": op7_virtual_slots,
     "op8_risk_rules": op8_risk_rules,
     "op9_fm_index": op9_fm_index,
 }
