@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, packing, quality_rules, simhash
+from emberline.llm import decontaminate, packing, pii, quality_rules, simhash
 from emberline.llm.queries import tokenizer
 from emberline.operators.lineage import settle
 
@@ -26,6 +26,11 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become surrogates."""
+    return pii.checked(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in training sequences."""
     return packing.pack_documents(docs, tokenizer())
@@ -35,6 +40,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality),
     ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", leaks),
+    ("PII", private),
     ("best-fit packing", pack),
 ]
 

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, packing, quality_rules, sharding, simhash
+from emberline.llm import decontaminate, packing, pii, quality_rules, sharding, simhash
 from emberline.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op2_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.checked(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_complement_packing": op2_complement_packing,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op5_simhash": op5_simhash,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_risk_rules": op8_risk_rules,
