@@ -29,7 +29,9 @@ ship(__name__)
 
 LIMIT, END = 2048, 0
 #: Words whose ids a worker keeps, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+#: Letters below lower to one letter each, in Python as in the tokenizer, and take part in no composition.
+PLAIN_LETTERS = "\u0130"
 #: Python's ``split`` also cuts here; the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Pieces ranked together in one window.
@@ -37,26 +39,64 @@ RANK_GROUP = 50_000
 
 
 class Encoder:
-    """Token ids as little-endian bytes. No token spans white space, so ids are kept per word."""
+    """Token ids as little-endian bytes. No token spans white space, so ids are kept per word.
+
+    A word of letters with one ``.`` or ``,`` behind it is two tokenizer words, and the tokenizer lowers case itself:
+    such variants take their ids from the bare word. New bare words are encoded many at a time and told apart by the
+    word-end marks of their tokens.
+    """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(".,", self._encode([".", ","])))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_bare(self, bare: list[str]) -> list[bytes]:
+        """Ids of words of letters only."""
+        out: list[bytes] = []
+        chunks = [bare[i : i + 512] for i in range(0, len(bare), 512)]
+        for chunk, data in zip(chunks, self._encode([" ".join(c) for c in chunks])):
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1).tolist()
+            if len(cuts) == len(chunk) and 4 * cuts[-1] == len(data):
+                out += [data[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts)]
+            else:
+                out += self._encode(chunk)
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words into ``known``."""
+        bare_of, other = {}, []
+        for w in words:
+            core = w[:-1] if w[-1] in self.marks else w
+            if core.isalpha() and max(core) < PLAIN_LETTERS:
+                bare_of[w] = core.lower()
+            else:
+                other.append(w)
+        bare = list(set(bare_of.values()) - self.known.keys())
+        self.known.update(zip(bare, self._encode_bare(bare)))
+        self.known.update(zip(other, self._encode(other)))
+        for w, core in bare_of.items():
+            self.known[w] = self.known[core] + self.marks[w[-1]] if w[-1] in self.marks else self.known[core]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [[t] if t and ODD_SPACE.search(t) else (t or "").split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        ids = dict(zip(new, self._encode(new)))
-        self.known.update((w, i) for w, i in ids.items() if len(w) <= CACHE_CHARS)
-        if len(ids) == len(new) and all(len(w) <= CACHE_CHARS for w in new):
-            return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        return [b"".join([ids[w] if w in ids else self.known[w] for w in ws]) for ws in split]
+        new = set().union(*split) - self.known.keys()
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del self.known[w]
+        return out
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
