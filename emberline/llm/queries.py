@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, packing, pii, quality_rules, sharding, simhash
+from emberline.llm import decontaminate, packing, pii, quality_rules, sharding, simhash, toxicity
 from emberline.llm.common import documents
 
 
@@ -32,6 +32,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), 8).select(
         "doc_id",
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_complement_packing": op2_complement_packing,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op5_simhash": op5_simhash,
+    "op6_zstd_toxicity": op6_zstd_toxicity,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_risk_rules": op8_risk_rules,
     "op9_fm_index": op9_fm_index,
