@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, packing, pii, quality_rules, sharding, simhash, toxicity
+from emberline.llm import decontaminate, packing, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from emberline.llm.common import documents
 
 
@@ -77,6 +77,11 @@ def op9_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.cut(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_complement_packing": op2_complement_packing,
     "op3_pii_surrogates": op3_pii_surrogates,
@@ -85,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_virtual_slots": op7_virtual_slots,
     "op8_risk_rules": op8_risk_rules,
     "op9_fm_index": op9_fm_index,
+    "op10_bucket_pointer": op10_bucket_pointer,
 }
