@@ -3,6 +3,7 @@
 import sys
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,3 +55,27 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     if not hasattr(home, name):
         setattr(home, name, make())
     return getattr(home, name)
+
+
+#: Bits of a filter that goes to all tasks: 4 MB, whatever the size of the corpus.
+FILTER_BITS = 25
+
+
+def _filter_words(keys: Column) -> tuple[Column, Column]:
+    slot = F.pmod(keys, F.lit(1 << FILTER_BITS))
+    return F.floor(slot / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+
+
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A bit set of the keys' hashes; it only saves work, what passes is joined exactly."""
+    word, bit = _filter_words(F.col(key))
+    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for batch in keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return words
+
+
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64 bits each) a ``key_filter`` lets through."""
+    slot = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    return (words.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, packing, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from emberline.llm import decontaminate, packing, paragraphs, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from emberline.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.removals(documents(spark, sf_dir))
+
+
 def op2_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer())
 
@@ -83,6 +87,7 @@ def op10_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_complement_packing": op2_complement_packing,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op5_simhash": op5_simhash,

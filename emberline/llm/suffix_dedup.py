@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import rows, scan, ship
+from emberline.llm.common import key_filter, passes, rows, scan, ship
 from emberline.operators.lineage import settle
 
 ship(__name__)
@@ -35,8 +35,6 @@ ship(__name__)
 LENGTH, Q = 200, 32
 #: Positions looked at together in one text, a power of two.
 CHUNK_BITS = 19
-#: Bits of the filter that goes to all tasks: 4 MB, whatever the size of the corpus.
-FILTER_BITS = 25
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,32 +132,13 @@ def _first_level(named: DataFrame, length: int) -> DataFrame:
     return scan(named.select("r1", "r2", "_text"), lambda b: _packed(made(b)), schema)
 
 
-def _filter_words(keys: Column) -> tuple[Column, Column]:
-    slot = F.pmod(keys, F.lit(1 << FILTER_BITS))
-    return F.floor(slot / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
-
-
-def key_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """A bit set of the keys' hashes; it only saves work, what passes is joined exactly."""
-    word, bit = _filter_words(F.col(key))
-    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for batch in keys.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
-        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return words
-
-
-def _passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-    return (words.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _contexts(named: DataFrame, live: np.ndarray, length: int) -> DataFrame:
     """The anchors of the buckets that pass the filter again, with their outer strings."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for r1, r2, data, raw in _texts(batches):
             at, lo, hi, bucket = anchors(data, length)
-            own = np.flatnonzero(_passes(live, bucket)) if len(at) else []
+            own = np.flatnonzero(passes(live, bucket)) if len(at) else []
             if len(own):
                 at, lo, hi = at[own], lo[own], hi[own]
                 yield {
@@ -188,7 +167,7 @@ def _members(level: DataFrame, classes: DataFrame, length: int, prefilter: bool)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array(_passes(words, b.column(b.schema.get_field_index("outer")).to_numpy())))
+                yield b.filter(pa.array(passes(words, b.column(b.schema.get_field_index("outer")).to_numpy())))
 
         level = scan(level, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in level.schema.fields))
     spans = level.join(twice, ["bucket", "outer"], "left_semi")
