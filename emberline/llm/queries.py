@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, packing, paragraphs, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from emberline.llm import decontaminate, kneser_ney, packing, paragraphs, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity
 from emberline.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.checked(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_complement_packing": op2_complement_packing,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_simhash": op5_simhash,
     "op6_zstd_toxicity": op6_zstd_toxicity,
     "op7_virtual_slots": op7_virtual_slots,
