@@ -181,4 +181,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
     chosen = choose(holdout_counts(measured, labels), risk, error)
     own = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
     again = measures(docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), F.col("text").alias("_text")), "_text")
-    return again.where(~F.col("base_failed") & (F.size(_verdict(chosen)) == 0)).select(*own)
+    # a filter does not sink through a projection with a row number, else the measures would be worked out per array element
+    again = again.withColumn("_once", F.monotonically_increasing_id())
+    return again.where((F.col("_once") >= 0) & ~F.col("base_failed") & (F.size(_verdict(chosen)) == 0)).select(*own)
