@@ -181,8 +181,9 @@ def score(
         return found.withColumn("score", F.lit(0.0))
     known = F.broadcast(spark.createDataFrame(held, f"doc_id {kind}, _y int"))
     table = found.join(known, "doc_id").select(*FEATURES, "_y").limit(8 * sample).collect()
-    weights, intercept = fit(np.array([x[:-1] for x in table], float), np.array([x[-1] for x in table], float))
+    x = np.array([r[:-1] for r in table], float)
+    weights, intercept = fit(x, np.array([r[-1] for r in table], float))
     z = F.lit(intercept)
-    for name, w in zip(FEATURES, weights):
-        z = z + F.lit(w) * F.col(name)
+    for name, w, least, most in zip(FEATURES, weights, x.min(axis=0).tolist(), x.max(axis=0).tolist()):
+        z = z + F.lit(w) * F.least(F.greatest(F.col(name), F.lit(least)), F.lit(most))  # no guess beyond what was seen
     return found.withColumn("score", 1 / (1 + F.exp(-z)))
