@@ -10,8 +10,9 @@ range of offsets all of them share a core and lie in an outer string.
 * The rest is refined: the range of offsets is halved, the core grows, and the bucket splits by the identifier of the
   longer core. That is done recursively; a range of one offset is one string, so its bucket decides.
 
-Buckets are counted with partial sums before the shuffle and only one representative of equal outer strings goes on, so
-a string that a third of the corpus shares is one row per task. No step compares pairs.
+Buckets are counted with partial sums before the shuffle and only one representative of equal outer strings is refined.
+A bucket is refined by one task; one of more than ``GROUP`` representatives is first split, in the cluster, by the cores of
+the halves. No step compares pairs.
 
 Edge cases: a NULL or short text has nothing to remove; rows with equal ids and texts repeat each other; a repeat within one
 text counts, overlapping or not; rows are known by hashes of their text and id, so NULL ids do no harm.
@@ -24,10 +25,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import key_filter, passes, rows, scan, ship
+from emberline.llm.common import arrow_schema, key_filter, passes, rows, scan, ship
 from emberline.operators.lineage import settle
 
 ship(__name__)
@@ -35,6 +36,8 @@ ship(__name__)
 LENGTH, Q = 200, 32
 #: Positions looked at together in one text, a power of two.
 CHUNK_BITS = 19
+#: Anchors of a bucket that one task refines; larger buckets are first split by longer cores, in the cluster.
+GROUP = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -113,32 +116,40 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(r1.alias("r1"), r2.alias("r2"), F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
 
 
-def _first_level(named: DataFrame, length: int) -> DataFrame:
-    """An anchor per row: bucket of its q-gram, class of its outer string, and its range of offsets ``near`` to ``far``."""
+ANCHOR = "r1 long, r2 long, at long, near int, far int, bucket long, outer long"
+
+
+def _anchors(named: DataFrame, length: int, buckets: np.ndarray | None = None) -> DataFrame:
+    """An anchor per row: bucket of its q-gram, class of its outer string, and its range of offsets ``near`` to ``far``.
+
+    With a filter only anchors of the buckets that pass.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        digest = xxhash.xxh64_intdigest
         for r1, r2, data, raw in _texts(batches):
             at, lo, hi, bucket = anchors(data, length)
+            if buckets is not None and len(at):
+                own = passes(buckets, bucket)
+                at, lo, hi, bucket = at[own], lo[own], hi[own], bucket[own]
             if len(at):
-                digest = xxhash.xxh64_intdigest
                 outer = [digest(raw[i : j + length], k) for i, j, k in zip(lo.tolist(), hi.tolist(), (at - lo).tolist())]
-                full = lambda v: np.full(len(at), v, np.int64)  # noqa: B023, E731
                 yield {
-                    "r1": full(r1), "r2": full(r2), "at": at, "near": (at - hi).astype(np.int32), "far": (at - lo).astype(np.int32),
+                    "r1": np.full(len(at), r1, np.int64), "r2": np.full(len(at), r2, np.int64), "at": at,
+                    "near": (at - hi).astype(np.int32), "far": (at - lo).astype(np.int32),
                     "bucket": bucket.view(np.int64), "outer": np.array(outer, np.uint64).view(np.int64),
                 }
 
-    schema = "r1 long, r2 long, at long, near int, far int, bucket long, outer long"
-    return scan(named.select("r1", "r2", "_text"), lambda b: _packed(made(b)), schema)
+    return scan(named.select("r1", "r2", "_text"), lambda b: _packed(made(b)), ANCHOR)
 
 
-def _contexts(named: DataFrame, live: np.ndarray, length: int) -> DataFrame:
-    """The anchors of the buckets that pass the filter again, with their outer strings."""
+def _contexts(named: DataFrame, wanted: np.ndarray, length: int) -> DataFrame:
+    """Anchors that pass the filter (by ``r1 XOR at``) with their outer strings."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for r1, r2, data, raw in _texts(batches):
-            at, lo, hi, bucket = anchors(data, length)
-            own = np.flatnonzero(passes(live, bucket)) if len(at) else []
+            at, lo, hi, _ = anchors(data, length)
+            own = np.flatnonzero(passes(wanted, at ^ np.int64(r1))) if len(at) else []
             if len(own):
                 at, lo, hi = at[own], lo[own], hi[own]
                 yield {
@@ -149,66 +160,131 @@ def _contexts(named: DataFrame, live: np.ndarray, length: int) -> DataFrame:
     return scan(named.select("r1", "r2", "_text"), lambda b: _packed(made(b), 4_000), "r1 long, r2 long, at long, outer_bytes binary")
 
 
-def _counted(level: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes with their members and a representative; the representatives of buckets that need a finer look."""
-    rep = F.struct("r1", "r2", "at", "near", "far")
-    classes = level.groupBy("bucket", "outer").agg(F.count(F.lit(1)).alias("n"), F.min(rep).alias("rep"))
-    classes = settle(classes, "suffix-classes")
-    open_ = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("n").alias("_least")).where("_c > 1 AND _least = 1")
-    live = classes.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "rep.*")
-    return classes, live
+#: An anchor in a bucket to refine: range of offsets, own offsets, and the outer string, which starts ``left`` before the anchor.
+Member = tuple[int, int, int, int, bytes]
 
 
-def _members(level: DataFrame, classes: DataFrame, length: int, prefilter: bool) -> DataFrame:
-    """Spans of all strings of the anchors whose class has two members or more."""
-    twice = classes.where("n > 1").select("bucket", "outer")
-    if prefilter:
-        words = key_filter(twice, "outer")
+def refine(members: list[Member], length: int, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+    """(member, near, far) of the repeated strings among anchors of one bucket, for the offsets ``first`` to ``last``.
+
+    Members with equal outer strings are settled; one of each kind goes on into the two halves of the range, by their cores there.
+    """
+    todo = [(first, last, list(range(len(members))))]
+    while todo:
+        first, last, own = todo.pop()
+        classes: dict[tuple, list[int]] = {}
+        for m in own:
+            _, left, lo, hi, data = members[m]
+            lo, hi = max(lo, first), min(hi, last)
+            classes.setdefault((lo, hi, data[left - hi : left - lo + length]), []).append(m)
+        for (lo, hi, _), same in classes.items():
+            if len(same) > 1:
+                yield from ((m, lo, hi) for m in same)
+        if len(classes) == 1 or first == last or all(len(same) > 1 for same in classes.values()):
+            continue
+        half = (first + last) // 2
+        for a, b in ((first, half), (half + 1, last)):
+            buckets: dict[bytes, list[int]] = {}
+            for m, *_ in classes.values():
+                _, left, lo, hi, data = members[m]
+                if lo <= b and hi >= a:
+                    buckets.setdefault(data[left - a : left - b + length], []).append(m)
+            todo += [(a, b, x) for x in buckets.values() if len(x) > 1]
+
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(passes(words, b.column(b.schema.get_field_index("outer")).to_numpy())))
+OPEN = "key long, o1 int, o2 int, r1 long, r2 long, at long, left int, near int, far int, outer_bytes binary"
+SPAN = "s1 long, s2 long, start long, end long"
 
-        level = scan(level, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in level.schema.fields))
-    spans = level.join(twice, ["bucket", "outer"], "left_semi")
-    return spans.select("r1", "r2", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end"))
 
+def _refined(level: DataFrame, length: int, limit: int) -> DataFrame:
+    """Spans of buckets of up to ``limit`` anchors, refined by one task each; the anchors of larger ones as they are.
 
-def repeats(named: DataFrame, length: int = LENGTH) -> DataFrame:
+    Where the range is one offset, a bucket's strings are all equal and nothing is left to refine.
+    """
+    names = [x.split()[0] for x in OPEN.split(", ")]
+    out = arrow_schema(f"{SPAN}, {OPEN}")
+
+    def batch(spans: list, rest: list) -> pa.RecordBatch:
+        table = [(*x, *[None] * len(names)) for x in spans] + [(None, None, None, None, *x) for x in rest]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*table), out)], schema=out)
+
+    def span(row: tuple, near: int, far: int) -> tuple:
+        return row[3], row[4], row[5] - far, row[5] - near + length
+
+    def settled(group: list) -> list:
+        if len(group) < 2:
+            return []
+        members = [(r[5], r[6], r[7], r[8], r[9]) for r in group]
+        return [span(group[m], near, far) for m, near, far in refine(members, length, group[0][1], group[0][2])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, large = None, [], False
+        spans: list = []
+        rest: list = []
+        for columns in rows(batches, *names, size=4096):
+            for row in zip(*columns):
+                if row[0] != key:
+                    spans += settled(group)
+                    key, group, large = row[0], [], False
+                group.append(row)
+                if large or len(group) > limit:
+                    large = True
+                    if row[1] == row[2]:
+                        spans += [span(r, r[7], r[8]) for r in group]
+                    else:
+                        rest += group
+                    group = []
+            if len(spans) + len(rest) > 4096:
+                yield batch(spans, rest)
+                spans, rest = [], []
+        spans += settled(group)
+        if spans or rest:
+            yield batch(spans, rest)
+
+    return scan(level.select(*names).repartition("key").sortWithinPartitions("key"), run, f"{SPAN}, {OPEN}")
+
+
+def _halved(large: DataFrame, length: int) -> DataFrame:
+    """Anchors of large buckets in the buckets of the cores of both halves of their range."""
+    half = F.floor((F.col("o1") + F.col("o2")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("o1"), half.alias("o2")), F.struct((half + 1).alias("o1"), F.col("o2")))
+    split = large.withColumn("_half", F.explode(halves)).withColumns({"o1": F.col("_half.o1"), "o2": F.col("_half.o2")})
+    split = split.where("o1 <= far AND o2 >= near").withColumns({"near": F.greatest("near", "o1"), "far": F.least("far", "o2")})
+    core = F.substring("outer_bytes", F.col("left") - F.col("o1") + 1, F.col("o1") - F.col("o2") + length)
+    return split.withColumn("key", F.xxhash64("key", "o1", "o2", core)).drop("_half")
+
+
+def repeats(named: DataFrame, length: int = LENGTH, limit: int = GROUP) -> DataFrame:
     """``r1, r2, start, end``: spans of bytes whose strings of ``length`` bytes all start somewhere else too. They may overlap."""
-    level = settle(_first_level(named, length), "suffix-anchors")
-    classes, live = _counted(level)
-    live = settle(live, "suffix-live")
-    spans = [settle(_members(level, classes, length, True), "suffix-spans")]
-    if live.isEmpty():
+    by_bucket = _anchors(named, length).groupBy("bucket")
+    seen = by_bucket.agg(F.count(F.lit(1)).alias("n"), F.min("outer").alias("_a"), F.max("outer").alias("_b")).where("n > 1")
+    seen = settle(seen.select("bucket", (F.col("_a") == F.col("_b")).alias("equal")), "suffix-buckets")
+    span = ["r1", "r2", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end")]
+    # buckets whose outer strings are all equal
+    equal, mixed = seen.where("equal").select("bucket"), seen.where("NOT equal").select("bucket")
+    spans = [settle(_anchors(named, length, key_filter(equal, "bucket")).join(equal, "bucket", "left_semi").select(*span), "suffix-spans")]
+    if mixed.isEmpty():
         return spans[0]
-    found = _contexts(named, key_filter(live.select("bucket").distinct(), "bucket"), length)
-    own = ["r1", "r2", "at"]
-    open_ = settle(live.join(found.dropDuplicates(own), own), "suffix-contexts")
-    # bytes of the outer string start at the anchor's ``far`` offset, which stays as ``_left``
-    open_ = open_.select(*own, F.col("far").alias("_left"), "near", "far", F.lit(0).alias("o1"), F.lit(length - Q).alias("o2"), "outer_bytes")
-    ranges = [(0, length - Q)]
-    while any(a < b for a, b in ranges):
-        ranges = sorted({x for a, b in ranges for x in ((a, (a + b) // 2), ((a + b) // 2 + 1, b)) if x[0] <= x[1]})
-        half = F.floor((F.col("o1") + F.col("o2")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("o1"), half.alias("o2")), F.struct((half + 1).alias("o1"), F.col("o2")))
-        split = open_.select(*own, "_left", "near", "far", "outer_bytes", F.explode(halves).alias("_half"))
-        split = split.where("_half.o1 <= _half.o2 AND _half.o1 <= far AND _half.o2 >= near").select(
-            *own, "_left", "outer_bytes", "_half.*", F.greatest("near", "_half.o1").alias("near"), F.least("far", "_half.o2").alias("far")
-        )
-        piece = lambda left, right: F.substring(F.col("outer_bytes"), F.col("_left") - left + 1, left - right + length)
-        core = F.xxhash64("o1", "o2", piece(F.col("o1"), F.col("o2")))
-        outer = F.xxhash64("near", "far", piece(F.col("far"), F.col("near")))
-        refined = settle(split.withColumns({"bucket": core, "outer": outer}), "suffix-refined")
-        classes, live = _counted(refined)
-        spans.append(settle(_members(refined, classes, length, False), "suffix-spans"))
-        reps = live.select(*own, "near", "far", "bucket")
-        narrow = refined.select(*own, "near", "far", "bucket", "_left", "o1", "o2", "outer_bytes").where("o1 < o2")
-        open_ = narrow.join(reps, [*own, "near", "far", "bucket"], "left_semi")
-        open_ = settle(open_.dropDuplicates([*own, "near", "far", "bucket"]), "suffix-open")
-        if open_.isEmpty():
-            break
-    return reduce(DataFrame.union, spans)
+    # the others: count equal outer strings, then refine one of each kind
+    open_ = settle(_anchors(named, length, key_filter(mixed, "bucket")).join(mixed, "bucket", "left_semi"), "suffix-open")
+    rep = F.min(F.struct("r1", "r2", "at", "near", "far")).alias("rep")
+    classes = settle(open_.groupBy("bucket", "outer").agg(F.count(F.lit(1)).alias("n"), rep), "suffix-classes")
+    twice = classes.where("n > 1").select("bucket", "outer")
+    spans.append(settle(open_.join(twice, ["bucket", "outer"], "left_semi").select(*span), "suffix-spans"))
+    alone = classes.groupBy("bucket").agg(F.min("n").alias("_least")).where("_least = 1").select("bucket")
+    reps = settle(classes.join(alone, "bucket", "left_semi").select("bucket", "rep.*"), "suffix-representatives")
+    wanted = key_filter(reps.select(F.col("r1").bitwiseXOR(F.col("at")).alias("key")), "key")
+    level = reps.join(_contexts(named, wanted, length), ["r1", "r2", "at"]).select(
+        F.col("bucket").alias("key"), F.lit(0).alias("o1"), F.lit(length - Q).alias("o2"),
+        "r1", "r2", "at", F.col("far").alias("left"), "near", "far", "outer_bytes",
+    )
+    while True:
+        found = settle(_refined(level, length, limit), "suffix-refined")
+        spans.append(found.where("s1 IS NOT NULL").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "start", "end"))
+        large = found.where("key IS NOT NULL").select("key", "o1", "o2", "r1", "r2", "at", "left", "near", "far", "outer_bytes")
+        if large.isEmpty():
+            return reduce(DataFrame.union, spans)
+        level = _halved(large, length)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -25,8 +25,9 @@ def test_against_brute_force(spark, corpus, monkeypatch):
     texts = [text(rng.randint(0, 200)) + rng.choice(shared)[rng.randint(0, 20) :] + text(rng.randint(0, 100)) for _ in range(60)]
     texts += [texts[0], texts[1][:-3], "x" * 300, "xy" * 200, None, "", shared[3] * 3]
     docs = corpus(*texts, ids=[*range(len(texts) - 1), None])
-    for length, bits in ((64, 19), (64, 8), (200, 19)):
+    for length, bits, group in ((64, 19, 20_000), (64, 8, 2), (200, 19, 20_000)):
         monkeypatch.setattr(s, "CHUNK_BITS", bits)
+        monkeypatch.setattr(s.repeats, "__defaults__", (s.LENGTH, group))
         rows = {r.doc_id: r for r in s.cut(docs, length=length).collect()}
         got = [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in (rows[x.doc_id] for x in docs.collect())]
         assert got == brute(texts, length)
