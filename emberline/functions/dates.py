@@ -5,12 +5,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy")
+#: Besides ISO texts: the month comes first where both orders make a date.
+DATE_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "yyyyMMdd")
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Day of a text in any of ``formats``; NULL where none fits."""
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]))
+    """Day named by an ISO text, with or without a time, or by a text in any of ``formats``; NULL where none fits."""
+    text = F.trim(c)
+    iso = F.when(text.rlike(ISO_TIME), day_prefix(text))
+    return F.coalesce(iso, F.to_date(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])))
 
 
 def day_prefix(c: Column) -> Column:

@@ -122,24 +122,24 @@ def _chosen(points: DataFrame, limit: int | None, start, end, order: tuple) -> D
     return clean.head(chosen, limit, *(order or ("date", "lat", "lon"))).select("lat", "lon", "date")
 
 
-def weather(points, weather_daily, meta, limit: int | None = 20, start=None, end=None, order: tuple = ()) -> DataFrame:
+def weather(points, weather_daily, meta, limit: int | None = None, start=None, end=None, order: tuple = ()) -> DataFrame:
     return add_weather(_chosen(points, limit, start, end, order), weather_daily, meta)
 
 
-def veg_index(points, scenes, clouds, meta, limit: int | None = 20, start=None, end=None, order: tuple = ()) -> DataFrame:
+def veg_index(points, scenes, clouds, meta, limit: int | None = None, start=None, end=None, order: tuple = ()) -> DataFrame:
     chosen = _chosen(points, limit, start, end, order)
     return add_veg_index(chosen, scenes, clouds, meta).select("NDVI", "NDWI", "lat", "lon", "date")
 
 
-def terrain(points, dem, meta, limit: int | None = 20, start=None, end=None, order: tuple = ()) -> DataFrame:
+def terrain(points, dem, meta, limit: int | None = None, start=None, end=None, order: tuple = ()) -> DataFrame:
     return add_terrain(_chosen(points, limit, start, end, order), dem, meta)
 
 
-def land_cover(points, cover, legend, meta, limit: int | None = 20, start=None, end=None, order: tuple = ()) -> DataFrame:
+def land_cover(points, cover, legend, meta, limit: int | None = None, start=None, end=None, order: tuple = ()) -> DataFrame:
     chosen = _chosen(points, limit, start, end, order)
     return add_land_cover(chosen, cover, legend, meta).select("vegetacion2", "lat", "lon", "date")
 
 
-def soil(points, soil_cells, meta, limit: int | None = 20, start=None, end=None, order: tuple = ()) -> DataFrame:
+def soil(points, soil_cells, meta, limit: int | None = None, start=None, end=None, order: tuple = ()) -> DataFrame:
     chosen = _chosen(points, limit, start, end, order)
     return add_soil(chosen, soil_cells, meta).select("SOC", "lat", "lon", "date")

@@ -22,10 +22,19 @@ def any_missing(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return reduce(lambda a, b: a | b, [missing(df, c) for c in columns or df.columns])
 
 
-def normalise_date(df: DataFrame, column: str = "date", formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """Turn a date, timestamp or text column of mixed formats into a date."""
-    kind = dict(df.dtypes)[column]
-    value = parse_date(F.col(column), formats) if kind == "string" else F.to_date(column)
+def normalise_date(
+    df: DataFrame, column: str = "date", formats: Sequence[str] = DATE_FORMATS, strict: bool = False
+) -> DataFrame:
+    """Turn a date, timestamp or text column of mixed formats into a date.
+
+    A text that is no date becomes NULL, or with ``strict`` an error.
+    """
+    if dict(df.dtypes)[column] != "string":
+        return df.withColumn(column, F.to_date(column))
+    value = parse_date(F.col(column), formats)
+    if strict:
+        problem = F.raise_error(F.concat(F.lit(f"no date in column {column}: "), F.col(column))).cast("date")
+        value = F.when(value.isNull() & F.col(column).isNotNull(), problem).otherwise(value)
     return df.withColumn(column, value)
 
 
@@ -96,8 +105,9 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column, count, mean, std, min, p25, p50, p75, max``; the quantiles are exact."""
-    long = _long(df, columns or numeric_columns(df), "double").where("value IS NOT NULL AND NOT isnan(value)")
+    """``column, count, mean, std, min, p25, p50, p75, max``; the quantiles are exact. A column without values has count 0."""
+    columns = columns or numeric_columns(df)
+    long = _long(df, columns, "double").where("value IS NOT NULL AND NOT isnan(value)")
     moments = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("value").alias("mean"),
@@ -106,7 +116,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         F.max("value").alias("max"),
     )
     parts = quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return moments.join(parts, "column").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    met = every.join(moments.join(parts, "column"), "column", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    return met.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def value_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -132,7 +144,7 @@ def monthly_nulls(points: DataFrame, null_rows: DataFrame, date: str = "date") -
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """``bin, low, high, n`` of equal bins from minimum to maximum; the last bin is closed, empty bins are absent."""
+    """``bin, low, high, n`` of equal bins from minimum to maximum; the last bin is closed."""
     value = F.col(column).cast("double")
     values = df.select(value.alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
     low, high = values.agg(F.min("v"), F.max("v")).first()
@@ -142,9 +154,11 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
         low, high = low - 0.5, high + 0.5
     number = F.least(F.floor((F.col("v") - low) / (high - low) * bins) + 1, F.lit(bins)).cast("int")
     width = (high - low) / bins
+    counted = values.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return (
-        values.groupBy(number.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        every.join(counted, "bin", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
         .select("bin", (F.lit(low) + (F.col("bin") - 1) * width).alias("low"), (F.lit(low) + F.col("bin") * width).alias("high"), "n")
     )
 
@@ -161,6 +175,6 @@ def drop_unusable_cover(df: DataFrame, column: str = "vegetacion2") -> DataFrame
 
 
 def drop_water_urban(df: DataFrame, legend: DataFrame, column: str = "vegetacion2") -> DataFrame:
-    """Without rows whose cover is the label of a water or urban code: one of 21 codes, so a tiny list."""
-    labels = legend.where(F.col("code").isin(*WATER_URBAN_COVER)).groupBy("code").agg(F.min("label").alias(column))
-    return df.join(F.broadcast(labels.select(column)), column, "left_anti")
+    """Without rows whose cover is a label of a water or urban code, whatever number of labels a code has."""
+    labels = legend.where(F.col("code").isin(*WATER_URBAN_COVER)).select(F.col("label").alias(column)).distinct()
+    return df.join(labels, column, "left_anti")

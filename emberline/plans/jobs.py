@@ -1,6 +1,7 @@
 """The entry points: whole jobs composed of the operators."""
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import date
 from functools import reduce
 
@@ -71,14 +72,18 @@ def build_environment(
     clouds: DataFrame,
     dem: DataFrame,
     meta: RasterMeta,
-    limit: int | None = 100,
+    limit: int | None = None,
     start: date | str | None = None,
     end: date | str | None = None,
     seed: int = 42,
+    weather_meta: RasterMeta | None = None,
+    scenes_meta: RasterMeta | None = None,
+    dem_meta: RasterMeta | None = None,
 ) -> DataFrame:
     """Fires and synthetic non-fires with land cover, weather, vegetation and terrain.
 
-    The limit (-1 for none) takes fires before non-fires, the largest first, before anything is looked up.
+    ``meta`` is the land cover's grid and nodata value; every other raster may have its own.
+    A limit takes fires before non-fires, the largest first, before anything is looked up.
     """
     fires = settle(fetch_fires(hotspots, start, end), "fires")
     if fires.isEmpty():
@@ -88,21 +93,36 @@ def build_environment(
     chosen = clean.head(merged, limit, F.desc("final"), F.desc_nulls_last("count"), "point_id")
     at = chosen.withColumns({new: F.col(old) for new, old in FIRE_NAMES.items()})
     points = settle(at, "points")
-    days, cells = enrich.cell_days(points, meta), enrich.cells(points, meta)
-    points = enrich.add_weather(points, weather_daily, meta, days)
-    points = enrich.add_veg_index(points, scenes, clouds, meta, counts=days)
-    points = enrich.add_terrain(points, dem, meta, cells)
+    weather_meta, scenes_meta, dem_meta = weather_meta or meta, scenes_meta or meta, dem_meta or meta
+    days, cells = enrich.cell_days(points, weather_meta), enrich.cells(points, meta)
+    scene_days = days if _same_grid(scenes_meta, weather_meta) else enrich.cell_days(points, scenes_meta)
+    dem_cells = cells if _same_grid(dem_meta, meta) else enrich.cells(points, dem_meta)
+    points = enrich.add_weather(points, weather_daily, weather_meta, days)
+    points = enrich.add_veg_index(points, scenes, clouds, scenes_meta, counts=scene_days)
+    points = enrich.add_terrain(points, dem, dem_meta, dem_cells)
     points = enrich.add_land_cover(points, cover, legend, meta, cells)
     return points.select("vegetacion2", *[c for c in points.columns if c != "vegetacion2"])
 
 
+def _same_grid(a: RasterMeta, b: RasterMeta) -> bool:
+    return replace(a, nodata=b.nodata) == b
+
+
+def _suffixed(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns that both tables have, but for the key, end in ``_x`` and ``_y``."""
+    shared = set(left.columns) & set(right.columns) - set(KEY)
+    return tuple(df.withColumnsRenamed({c: c + end for c in shared}) for df, end in ((left, "_x"), (right, "_y")))
+
+
 def merge_features(tables: Sequence[DataFrame]) -> DataFrame:
-    """Left-join feature tables to the first one on (lat, lon, date), dates brought to whole days."""
+    """Left-join feature tables to the first one on (lat, lon, date), dates brought to whole days.
+
+    A text that is no date stops the job: as a NULL it would meet every other such row of its place.
+    """
     if len(tables) < 2:
         raise ValueError("at least two tables are needed")
-    first, *others = [quality.normalise_date(t) for t in tables]
-    sizes = bucket_sizes(first, KEY)
-    return reduce(lambda a, b: skew_join(a, b, KEY, "left", sizes), others, first)
+    dated = [quality.normalise_date(t, strict=True) for t in tables]
+    return reduce(lambda a, b: skew_join(*_suffixed(a, b), KEY, "left"), dated)
 
 
 def _by_day(df: DataFrame) -> DataFrame:

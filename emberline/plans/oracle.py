@@ -259,12 +259,13 @@ JOIN s2_cloud c ON c.scene_id = s.scene_id AND cs_cdf >= 0.5 GROUP BY p.{key}"""
 def slopes(points: str, key: str) -> str:
     """``key``, elevation and slope of points with row, col."""
     return f"""
-SELECT p.{key}, o.value AS elevacion_centro, degrees(atan(sqrt(
+WITH known AS (SELECT row, col, value FROM dem_cell WHERE value <> -9999)
+SELECT p.{key}, o.value AS elevacion_centro, CASE WHEN o.value IS NOT NULL THEN degrees(atan(sqrt(
   pow((e.value - w.value) / (cos(radians(56 - (p.row + 0.5) * 0.05)) * (2 * 0.05 * 111320)), 2)
-  + pow((n.value - s.value) / (2 * 0.05 * 111320), 2)))) AS grados
-FROM {points} p LEFT JOIN dem_cell o ON o.row = p.row AND o.col = p.col
-LEFT JOIN dem_cell n ON n.row = p.row - 1 AND n.col = p.col LEFT JOIN dem_cell s ON s.row = p.row + 1 AND s.col = p.col
-LEFT JOIN dem_cell w ON w.row = p.row AND w.col = p.col - 1 LEFT JOIN dem_cell e ON e.row = p.row AND e.col = p.col + 1"""
+  + pow((n.value - s.value) / (2 * 0.05 * 111320), 2)))) END AS grados
+FROM {points} p LEFT JOIN known o ON o.row = p.row AND o.col = p.col
+LEFT JOIN known n ON n.row = p.row - 1 AND n.col = p.col LEFT JOIN known s ON s.row = p.row + 1 AND s.col = p.col
+LEFT JOIN known w ON w.row = p.row AND w.col = p.col - 1 LEFT JOIN known e ON e.row = p.row AND e.col = p.col + 1"""
 
 
 WEATHER_LIST = ", ".join(WEATHER_COLUMNS)

@@ -121,7 +121,7 @@ LEFT JOIN land_cover_cell c ON c.row = h.row AND c.col = h.col LEFT JOIN cover_l
 def _(spark):
     path = scratch(spark)
     legend = spark.table("cover_legend").select(F.col("code").alias("Unnamed: 0"), F.col("label").alias("Column6"))
-    legend.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    tables.write_csv(legend, path)
     coded = raster.sample(spark.table("hotspot"), spark.table("land_cover_cell"), COVER_META, "code", "latitude", "longitude")
     return raster.label(coded, tables.read_legend(spark, path), "code", "vegetacion2").groupBy("vegetacion2").agg(F.count(F.lit(1)).alias("n"))
 
@@ -591,15 +591,14 @@ def _(spark):
     "hotspot",
     "weather_daily",
     oracle=f"""SELECT p.lat, p.lon, p.date, {WEATHER_LIST} FROM (SELECT latitude AS lat, longitude AS lon, acq_date AS date,
-{pixel("latitude", "longitude")} FROM hotspot WHERE acq_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-09'
-ORDER BY acq_date, latitude, longitude LIMIT 20) p
+{pixel("latitude", "longitude")} FROM hotspot WHERE acq_date IS NOT NULL) p
 LEFT JOIN weather_daily w ON w.row = p.row AND w.col = p.col AND w.date = p.date""",
 )
 def _(spark):
     points = spark.table("hotspot").select(
         F.col("latitude").alias("lat_mean"), F.col("longitude").alias("lon_mean"), F.col("acq_date").alias("date_first")
     )
-    return enrich.weather(points, spark.table("weather_daily"), COVER_META, start="2024-01-03", end="2024-01-09")
+    return enrich.weather(points, spark.table("weather_daily"), COVER_META)
 
 
 @query(
@@ -613,7 +612,7 @@ def _(spark):
     points = spark.table("hotspot").select(
         F.col("latitude").alias("lat_mean"), F.col("longitude").alias("lon_mean"), F.col("acq_date").alias("date_first")
     )
-    return enrich.soil(points, spark.table("soil_cell"), SOIL_META, limit=-1)
+    return enrich.soil(points, spark.table("soil_cell"), SOIL_META)
 
 
 # ---- synthetic points -----------------------------------------------------------------------------------
@@ -723,7 +722,7 @@ def _(spark):
     t = spark.table
     env = jobs.build_environment(
         t("hotspot"), edges_of(spark), t("land_cover_cell"), t("cover_legend"), t("weather_daily"), t("s2_scene"),
-        t("s2_cloud"), t("dem_cell"), COVER_META, limit=-1,
+        t("s2_cloud"), t("dem_cell"), COVER_META, dem_meta=SOIL_META,
     )
     out = env.select(
         "vegetacion2", "point_id", "fire_id", "lat_mean", "lon_mean", "frp_sum", "count", "date_first", "area_ha", "final",
@@ -911,8 +910,10 @@ def _(spark):
 
 
 def _histogram_sql(value: str, table: str, bins: int) -> str:
-    return f"""SELECT CAST(least(floor((v - lo) / (hi - lo) * {bins}) + 1, {bins}) AS INT) AS bin, count(*) AS n
-FROM (SELECT {value} AS v FROM {table}) CROSS JOIN (SELECT min({value}) AS lo, max({value}) AS hi FROM {table}) WHERE v IS NOT NULL GROUP BY ALL"""
+    return f"""SELECT CAST(b AS INT) AS bin, coalesce(n, 0) AS n FROM range(1, {bins} + 1) r(b) LEFT JOIN
+(SELECT CAST(least(floor((v - lo) / (hi - lo) * {bins}) + 1, {bins}) AS INT) AS bin, count(*) AS n
+FROM (SELECT {value} AS v FROM {table}) CROSS JOIN (SELECT min({value}) AS lo, max({value}) AS hi FROM {table}) WHERE v IS NOT NULL GROUP BY ALL)
+h ON h.bin = b"""
 
 
 @query("a18_histogram_area", "labelled_point", oracle=_histogram_sql("area_ha", "labelled_point", 15))

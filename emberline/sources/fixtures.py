@@ -50,7 +50,8 @@ SELECT row, col, CASE WHEN (row * 13 + col * 29) % 89 < 20 THEN CAST(-9999 AS DO
 """,
     "dem_cell": """
 WITH c AS (SELECT CAST(floor(id / 820) AS INT) AS row, CAST(id % 820 AS INT) AS col FROM range(344400) t(id))
-SELECT row, col, CAST(((row - 200) * (row - 200) + 3 * col) % 1500 AS DOUBLE) AS value FROM c
+SELECT row, col, CASE WHEN (row * 31 + col) % 97 = 0 THEN CAST(-9999 AS DOUBLE) WHEN (row * 13 + col) % 53 = 0 THEN CAST(-1 AS DOUBLE)
+  ELSE CAST(((row - 200) * (row - 200) + 3 * col) % 1500 AS DOUBLE) END AS value FROM c
 """,
     "cover_legend": """
 SELECT CAST(id AS INT) AS code, CASE id WHEN 20 THEN ' Otro ' WHEN 44 THEN 'Sin datos'

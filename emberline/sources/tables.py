@@ -10,6 +10,10 @@ from emberline.operators.zones import mask_name
 from emberline.schema import COVER_LEGEND, RINGS
 
 
+#: What an empty field without quotes is read as, and so NULL; an empty text in quotes stays a text.
+NO_VALUE = "\0"
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """One Parquet table; NaN in floating columns becomes NULL."""
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
@@ -29,15 +33,22 @@ def read_rings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, sep: str = ",", encoding: str = "utf-8", header: bool = True
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    sep: str = ",",
+    encoding: str = "utf-8",
+    header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", header).option("sep", sep).option("encoding", encoding)
-    return nan_to_null(reader.csv(path))
+    """Standard CSV: quotes double inside quotes. ``multi_line`` allows line breaks there, but then a file is not split."""
+    reader = spark.read.schema(schema).options(header=header, sep=sep, encoding=encoding, multiLine=multi_line)
+    return nan_to_null(reader.options(quote='"', escape='"', nullValue=NO_VALUE).csv(path))
 
 
 def read_legend(spark: SparkSession, path: str, code: str = "Unnamed: 0", label: str = "Column6") -> DataFrame:
     """``code, label`` of the land-cover legend. The code column may have no name in the file."""
-    raw = spark.read.option("header", True).option("encoding", "utf-8").csv(path)
+    raw = spark.read.options(header=True, encoding="utf-8", quote='"', escape='"').csv(path)
     source = code if code in raw.columns else raw.columns[0]
     return raw.select(
         F.expr(f"try_cast(`{source}` AS INT)").alias("code"), F.col(f"`{label}`").alias("label")
@@ -52,7 +63,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), date
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Standard CSV. Spaces stay; an empty text is written in quotes, NULL as nothing."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": '""'}
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"', **keep).csv(path)
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: StructType, **options) -> DataFrame:

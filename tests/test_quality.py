@@ -61,7 +61,7 @@ def test_histogram_equals_numpy(spark, bins):
 
 def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([(3.0,), (3.0,)], "v double")
-    assert [tuple(r) for r in quality.histogram(df, "v", 2).collect()] == [(2, 3.0, 3.5, 2)]
+    assert [tuple(r) for r in quality.histogram(df, "v", 2).orderBy("bin").collect()] == [(1, 2.5, 3.0, 0), (2, 3.0, 3.5, 2)]
 
 
 def test_unusable_words_in_any_dress(spark):
@@ -116,3 +116,32 @@ def test_profile_parts(views):
     assert set(parts) == {"head", "completeness", "describe", "value_shares", "n_unique"}
     assert parts["head"].count() == 10
     assert all(df.count() for df in parts.values())
+
+
+def test_date_spellings(spark):
+    texts = ["03/04/2024", "25/12/2024", "2024-01-05 10:00", "2024-01-05T10:00:00.123456", "2024-01-05T10:00:00Z", "2024/01/05", "no date", None]
+    df = spark.createDataFrame([(t,) for t in texts], "date string")
+    got = [str(r[0]) for r in quality.normalise_date(df).collect()]
+    assert got == ["2024-03-04", "2024-12-25", *["2024-01-05"] * 4, "None", "None"]
+    with pytest.raises(Exception, match="no date"):
+        quality.normalise_date(df, strict=True).collect()
+
+
+def test_columns_without_values_and_all_labels(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
+    assert {r["column"]: r["count"] for r in quality.describe(df).collect()} == {"a": 2, "b": 0}
+    bins = quality.histogram(spark.createDataFrame([(1.0,), (2.0,), (10.0,)], "v double"), "v", 9)
+    assert [r.n for r in bins.orderBy("bin").collect()] == [1, 1, 0, 0, 0, 0, 0, 0, 1]
+    code = min(quality.WATER_URBAN_COVER)
+    legend = spark.createDataFrame([(code, "lake"), (code, "river")], "code int, label string")
+    kept = quality.drop_water_urban(spark.createDataFrame([("lake",), ("river",), ("pine",)], "vegetacion2 string"), legend)
+    assert [r[0] for r in kept.collect()] == ["pine"]
+
+
+def test_merge_suffixes_shared_columns(spark):
+    from emberline.plans.jobs import merge_features
+
+    make = lambda v: spark.createDataFrame([(1.0, 2.0, "2024-01-05", v)], "lat double, lon double, date string, final int")
+    merged = merge_features([make(1), make(2), make(3)])
+    assert sorted(merged.columns) == ["date", "final", "final_x", "final_y", "lat", "lon"]
+    assert (merged.first().final_x, merged.first().final_y, merged.first().final) == (1, 2, 3)

@@ -82,3 +82,16 @@ def test_label_union_is_stored_per_year_with_text_dates(spark, tmp_path, hot):
     tables.write_label_union(hot.withColumnRenamed("acq_date", "date_first"), path)
     got = spark.read.parquet(path).where("year = 2022")
     assert {r["date_first"] for r in got.collect()} == {"2022-05-01"}
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ['say "hi", ok', " Otro ", "", None, "a;b", "two\nlines", "back\\slash", '"']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    tables.write_csv(df.coalesce(1), str(tmp_path / "out"))
+    back = tables.read_csv(spark, str(tmp_path / "out"), df.schema, multi_line=True)
+    assert {r.i: r.t for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_csv_of_others(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('i,t\n1,"say ""hi"", ok"\n2,plain\n', encoding="utf-8")
+    assert [r.t for r in tables.read_csv(spark, str(tmp_path / "in.csv"), "i int, t string").collect()] == ['say "hi", ok', "plain"]
