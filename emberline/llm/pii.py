@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.operators.lineage import settle
+
 KEY = "emberline-surrogates-1"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -80,40 +82,40 @@ def _random(*seed: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *seed), 256), 1, 13), 16, 10).cast("long")
 
 
-def _shift(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
-    """``c`` moved within its alphabet; other characters stay.
-
-    All alphabets are one string; for each of its characters two more strings hold, as code points, where its alphabet
-    starts and how long it is.
-    """
+def _tables(alphabets: tuple[str, ...]) -> Column:
+    """Alphabets as one string, and for each of its characters, as code points, where its alphabet starts and how long it is."""
     whole = "".join(alphabets)
     starts = "".join(chr(1 + whole.index(a)) * len(a) for a in alphabets)
     lengths = "".join(chr(len(a)) * len(a) for a in alphabets)
-    code = lambda table, at: F.ascii(F.substring(F.lit(table), at, F.lit(1)))
-    at = F.when(c == "", 0).otherwise(F.instr(F.lit(whole), c))
+    return F.struct(F.lit(whole).alias("whole"), F.lit(starts).alias("starts"), F.lit(lengths).alias("lengths"))
+
+
+def _shift(c: Column, by: Column, table: Column) -> Column:
+    """``c`` moved within its alphabet; other characters stay."""
+    code = lambda column, at: F.ascii(F.substring(column, at, F.lit(1)))
+    at = F.when(c == "", 0).otherwise(F.instr(table["whole"], c))
 
     def moved(p: Column) -> Column:
-        start = code(starts, p)
-        return F.substring(F.lit(whole), start + F.pmod(p - start + by, code(lengths, p)).cast("int"), F.lit(1))
+        start = code(table["starts"], p)
+        return F.substring(table["whole"], start + F.pmod(p - start + by, code(table["lengths"], p)).cast("int"), F.lit(1))
 
     return _let(at, lambda p: F.when(p > 0, moved(p)).otherwise(c))
 
 
-def _half(moved: Column, other: Column, tweak: Column, turn: int, key: str, alphabets: tuple[str, ...]) -> Column:
-    """One half, each character shifted by a keyed number of the other half (its case aside) and the place."""
-    seed = F.concat_ws("|", F.lit(f"{key}|{turn}"), tweak, F.lower(other))
-    chars = F.split(moved, "")
-    return F.array_join(F.transform(chars, lambda c, i: _shift(c, _random(seed, i.cast("string")), alphabets)), "")
-
+def permuted(value: Column, tweak: Column, table: Column, key: str = KEY) -> Column:
+    """A keyed permutation of the strings with the format of ``value``; another one for each ``tweak``.
 
-def permuted(value: Column, tweak: Column, key: str = KEY, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
-    """A keyed permutation of the strings with the format of ``value``; another one for each ``tweak``."""
+    Each turn moves one half by keyed numbers of the other half (its case aside) and the place, then swaps the two.
+    """
     half = F.floor(F.length(value) / 2).cast("int")
-    state = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"))
-    for turn in range(2):
-        state = _let(state, lambda s, t=turn: F.struct(_half(s["l"], s["r"], tweak, 2 * t, key, alphabets).alias("l"), s["r"].alias("r")))
-        state = _let(state, lambda s, t=turn: F.struct(s["l"].alias("l"), _half(s["r"], s["l"], tweak, 2 * t + 1, key, alphabets).alias("r")))
-    return _let(state, lambda s: F.concat(s["l"], s["r"]))
+    halves = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"))
+
+    def turn(s: Column, t: Column) -> Column:
+        seed = F.concat_ws("|", F.lit(key), t.cast("string"), tweak, F.lower(s["r"]))
+        moved = F.transform(F.split(s["l"], ""), lambda c, i: _shift(c, _random(seed, i.cast("string")), table))
+        return F.struct(s["r"].alias("l"), F.array_join(moved, "").alias("r"))
+
+    return F.aggregate(F.array(*map(F.lit, range(4))), halves, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
 def _digits(value: Column) -> Column:
@@ -130,41 +132,35 @@ def _filled(form: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(form, ""), one), "")
 
 
-def _email(e: Column, key: str) -> Column:
+def _part(value: Column, tweak: Column | str = "") -> Column:
+    return F.struct(value.alias("value"), (F.lit(tweak) if isinstance(tweak, str) else tweak).alias("tweak"))
+
+
+#: For each type what is permuted, and how the permuted parts ``p`` make the surrogate of ``e``.
+def _email(e: Column) -> tuple[Column, Callable[[Column], Column]]:
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     name, top = F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 1), F.regexp_extract(domain, r"^(.*)(\.[^.]*)$", 2)
     reserved = F.lower(domain).rlike(r"(^|\.)example(\.(com|org|net))?$")
-    new_domain = F.when(reserved, domain).otherwise(F.concat(permuted(name, F.lower(top), key), top))
-    return F.concat(permuted(local, F.lower(domain), key), F.lit("@"), new_domain)
+    parts = F.array(_part(local, F.lower(domain)), _part(name, F.lower(top)))
+    return parts, lambda p: F.concat(p[0], F.lit("@"), F.when(reserved, domain).otherwise(F.concat(p[1], top)))
 
 
-def _ip(e: Column, key: str) -> Column:
-    octets = F.transform(F.split(e, r"\."), lambda x: x.cast("long"))
-    state = _let(octets, lambda o: F.struct((o[0] * 256 + o[1]).alias("l"), (o[2] * 256 + o[3]).alias("r")))
-    turn = lambda x, y, t: F.pmod(x + _random(F.lit(f"{key}|ip{t}"), y.cast("string")), F.lit(65536))
-    for t in (0, 2):
-        state = _let(state, lambda s, t=t: F.struct(turn(s["l"], s["r"], t).alias("l"), s["r"].alias("r")))
-        state = _let(state, lambda s, t=t: F.struct(s["l"].alias("l"), turn(s["r"], s["l"], t + 1).alias("r")))
-    parts = lambda x: [F.floor(x / 256).cast("string"), (x % 256).cast("string")]
-    return _let(state, lambda s: F.concat_ws(".", *parts(s["l"]), *parts(s["r"])))
-
-
-def _phone(e: Column, key: str) -> Column:
+def _phone(e: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """The exchange of a ten-digit number is permuted apart, by a permutation that leaves ``555`` where it is."""
     country = F.regexp_extract(e, r"^(\+1(?=\D?\(?\d{3})|\+\d{1,3}(?=[^0-9])|\+\d\d)?", 1)
     rest = F.substring(e, F.length(country) + 1, F.length(e))
+    d = _digits(rest)
+    three = F.length(d) == 10
+    exchange = F.substring(d, 4, 3)
+    free = F.when(three, F.concat(F.substring(d, 1, 3), F.substring(d, 7, 4))).otherwise(d)
+    parts = F.array(_part(free, F.concat(country, F.when(three, exchange).otherwise(""))), _part(exchange, "exchange"), _part(F.lit("555"), "exchange"))
 
-    def national(digits: Column) -> Column:
-        n, fictional = F.length(digits), F.substring(digits, F.lit(4), F.lit(3)) == "555"
-        free = F.concat(F.substring(digits, F.lit(1), F.lit(3)), F.substring(digits, F.lit(7), n))
-        moved = lambda x: F.concat(F.substring(x, F.lit(1), F.lit(3)), F.lit("555"), F.substring(x, F.lit(4), n))
-        kept = _let(permuted(free, F.concat(country, F.lit("555")), key), moved)
-        # a number that comes out with the fictional exchange goes round once more, so that nothing meets the kept ones
-        once = lambda d: permuted(d, country, key)
-        out = lambda d: (F.length(d) == 10) & (F.substring(d, F.lit(4), F.lit(3)) == "555")
-        walk = _let(once(digits), lambda a: F.when(out(a), _let(once(a), lambda b: F.when(out(b), once(b)).otherwise(b))).otherwise(a))
-        return F.when((n == 10) & fictional, kept).otherwise(walk)
+    def whole(p: Column) -> Column:
+        new = F.when(exchange == "555", exchange).when(p[1] == "555", p[2]).otherwise(p[1])
+        ten = F.concat(F.substring(p[0], 1, 3), new, F.substring(p[0], 4, 4))
+        return F.concat(country, _filled(rest, F.when(three, ten).otherwise(p[0])))
 
-    return F.concat(country, _let(_digits(rest), lambda d: _filled(rest, national(d))))
+    return parts, whole
 
 
 def _luhn(digits: Column) -> Column:
@@ -174,27 +170,32 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, b: a + b)
 
 
-def _card(e: Column, key: str) -> Column:
-    def moved(d: Column) -> Column:
-        body, check = F.substring(d, F.lit(1), F.length(d) - 1), F.substring(d, -1, 1).cast("int")
-        inner = F.concat(F.substring(body, 1, 1), permuted(F.substring(body, F.lit(2), F.length(body)), F.substring(body, 1, 1), key))
-        off = F.pmod(check + _luhn(body), F.lit(10))  # 0 for a valid number
-        return _let(inner, lambda b: F.concat(b, F.pmod(off - _luhn(b), F.lit(10)).cast("string")))
+def _card(e: Column) -> tuple[Column, Callable[[Column], Column]]:
+    d = _digits(e)
+    body, first = F.substring(d, F.lit(1), F.length(d) - 1), F.substring(d, 1, 1)
+    off = F.pmod(F.substring(d, -1, 1).cast("int") + _luhn(body), F.lit(10))  # 0 for a valid number
+    check = lambda b: F.concat(b, F.pmod(off - _luhn(b), F.lit(10)).cast("string"))
+    return F.array(_part(F.substring(d, F.lit(2), F.length(d) - 2), first)), lambda p: _filled(e, _let(F.concat(first, p[0]), check))
 
-    return _let(_digits(e), lambda d: _filled(e, moved(d)))
+
+def _person(e: Column, gender: Column) -> tuple[Column, Callable[[Column], Column]]:
+    given, family = F.regexp_extract(e, r"^(\S+) ", 1), F.regexp_extract(e, r"(\S+)$", 1)
+    end = F.when(gender == "f", "a").when(gender == "m", "o").otherwise("")
+    parts = F.array(_part(given, "given"), _part(family, "family"))
+    return parts, lambda p: F.concat(F.when(given != "", F.concat(p[0], end, F.lit(" "))).otherwise(""), p[1])
 
 
-def _secret(e: Column, key: str) -> Column:
-    by_case = lambda alphabet: permuted(e, F.lit("hex"), key, (alphabet,))
-    out = F.when(e.rlike("^[0-9a-f]{32,}$"), by_case(HEX[0])).when(e.rlike("^[0-9A-F]{32,}$"), by_case(HEX[1]))
-    return out.otherwise(permuted(e, F.lit("secret"), key))
+def _ip(e: Column, key: str) -> Column:
+    """The four octets as two 16-bit halves."""
+    o = F.transform(F.split(e, r"\."), lambda x: x.cast("long"))
+    halves = F.struct((o[0] * 256 + o[1]).alias("l"), (o[2] * 256 + o[3]).alias("r"))
 
+    def turn(s: Column, t: Column) -> Column:
+        moved = F.pmod(s["l"] + _random(F.lit(f"{key}|ip"), t.cast("string"), s["r"].cast("string")), F.lit(65536))
+        return F.struct(s["r"].alias("l"), moved.alias("r"))
 
-def _person(e: Column, gender: Column, key: str) -> Column:
-    given, family = F.regexp_extract(e, r"^(\S+) ", 1), F.regexp_extract(e, r"(\S+)$", 1)
-    end = F.when(gender == "f", "a").when(gender == "m", "o").otherwise("")
-    named = F.concat(permuted(given, F.lit("given"), key), end, F.lit(" "))
-    return F.concat(F.when(given != "", named).otherwise(""), permuted(family, F.lit("family"), key))
+    text = lambda x: [F.floor(x / 256).cast("string"), (x % 256).cast("string")]
+    return F.aggregate(F.array(*map(F.lit, range(4))), halves, turn, lambda s: F.concat_ws(".", *text(s["l"]), *text(s["r"])))
 
 
 def front_of(match: Column) -> Column:
@@ -215,16 +216,29 @@ def gender_of(front: Column) -> Column:
 
 
 def surrogate(e: Column, kind: Column, gender: Column, key: str = KEY) -> Column:
-    return (
-        F.when(kind == "email", _email(e, key))
-        .when(kind == "ip", _ip(e, key))
-        .when(kind == "phone", _phone(e, key))
-        .when(kind == "card", _card(e, key))
-        .when(kind == "person", _person(e, gender, key))
-        .when(kind == "iban", F.concat(F.substring(e, 1, 2), permuted(F.substring(e, F.lit(3), F.length(e)), F.substring(e, 1, 2), key)))
-        .when(kind == "ssn", _let(permuted(_digits(e), F.lit("ssn"), key), lambda d: _filled(e, d)))
-        .otherwise(_secret(e, key))
-    )
+    ways = {
+        "email": _email(e),
+        "phone": _phone(e),
+        "card": _card(e),
+        "person": _person(e, gender),
+        "iban": (F.array(_part(F.substring(e, F.lit(3), F.length(e)), F.substring(e, 1, 2))), lambda p: F.concat(F.substring(e, 1, 2), p[0])),
+        "ssn": (F.array(_part(_digits(e), "ssn")), lambda p: _filled(e, p[0])),
+    }
+    table = F.when((kind == "secret") & e.rlike("^[0-9a-f]{32,}$"), _tables(HEX[:1]))
+    table = table.when((kind == "secret") & e.rlike("^[0-9A-F]{32,}$"), _tables(HEX[1:])).otherwise(_tables(ALPHABETS))
+    parts = F
+    for name, (own, _) in ways.items():
+        parts = parts.when(kind == name, own)
+    parts = parts.otherwise(F.array(_part(e, "secret")))
+
+    def assembled(p: Column) -> Column:
+        out = F.when(kind == "ip", _ip(e, key))
+        for name, (_, make) in ways.items():
+            out = out.when(kind == name, make(p))
+        return out.otherwise(p[0])
+
+    done = _let(table, lambda t: F.transform(parts, lambda x: permuted(x["value"], x["tweak"], t, key)))
+    return _let(done, assembled)
 
 
 def detect(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -271,7 +285,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", n_chars: str = "n_chars",
 def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
     """``doc_id, kind, entity, surrogate``: one row per occurrence."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    return detect(narrow, "_text", key).select("doc_id", F.inline("_entities")).select("doc_id", "kind", "entity", "surrogate")
+    found = detect(narrow, "_text", key).select("doc_id", F.inline_outer("_entities"))  # outer: no filter sinks into the search
+    return found.where("entity IS NOT NULL").select("doc_id", "kind", "entity", "surrogate")
 
 
 def collisions(found: DataFrame) -> DataFrame:
@@ -280,6 +295,7 @@ def collisions(found: DataFrame) -> DataFrame:
     Distinct pairs are formed before anything is dealt by surrogate, so a common entity is one row.
     """
     pairs = found.select("kind", F.lower("entity").alias("entity"), F.lower("surrogate").alias("surrogate")).distinct()
+    pairs = settle(pairs, "surrogates")
     clash = pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     split = pairs.where("kind <> 'person'").groupBy("kind", F.col("entity").alias("surrogate")).agg(F.count(F.lit(1)).alias("n"))
     return clash.union(split.where("n > 1"))
