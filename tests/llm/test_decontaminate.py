@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpus_fixtures import corpus  # noqa: F401
 from emberline.llm import decontaminate as d
 
 

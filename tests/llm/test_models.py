@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_fixtures import corpus, labels  # noqa: F401
 from emberline.llm import kneser_ney, toxicity
 
 SYLLABLES = ["ba", "lo", "mi", "ter", "san", "que", "ri", "no", "da", "vel"]

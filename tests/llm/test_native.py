@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_fixtures import corpus, labels  # noqa: F401
 from emberline.llm import pii, quality_rules, sharding
 
 

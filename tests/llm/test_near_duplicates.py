@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpus_fixtures import corpus  # noqa: F401
 from emberline.llm import links, paragraphs, simhash
 
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]

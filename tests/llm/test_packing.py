@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from corpus_fixtures import corpus  # noqa: F401
 from emberline.llm import packing
 from emberline.llm.queries import tokenizer
 

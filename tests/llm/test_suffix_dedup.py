@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from corpus_fixtures import corpus  # noqa: F401
 from emberline.llm import suffix_dedup as s
 
 
