@@ -29,7 +29,7 @@ ship(__name__)
 
 LIMIT, END = 2048, 0
 #: Words whose ids a worker keeps, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 #: Letters below lower to one letter each, in Python as in the tokenizer, and take part in no composition.
 PLAIN_LETTERS = "\u0130"
 #: Python's ``split`` also cuts here; the tokenizer does not.
@@ -80,7 +80,7 @@ class Encoder:
                 bare_of[w] = core.lower()
             else:
                 other.append(w)
-        bare = list(set(bare_of.values()) - self.known.keys())
+        bare = list(set(bare_of.values()).difference(self.known))
         self.known.update(zip(bare, self._encode_bare(bare)))
         self.known.update(zip(other, self._encode(other)))
         for w, core in bare_of.items():
@@ -90,7 +90,7 @@ class Encoder:
         split = [[t] if t and ODD_SPACE.search(t) else (t or "").split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = set().union(*split) - self.known.keys()
+        new = set().union(*split).difference(self.known)
         self._learn(new)
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
         for w in new:
