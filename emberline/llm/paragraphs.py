@@ -5,11 +5,18 @@ of 3 rows, so that a pair at the threshold of 0.8 collides with probability 0.99
 that collide are joined and verified by the exact Jaccard similarity of their shingle sets; clusters are connected components
 of verified pairs. In each cluster the first paragraph (smallest document id, then place) stays, the others are removed.
 
+What repeats inside longer or differently broken lines is found by segments: the words of a text, line breaks aside, are cut
+where the hash of the last ``CONTEXT`` words is the least within ``RADIUS`` words on both sides (8 words a segment at least, 15
+on average), so that a passage is cut alike wherever it stands but for its first and last words. Equal segments are copies; an
+edit within a passage costs the segment it falls in (at these lengths the similarity of 0.8 admits no inner edit), the others still meet.
+Lines go first: a segment of which half or more lies in removed lines is out of the count. In scripts without spaces a character is a word.
+
 Equal paragraphs are one node from the start. Bands are first counted with partial sums, and only paragraphs of bands with
 two different ones go on with their shingles, so most text never moves. No pairs are written (see ``links``).
 
 Edge cases: NULL and short texts have no paragraphs; a repeated row repeats its paragraphs, the later is removed; a NULL id comes
-after all others; copies within one document count; case, digits and punctuation between words do not matter.
+after all others; copies within one document count; case, digits and punctuation between words do not matter. A removed segment has no
+paragraph number (NULL), and the spans of a segment and of a removed line can overlap.
 """
 
 import re
@@ -22,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import links
-from emberline.llm.common import key_filter, passes, rows, scan, ship
+from emberline.llm.common import arrow_schema, key_filter, passes, rows, scan, ship, worker_state
 from emberline.operators.lineage import settle
 
 ship(__name__)
@@ -30,6 +37,11 @@ ship(__name__)
 MIN_WORDS, SHINGLE, SIMILARITY = 8, 5, 0.8
 BANDS, BAND_ROWS = 8, 3
 _BETWEEN = re.compile(r"[\W\d_]+")
+#: Of segments: words that a cut depends on, and how far around it no other cut is. Characters that are cut at once, unless one text has more.
+CONTEXT, RADIUS, AT_ONCE = 3, MIN_WORDS - 1, 1 << 18
+#: Thai to Myanmar, Khmer, kana and ideographs: scripts without spaces.
+_ALONE = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00))
+_PLANES = 0x20000
 
 
 def split_paragraphs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
@@ -49,9 +61,93 @@ def identity(words: list[bytes]) -> int:
 
 def shingles(words: list[bytes]) -> np.ndarray:
     """Hashes of the word runs, each once."""
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(b" ".join(x)) for x in zip(*(words[i:] for i in range(SHINGLE)))])
-    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+    w = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), "<u8")
+    n = len(w) - SHINGLE + 1
+    with np.errstate(over="ignore"):
+        return np.unique(sum(w[k : k + n] * _TURN[k] for k in range(SHINGLE)))
+
+
+_TURN = np.cumprod(np.full(SHINGLE, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 0 between words, 1 in a word, 2 a word of its own; and the lower case. Beyond ``_PLANES`` there are ideographs."""
+    every = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(_PLANES)]
+    kind = np.array([not _BETWEEN.match(c) for c in every] + [2], np.uint8)
+    for start, end in _ALONE:
+        kind[start:end] *= 2
+    return kind, np.array([ord(c.lower()[0]) for c in every] + [0], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(x: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``n`` elements from ``start`` on."""
+    total = int(n.sum())
+    place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    powers = np.cumprod(np.full(int(n.max()), 0x9E3779B97F4A7C15, np.uint64))
+    return _mixed(np.add.reduceat(x[np.repeat(start, n) + place] * powers[place], np.cumsum(n) - n) + n.astype(np.uint64))
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """Minimum of each run of ``n``."""
+    return np.lib.stride_tricks.sliding_window_view(x, n).min(axis=1)
+
+
+def segments(texts: list[str | None]) -> list[np.ndarray]:
+    """Of every segment: the index of its text, start, length, first and last line, identity (places in characters)."""
+    none = [np.zeros(0, np.int64)] * 6
+    kind, lower = worker_state("paragraph_letters", _letters)
+    codes = np.frombuffer("\n".join([t or "" for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
+    begin = np.cumsum([0] + [len(t or "") + 1 for t in texts])  # of each text
+    at = np.minimum(codes, _PLANES)
+    sort = kind[at]
+    inside = np.flatnonzero(sort)
+    if not len(inside):
+        return none
+    before = np.concatenate([[0], sort[:-1]])[inside]
+    first = inside[(sort[inside] == 2) | (before != 1)]
+    after = np.concatenate([sort[1:], [0]])[inside]
+    last = inside[(sort[inside] == 2) | (after != 1)]
+    with np.errstate(over="ignore"):
+        word = _hashes(_mixed(np.where(at < _PLANES, lower[at], codes).astype(np.uint64) + np.uint64(1)), first, last - first + 1)
+        text = np.searchsorted(begin, first, side="right") - 1
+        edge = np.searchsorted(text, np.arange(len(texts) + 1))  # first word of each text
+        place, left = np.arange(len(word)) - edge[text], edge[text + 1] - np.arange(len(word)) - 1
+        ends = np.zeros(len(word), bool)
+        if len(word) > 2 * RADIUS + CONTEXT:
+            n = len(word) - CONTEXT + 1
+            g = _hashes(word, np.arange(n), np.full(n, CONTEXT))
+            g = np.concatenate([np.zeros(CONTEXT - 1, np.uint64), g])  # by the last word
+            near = _least(g, RADIUS)
+            i = np.arange(RADIUS, len(word) - RADIUS)
+            ends[i] = (g[i] < near[i - RADIUS]) & (g[i] <= near[i + 1]) & (place[i] >= RADIUS + CONTEXT - 1) & (left[i] > RADIUS)
+        ends |= left == 0
+        b = np.flatnonzero(ends)
+        a = np.concatenate([[0], b[:-1] + 1])
+        a, b = a[(long := b - a + 1 >= MIN_WORDS)], b[long]
+        if not len(a):
+            return none
+        identity = _hashes(word, a, b - a + 1).view(np.int64)
+    line = np.cumsum(codes == 10)
+    own, start, end = text[a], first[a], last[b] + 1
+    base = line[begin[own] - 1] * (own > 0)  # line breaks up to the text, with those between texts
+    return [own, start - begin[own], end - start, line[start] - base, line[end - 1] - base, identity]
+
+
+def _portions(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > AT_ONCE:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t or "")
+    if texts:
+        yield start, texts[start:]
 
 
 _RANDOM = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 2 * BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
@@ -72,19 +168,29 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, paragraph, start, length, identity`` of every paragraph (places in characters)."""
+    """Every paragraph and segment: ``doc_id, paragraph, start, length, identity`` (places in characters).
+
+    ``paragraph`` is NULL for segments, ``last`` their last line (``line`` is the first). ``_doc`` numbers the rows of ``docs``.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
+    ddl = f"doc_id {kind}, _doc long, paragraph int, start long, length long, identity long, line int, last int"
+    out_schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in rows(batches, "doc_id", "_text"):
-            out = [(i, n, a, b - a, identity(w)) for i, t in zip(ids, texts) for n, a, b, w in split_paragraphs(t, min_words)]
-            if out:
-                names = ("doc_id", "paragraph", "start", "length", "identity")
-                table = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))))
-                yield table.set_column(1, "paragraph", table.column(1).cast(pa.int32()))
-
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    return scan(narrow, run, f"doc_id {kind}, paragraph int, start long, length long, identity long")
+        for ids, numbers, texts in rows(batches, "doc_id", "_doc", "_text"):
+            found = [(i, d, n, a, b - a, identity(w)) for i, d, t in zip(ids, numbers, texts) for n, a, b, w in split_paragraphs(t, min_words)]
+            if found:
+                lines = [pa.array(c, f.type) for c, f in zip(zip(*found), out_schema)]
+                yield pa.RecordBatch.from_arrays([*lines, lines[2], lines[2]], schema=out_schema)
+            for start, part in _portions(texts):
+                own, *places, line, last, node = segments(part)
+                if len(own):
+                    at = (own + start).tolist()
+                    values = [[ids[k] for k in at], [numbers[k] for k in at], [None] * len(at), *places, node, line, last]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, out_schema)], schema=out_schema)
+
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_doc"), F.col(text).alias("_text"))
+    return scan(narrow, run, ddl)
 
 
 def _distinct(texts: list[str | None], min_words: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -146,23 +252,42 @@ def clusters(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, si
     return links.roots(docs.sparkSession, links.links(found, _similar(similarity))).toDF("identity", "cluster")
 
 
+def _but_first(named: DataFrame) -> DataFrame:
+    """All but the first of each cluster. ``named`` has ``cluster, _place`` and what ``occurrences`` has."""
+    first = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("_place").alias("_first")).where("members > 1")
+    return (
+        named.join(first, "cluster")
+        .where("_row <> _first._row")
+        .select(
+            "doc_id", "paragraph", "start", "length", "cluster", "members",
+            F.col("_first.doc_id").alias("kept_doc_id"), F.col("_first.paragraph").alias("kept_paragraph"), "_doc",
+        )
+    )
+
+
+def _repeated_segments(every: DataFrame, lines: DataFrame) -> DataFrame:
+    """Segments to remove besides the removed ``lines``; the first that no removed line touches stays, if there is one."""
+    again = every.groupBy("identity").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("identity")
+    some = settle(every.join(again, "identity", "left_semi"), "repeated-segments")
+    cut = lines.select("_doc", F.col("paragraph").alias("_line"), F.col("start").alias("_a"), (F.col("start") + F.col("length")).alias("_b"))
+    met = some.select("_row", "_doc", "start", "length", F.explode(F.sequence("line", "last")).alias("_line")).join(cut, ["_doc", "_line"])
+    inside = F.least(F.col("start") + F.col("length"), "_b") - F.greatest("start", "_a")
+    lost = met.groupBy("_row").agg(F.sum(inside).alias("_lost"))
+    left = some.join(lost, "_row", "left").withColumn("_lost", F.coalesce("_lost", F.lit(0))).where(2 * F.col("_lost") < F.col("length"))
+    place = F.struct((F.col("_lost") > 0).alias("_cut"), F.col("doc_id").isNull().alias("_last"), "doc_id", "start", "_row", "paragraph")
+    return _but_first(left.withColumn("cluster", F.col("identity")).withColumn("_place", place))
+
+
 def removals(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """Every paragraph to remove: ``doc_id, paragraph, start, length``, its ``cluster``, and the one that stays.
+    """Every paragraph and segment to remove: ``doc_id, paragraph, start, length``, its ``cluster``, and the one that stays.
 
     ``members`` is the number of paragraphs of the cluster, over all documents.
     """
     every = settle(occurrences(docs, doc_id, text, min_words).withColumn("_row", F.monotonically_increasing_id()), "paragraphs")
-    named = every.join(clusters(docs, text, min_words, similarity), "identity", "left")
-    named = named.withColumn("cluster", F.coalesce("cluster", "identity")).drop("identity")
+    named = every.where("paragraph IS NOT NULL").join(clusters(docs, text, min_words, similarity), "identity", "left")
     place = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "paragraph", "_row")
-    first = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("_first")).where("members > 1")
-    return (
-        named.join(first, "cluster")
-        .where("_row <> _first._row")
-        .select(
-            "doc_id", "paragraph", "start", "length", "cluster", "members",
-            F.col("_first.doc_id").alias("kept_doc_id"), F.col("_first.paragraph").alias("kept_paragraph"),
-        )
-    )
+    named = named.withColumn("cluster", F.coalesce("cluster", "identity")).withColumn("_place", place)
+    lines = settle(_but_first(named), "removed-lines")
+    return lines.union(_repeated_segments(every.where("paragraph IS NULL"), lines)).drop("_doc")

@@ -96,5 +96,41 @@ def test_paragraphs_against_brute_force(corpus):
     assert paragraphs.removals(docs.limit(0)).count() == 0
 
 
+def removed_words(docs, part):
+    """Share of the words ``part`` that is removed from a document, by document."""
+    texts, out = {r.doc_id: r.text for r in docs.collect()}, {}
+    for r in paragraphs.removals(docs).collect():
+        assert r.paragraph is None or "\n" not in texts[r.doc_id][r.start : r.start + r.length]
+        gone = texts[r.doc_id][r.start : r.start + r.length].split()
+        assert set(gone) <= set(part)
+        out[r.doc_id] = out.get(r.doc_id, 0) + len(gone) / len(part)
+    return out
+
+
+def test_passages_inside_different_lines(corpus):
+    rng = random.Random(12)
+    for n in range(3):
+        words = [f"{rng.choice(WORDS)}{rng.choice(WORDS)}" for _ in range(60)]
+        passage = " ".join(words)
+        other = ["".join(rng.choice("xyz") for _ in range(9)) for _ in range(960)]
+        filler = [" ".join(other[240 * k : 240 * k + 240]) for k in range(4)]
+        wrapped = "\n".join(" ".join(words[i : i + 6]) for i in range(0, 60, 6))
+        docs = corpus(
+            f"{filler[0][:1000]} {passage} {filler[0][1000:]}", f"{filler[1]} {passage}", f"{filler[2]}\n{wrapped.upper()}\n{filler[3]}", None, ids=[3, 4, 7, 9]
+        )
+        gone = removed_words(docs, words + [w.upper() for w in words])
+        assert set(gone) == {4, 7} and min(gone.values()) > 8 / 60  # a segment at least
+
+
+def test_segments_of_texts_without_spaces_and_of_each_text_alone():
+    rng = random.Random(13)
+    passage = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80))
+    texts = [*("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(90)) + x for x in (passage, passage + "。")), None, "", "one\ntwo", prose(rng, 50)]
+    own, start, length, line, last, node = paragraphs.segments(texts)
+    assert set(node[own == 0]) & set(node[own == 1]) and set(own) == {0, 1, 5}
+    alone = [x for i, t in enumerate(texts) for x in zip([i] * 99, *(c.tolist() for c in paragraphs.segments([t])[1:]))]
+    assert alone == list(zip(*(c.tolist() for c in (own, start, length, line, last, node))))
+
+
 def test_band_recall_at_the_threshold():
     assert 1 - (1 - paragraphs.SIMILARITY**paragraphs.BAND_ROWS) ** paragraphs.BANDS > 0.99
