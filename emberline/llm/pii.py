@@ -8,8 +8,9 @@ every document, without a lookup table) and different ones to different ones (di
 
 Types: e-mail (local part; the domain too, but for reserved example domains), IPv4 (as 32 bits, so it stays
 valid), card (issuer digit kept, check digit valid exactly if it was), phone (country code and a fictional ``555``
-exchange kept), IBAN (country kept), US social security number, secrets (long hex strings, values of key, token, secret or password
-assignments), persons after a form of address (the form shows the gender; the given name ends in ``a`` or ``o`` to match).
+exchange kept; also with a leading 1 or a trunk zero), IBAN (country kept), US social security number, secrets (long hex strings, values of key, token, secret or password
+assignments), persons after a form of address (the form shows the gender; the given name gets the ending ``a``
+or ``o`` to match, ``e`` after a form without gender).
 Spellings of one phone or card number that differ in separators, and e-mail addresses that differ in case, keep that
 difference and nothing else.
 
@@ -33,14 +34,20 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: What stays in front of a secret or a name.
 _ASSIGNED = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,2}[=:]\s{0,2}[\"']?"
 _TITLE = rf"(?=[FMHSDP])(?<![\p{{L}}])(?:{_FEMALE}|{_MALE}|Dr|Prof)\.? "
+#: A number with its trunk zero: area, then three digits or more, 8 digits at least, no card; or five pairs. Dates fit neither.
+_NATIONAL = (
+    r"(?:\(0|0)(?<![\d./-]\(?0)(?!\d{3}[ -]\d{4}[ -]\d{4}[ -]\d)[1-9](?=(?:[ /)-]{0,2}\d){6})\d{0,3}(?:\) ?|[ /-])"
+    r"(?:\d{6,8}(?:-\d{1,4})?|\d{3,5}(?:[ -]\d{2,5}){0,3})(?!\d)|0(?<![\d./-].)[1-9](?:[ .-]\d{2}){4}(?!\d)"
+)
 #: Type and pattern, in order of precedence.
 TYPES = {
-    "email": r"[\p{L}\p{N}](?<![\p{L}\p{N}._%+-].)[\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
+    "email": r"[\p{L}\p{N}](?<![\p{L}\p{N}].)[\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "secret": rf"[0-9a-fA-F](?<![0-9A-Za-z].)[0-9a-fA-F]{{31,127}}(?![0-9A-Za-z])|{_ASSIGNED}[0-9A-Za-z_/+.=-]{{8,128}}",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"[A-Z](?<![0-9A-Za-z].)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"\+(?<![\d+].)\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|\((?<!\d.)\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d(?<![\d.-].)\d{2}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    r"|\((?<!\d.)\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d(?<![\d.-].)\d{2}[.-]\d{3}[.-]\d{4}(?![\d-])"
+    rf"|[2-9](?<![\d.-].)\d{{2}} [2-9]\d{{2}} \d{{4}}(?![\d-])|1(?<![\d.-].)[ .-]\(?[2-9]\d{{2}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?![\d-])|{_NATIONAL}",
     "ssn": r"\d(?<![\d-].)\d{2}-\d{2}-\d{4}(?![\d-])",
     "card": r"\d(?<!\d.)(?:\d{12,18}|\d{3}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",
     "person": rf"{_TITLE}{_NAME}(?: {_NAME})?",
@@ -147,7 +154,7 @@ def _email(e: Column) -> tuple[Column, Callable[[Column], Column]]:
 
 def _phone(e: Column) -> tuple[Column, Callable[[Column], Column]]:
     """The exchange of a ten-digit number is permuted apart, by a permutation that leaves ``555`` where it is."""
-    country = F.regexp_extract(e, r"^(\+1(?=\D?\(?\d{3})|\+\d{1,3}(?=[^0-9])|\+\d\d)?", 1)
+    country = F.regexp_extract(e, r"^(\+1(?=\D?\(?\d{3})|\+\d{1,3}(?=[^0-9])|\+\d\d|1(?=[ .-]\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}$))?", 1)
     rest = F.substring(e, F.length(country) + 1, F.length(e))
     d = _digits(rest)
     three = F.length(d) == 10
@@ -180,7 +187,7 @@ def _card(e: Column) -> tuple[Column, Callable[[Column], Column]]:
 
 def _person(e: Column, gender: Column) -> tuple[Column, Callable[[Column], Column]]:
     given, family = F.regexp_extract(e, r"^(\S+) ", 1), F.regexp_extract(e, r"(\S+)$", 1)
-    end = F.when(gender == "f", "a").when(gender == "m", "o").otherwise("")
+    end = F.when(gender == "f", "a").when(gender == "m", "o").otherwise("e")  # always one: the names of two endings cannot meet
     parts = F.array(_part(given, "given"), _part(family, "family"))
     return parts, lambda p: F.concat(F.when(given != "", F.concat(p[0], end, F.lit(" "))).otherwise(""), p[1])
 

@@ -97,6 +97,31 @@ def test_persons_keep_gender_and_script(corpus):
     assert m and m[2] == m[4] == m[6] and "Smith" not in out and "John" not in out
 
 
+def test_addresses_after_punctuation_and_national_phones(corpus):
+    phones = ["212 555 0147", "1-800-555-0199", "1 (800) 555-0199", "030 1234567", "0171/5550123", "0171 555 01 23", "(030) 1234567", "01 23 45 67 89"]
+    mails = ["_anna.b@firma.de_", "-anna@firma.de", ".anna@firma.de", "*anna@firma.de*"]
+    docs = corpus(*[f"call {p}, or {p}." for p in phones], *[f"see {m} now" for m in mails])
+    found = pii.entities(docs).collect()
+    assert [(r.kind, r.entity) for r in sorted(found, key=lambda r: r.doc_id)] == [
+        *(("phone", p) for p in phones for _ in "ab"), *(("email", m.strip("_-.*")) for m in mails)
+    ]
+    assert all(form(r.surrogate) == form(r.entity) and r.surrogate != r.entity for r in found)
+    assert {r.surrogate[0] for r in found if r.entity[0] == "1"} == {"1"}
+    dates = "on 01.02.2003, 01/02/2003, 01-02-2003, 2020-01-02, 05/2020, 1 000 000 1234, 0.12345678, 01.12345678"
+    assert pii.entities(corpus(dates)).count() == 0
+    ssn = {r.entity: r.kind for r in pii.entities(corpus("012-34-5678, 0123 4567 8901 2345")).collect()}
+    assert ssn == {"012-34-5678": "ssn", "0123 4567 8901 2345": "card"}
+
+
+def test_names_after_forms_with_and_without_gender_never_meet(spark):
+    wanted = spark.createDataFrame([("Ben", "m"), ("Ana", "f"), ("Rosa", None), ("Roso", None), ("Beno", None)], "g string, s string")
+    _, make = pii._person(F.concat("g", F.lit(" Weber")), F.col("s"))
+    names = wanted.select(make(F.array(F.lit("Rosa"), F.lit("Weber"))).alias("x"), "s")
+    by = {r.s: r.x for r in names.collect()}
+    whole = {r.s: r.x for r in wanted.select(make(F.array(F.lit("Ros"), F.lit("Weber"))).alias("x"), "s").collect()}
+    assert by[None] not in (whole["f"], whole["m"]) and len({by[None], by["f"], by["m"]}) == 3
+
+
 def test_secrets_keep_their_name(corpus):
     out = pii.pseudonymise(corpus('password: hunter2hunter2 token = "abcdefgh"')).first().text
     assert out.startswith("password: ") and 'token = "' in out and "hunter2" not in out and "abcdefgh" not in out
