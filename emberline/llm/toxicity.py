@@ -49,17 +49,22 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
-def unlike(texts: list[list[bytes]], tries: int = 6) -> list[int]:
-    """Texts of which no earlier one shares a MinHash of word triples: one of each group of near copies."""
-    seen: set = set()
-    out = []
+def unlike(texts: list[list[bytes]], tries: int = 6, similarity: float = 0.8) -> list[int]:
+    """Texts that no kept earlier one resembles: one of each group of near copies. MinHashes of word triples find, Jaccard decides."""
+    kept: dict[int, np.ndarray] = {}
+    seen: dict[tuple[int, int], list[int]] = {}
     for i, w in enumerate(texts):
-        triples = np.array([zlib.crc32(b" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], np.uint64)
-        own = {(j, int(((triples * np.uint64(2 * j + 1) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min())) for j in range(tries)}
-        if not own & seen:
-            out.append(i)
-        seen |= own
-    return out
+        triples = np.unique(np.array([zlib.crc32(b" ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))], np.uint64))
+        own = [(j, int(((triples * np.uint64(2 * j + 1) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)).min())) for j in range(tries)]
+        for k in {k for x in own for k in seen.get(x, ())}:
+            both = np.isin(triples, kept[k], assume_unique=True).sum()
+            if both >= similarity * (len(triples) + len(kept[k]) - both):
+                break
+        else:
+            kept[i] = triples
+            for x in own:
+                seen.setdefault(x, []).append(i)
+    return list(kept)
 
 
 def train_dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:

@@ -39,6 +39,15 @@ def test_without_labels_or_documents(corpus, labels):
     assert toxicity.score(docs.limit(0), labels((0, 1, 0))).count() == 0
 
 
+def test_only_near_copies_are_dropped_from_the_training_texts():
+    rng = random.Random(8)
+    opening = ["once", "upon", "a", "time"]
+    texts = [[x.encode() for x in [*opening, *prose(rng, 20).split()]] for _ in range(60)]
+    assert toxicity.unlike(texts) == [*range(60)]
+    copies = [t[:-1] + [b"changed"] for t in texts[:10]]
+    assert toxicity.unlike(texts + copies) == [*range(60)]
+
+
 def plain_kneser_ney(texts, order=3):
     """Interpolated modified Kneser-Ney from dictionaries; (context, symbol) -> probability."""
     counts = Counter()
