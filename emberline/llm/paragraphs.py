@@ -15,7 +15,7 @@ Equal paragraphs are one node from the start. Bands are first counted with parti
 two different ones go on with their shingles, so most text never moves. No pairs are written (see ``links``).
 
 Edge cases: NULL and short texts have no paragraphs; a repeated row repeats its paragraphs, the later is removed; a NULL id comes
-after all others; copies within one document count; case, digits and punctuation between words do not matter. A removed segment has no
+after all others; copies within one document count; case and punctuation between words do not matter, numbers are words. A removed segment has no
 paragraph number (NULL), and the spans of a segment and of a removed line can overlap.
 """
 
@@ -36,7 +36,7 @@ ship(__name__)
 
 MIN_WORDS, SHINGLE, SIMILARITY = 8, 5, 0.8
 BANDS, BAND_ROWS = 8, 3
-_BETWEEN = re.compile(r"[\W\d_]+")
+_BETWEEN = re.compile(r"[\W_]+")
 #: Of segments: words that a cut depends on, and how far around it no other cut is. Characters that are cut at once, unless one text has more.
 CONTEXT, RADIUS, AT_ONCE = 3, MIN_WORDS - 1, 1 << 18
 #: Thai to Myanmar, Khmer, kana and ideographs: scripts without spaces.

@@ -132,5 +132,13 @@ def test_segments_of_texts_without_spaces_and_of_each_text_alone():
     assert alone == list(zip(*(c.tolist() for c in (own, start, length, line, last, node))))
 
 
+def test_lines_that_differ_in_numbers_stay(corpus):
+    line = "on {} the station at height {} saw {} fires of {} hectares and {} alarms"
+    numbers = " ".join(map(str, range(100, 130)))
+    docs = corpus(line.format(1, 20, 31, 47, 5), line.format(2, 21, 38, 44, 9), line.format(1, 20, 31, 47, 5), numbers, numbers)
+    assert sorted(r.doc_id for r in paragraphs.removals(docs).where("paragraph IS NOT NULL").collect()) == [2, 4]
+    assert {r.doc_id for r in paragraphs.removals(docs).collect()} == {2, 4}
+
+
 def test_band_recall_at_the_threshold():
     assert 1 - (1 - paragraphs.SIMILARITY**paragraphs.BAND_ROWS) ** paragraphs.BANDS > 0.99
