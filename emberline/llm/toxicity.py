@@ -158,19 +158,23 @@ def labelled_sample(labels: DataFrame, n: int) -> dict[str, list]:
 
 
 def sample_texts(docs: DataFrame, ids: list, limit: int, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """Texts of the named documents (a bounded list), whole, until ``limit`` bytes are full."""
+    """Texts of the named documents (a bounded list), whole, of ``limit`` bytes at most; a text that does not fit is skipped."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"_id {kind}"))
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id", "left_semi")
     sized = settle(texts.where("_text IS NOT NULL").withColumn("_order", F.xxhash64("_id", "_text")), "toxicity-sample")
-    total, most = 0, None
+    sizes: dict[int, int] = {}  # equal texts of one id count together
     for order, size in sized.select("_order", F.octet_length("_text")).orderBy("_order").limit(4 * len(ids) + 1).collect():
-        total += size
-        if total > limit:
-            break
-        most = order
-    return [] if most is None else [x[0] for x in sized.where(F.col("_order") <= most).select("_text").collect()]
+        sizes[order] = sizes.get(order, 0) + size
+    total, taken = 0, []
+    for order, size in sizes.items():
+        if total + size <= limit:
+            total += size
+            taken.append((order,))
+    if not taken:
+        return []
+    return [x[0] for x in sized.join(F.broadcast(spark.createDataFrame(taken, "_order long")), "_order", "left_semi").select("_text").collect()]
 
 
 def score(

@@ -48,6 +48,13 @@ def test_only_near_copies_are_dropped_from_the_training_texts():
     assert toxicity.unlike(texts + copies) == [*range(60)]
 
 
+def test_a_text_too_long_for_the_sample_does_not_end_it(corpus):
+    for long in range(6):
+        texts = ["word " * (1000 if i == long else 2) for i in range(6)]
+        got = toxicity.sample_texts(corpus(*texts), [*range(6)], 100)
+        assert sorted(got) == ["word word "] * 5
+
+
 def plain_kneser_ney(texts, order=3):
     """Interpolated modified Kneser-Ney from dictionaries; (context, symbol) -> probability."""
     counts = Counter()
