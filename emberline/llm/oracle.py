@@ -96,7 +96,33 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, 100
 FROM d LEFT JOIN t USING (rowid_) LEFT JOIN c USING (rowid_)
 """
 
+#: A node is a list of turns from the first on; what is below it is met through the smallest member of every node.
+_TRIE = rf"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS t,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+           FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 5 AS base, {_crc32("c")} % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (SELECT k.c, 0 AS own, o.place, role, t FROM k JOIN o ON o.c = k.base AND o.place < h
+      UNION ALL SELECT k.c, 1, o.place, role, t FROM k JOIN o ON o.c = k.c AND o.place >= h),
+p AS (SELECT c, row_number() OVER w AS depth, strlen(t) AS bytes,
+             list(sha256(strlen(role) || ':' || role || t)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
+      FROM r WINDOW w AS (PARTITION BY c ORDER BY own, place)),
+m AS (SELECT c, depth, bytes, sha256(array_to_string(path, ' ')) AS node,
+             CASE WHEN depth = 1 THEN '' ELSE sha256(array_to_string(path[:depth - 1], ' ')) END AS up FROM p
+      UNION ALL SELECT c, 0, 0, '', NULL FROM k),
+l AS (SELECT c, max(depth) AS length FROM m GROUP BY c),
+n AS (SELECT node, any_value(up) AS up, depth, any_value(bytes) AS bytes, min(c) AS c, count(*) AS n,
+             coalesce(string_agg(CASE WHEN length = depth THEN c::VARCHAR END, ',' ORDER BY c), '') AS ends FROM m JOIN l USING (c) GROUP BY node, depth),
+ch AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+b AS (SELECT v.node, sum((u.n - 1) * u.bytes) AS saved, count(*) FILTER (ch.node IS NULL) AS leaves
+      FROM n u JOIN m v ON v.c = u.c AND v.depth <= u.depth LEFT JOIN ch ON ch.node = u.node GROUP BY v.node)
+SELECT n.c AS conv_id, n.depth, x.c AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n LEFT JOIN n x ON x.node = n.up LEFT JOIN ch ON ch.node = n.node JOIN b ON b.node = n.node
+"""
+
 SQL: dict[str, str] = {
+    "op13_turn_trie": _TRIE,
     "op11_dyadic_runs": _RUNS,
     "op9_fm_index": _DECONTAMINATE,
     "op8_risk_rules": _QUALITY,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import (
+    conversation_trie,
     decontaminate,
     kneser_ney,
     packing,
@@ -136,6 +137,13 @@ def op11_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, conversations = conversation_trie.rebuilt(_table(spark, sf_dir, "conversations"))
+    return conversation_trie.nodes_with_digests(paths, conversations).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_minhash": op1_paragraph_minhash,
     "op2_complement_packing": op2_complement_packing,
@@ -148,4 +156,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fm_index": op9_fm_index,
     "op10_bucket_pointer": op10_bucket_pointer,
     "op11_dyadic_runs": op11_dyadic_runs,
+    "op13_turn_trie": op13_turn_trie,
 }
