@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from emberline.operators.lineage import settle
+
 #: White space that separates words, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -79,3 +81,47 @@ def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys (64 bits each) a ``key_filter`` lets through."""
     slot = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
     return (words.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _placed(group: int, schema: pa.Schema) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            key = batch.column(group).to_numpy()
+            if not len(key):
+                continue
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            place = np.arange(len(key)) - np.repeat(edge, np.diff(np.append(edge, len(key))))
+            if key[0] == last:
+                place[: edge[1] if len(edge) > 1 else len(key)] += n
+            last, n = key[-1], int(place[-1]) + 1
+            columns = [*batch.columns, pa.array(place), pa.array(np.full(len(key), shard))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return run
+
+
+def number(df: DataFrame, group: str, order: list) -> DataFrame:
+    """``df`` with ``place``: the rows of each ``group`` (a long, not NULL) numbered from 0 in ``order``.
+
+    The rows are range-sorted by all of that, so a large group lies in several tasks, each of which numbers its own share.
+    What a group has in the tasks before is a row per task at most. Rows that are equal in ``order`` may lie in several
+    tasks and take their numbers in any order.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = df.withColumn("_copy", F.monotonically_increasing_id())
+    dealt = copies.repartitionByRange(tasks, group, *order, "_copy").sortWithinPartitions(group, *order).drop("_copy")
+    schema = StructType(df.schema.fields).add("place", "long").add("shard", "long")
+    local = settle(dealt.mapInArrow(_placed(df.columns.index(group), to_arrow_schema(schema)), schema), "numbered")
+    shares = local.groupBy(group, "shard").agg((F.max("place") + 1).alias("_n"))
+    split = shares.join(shares.groupBy(group).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), group, "left_semi")
+    earlier = Window.partitionBy(group).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offset = split.select(group, "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # Two rows at most for every task of the sort.
+    return (
+        local.join(F.broadcast(offset), [group, "shard"], "left")
+        .withColumn("place", F.col("place") + F.coalesce("_before", F.lit(0)))
+        .drop("shard", "_before")
+    )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import arrow_schema, scan, ship
+from emberline.llm.common import arrow_schema, number, scan, ship
 from emberline.operators.lineage import settle
 from emberline.operators.skew import lookup
 
@@ -158,43 +158,9 @@ def turns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    shard, conv, n = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        c = batch.column(0).to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, int)
-        place = np.arange(len(c)) - np.repeat(edge, np.diff(np.append(edge, len(c))))
-        if len(c) and c[0] == conv:
-            place[: edge[1] if len(edge) > 1 else len(c)] += n
-        if len(c):
-            conv, n = c[-1], int(place[-1]) + 1
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(place), pa.array(np.full(len(c), shard)), batch.column(2), batch.column(3)],
-            names=["conv", "place", "shard", "id", "size"],
-        )
-
-
 def numbered(turns: DataFrame) -> DataFrame:
-    """``conv, place, id, size``: turns in order of (turn, NULL first; id), numbered from 0 in each conversation.
-
-    The rows are range-sorted by all of that, so a long conversation lies in several tasks, each of which numbers its own
-    share; what a conversation has in the tasks before is a row per task at most.
-    """
-    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv", F.asc_nulls_first("turn"), "id"]
-    copies = turns.withColumn("_copy", F.monotonically_increasing_id())  # lets copies of one turn lie in several tasks
-    dealt = copies.repartitionByRange(tasks, *order, "_copy").sortWithinPartitions(*order).drop("_copy")
-    local = settle(scan(dealt, _counted, "conv long, place long, shard long, id string, size long"), "turns")
-    shares = local.groupBy("conv", "shard").agg((F.max("place") + 1).alias("_n"))
-    split = shares.join(shares.groupBy("conv").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1"), "conv", "left_semi")
-    earlier = Window.partitionBy("conv").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offset = split.select("conv", "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    # At most two rows for every task of the sort.
-    return local.join(F.broadcast(offset), ["conv", "shard"], "left").select(
-        "conv", (F.col("place") + F.coalesce("_before", F.lit(0))).alias("place"), "id", "size"
-    )
+    """``conv, place, id, size``: turns in order of (turn, NULL first; id), numbered from 0 in each conversation."""
+    return number(turns, "conv", [F.asc_nulls_first("turn"), "id"]).select("conv", "place", "id", "size")
 
 
 def pieces(paths: DataFrame, conversations: DataFrame) -> DataFrame:

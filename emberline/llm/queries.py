@@ -12,6 +12,7 @@ from emberline.llm import (
     decontaminate,
     kneser_ney,
     packing,
+    page_difference,
     paragraphs,
     periodic,
     pii,
@@ -137,6 +138,11 @@ def op11_dyadic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_difference.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, conversations = conversation_trie.rebuilt(_table(spark, sf_dir, "conversations"))
     return conversation_trie.nodes_with_digests(paths, conversations).select(
@@ -156,5 +162,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fm_index": op9_fm_index,
     "op10_bucket_pointer": op10_bucket_pointer,
     "op11_dyadic_runs": op11_dyadic_runs,
+    "op12_page_difference": op12_page_difference,
     "op13_turn_trie": op13_turn_trie,
 }
