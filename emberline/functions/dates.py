@@ -13,7 +13,7 @@ ISO_TIME = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|[+-]\d{2
 def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Day named by an ISO text, with or without a time, or by a text in any of ``formats``; NULL where none fits."""
     text = F.trim(c)
-    iso = F.when(text.rlike(ISO_TIME), day_prefix(text))
+    iso = F.when(text.rlike(ISO_TIME), F.substring(text, 1, 10).try_cast("date"))
     return F.coalesce(iso, F.to_date(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])))
 
 

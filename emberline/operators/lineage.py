@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_all(dfs: Sequence[DataFrame], name: str) -> list[DataFrame]:
+    """``settle`` several tables at the same time, so that small ones do not wait for each other's last task."""
+    checkpoint_root(dfs[0].sparkSession)
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(lambda df: settle(df, name), dfs))

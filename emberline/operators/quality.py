@@ -32,9 +32,9 @@ def normalise_date(
     if dict(df.dtypes)[column] != "string":
         return df.withColumn(column, F.to_date(column))
     value = parse_date(F.col(column), formats)
-    if strict:
+    if strict:  # reached only where nothing fits, so that no text is parsed twice
         problem = F.raise_error(F.concat(F.lit(f"no date in column {column}: "), F.col(column))).cast("date")
-        value = F.when(value.isNull() & F.col(column).isNotNull(), problem).otherwise(value)
+        value = F.coalesce(value, F.when(F.col(column).isNotNull(), problem))
     return df.withColumn(column, value)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.dates import day_prefix
 from emberline.functions.geo import RasterMeta
-from emberline.operators import clean, enrich, events, quality, synth
+from emberline.operators import clean, enrich, events, merge, quality, synth
 from emberline.operators.lineage import settle
 from emberline.operators.skew import bucket_sizes, skew_join
 from emberline.sources import tables
@@ -108,21 +108,33 @@ def _same_grid(a: RasterMeta, b: RasterMeta) -> bool:
     return replace(a, nodata=b.nodata) == b
 
 
-def _suffixed(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Columns that both tables have, but for the key, end in ``_x`` and ``_y``."""
-    shared = set(left.columns) & set(right.columns) - set(KEY)
-    return tuple(df.withColumnsRenamed({c: c + end for c in shared}) for df, end in ((left, "_x"), (right, "_y")))
+def _dated(tables: Sequence[DataFrame]) -> list[DataFrame]:
+    """Dates brought to whole days. A text that is no date stops the job: as a NULL it would meet every other such row of its place."""
+    if len(tables) < 2:
+        raise ValueError("at least two tables are needed")
+    return [quality.normalise_date(t, strict=True) for t in tables]
 
 
 def merge_features(tables: Sequence[DataFrame]) -> DataFrame:
-    """Left-join feature tables to the first one on (lat, lon, date), dates brought to whole days.
+    """Left-join feature tables to the first one on (lat, lon, date), dates brought to whole days."""
+    return merge.merge(_dated(tables), KEY)
+
+
+def store_features(spark: SparkSession, tables: dict[str, DataFrame], root: str, buckets: int | None = None) -> None:
+    """Store feature tables so that ``merge_stored`` joins them without a shuffle, as often as it is asked.
 
-    A text that is no date stops the job: as a NULL it would meet every other such row of its place.
+    All of them get the same number of ``buckets`` (as many as the session's shuffle partitions, if not given).
     """
-    if len(tables) < 2:
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, df in tables.items():
+        merge.store_bucketed(quality.normalise_date(df, strict=True), KEY, name, f"{root}/{name}", buckets)
+
+
+def merge_stored(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """``merge_features`` of stored tables, in place: none of them is moved."""
+    if len(names) < 2:
         raise ValueError("at least two tables are needed")
-    dated = [quality.normalise_date(t, strict=True) for t in tables]
-    return reduce(lambda a, b: skew_join(*_suffixed(a, b), KEY, "left"), dated)
+    return merge.merge_keyed(merge.read_bucketed(spark, names), KEY)
 
 
 def _by_day(df: DataFrame) -> DataFrame:

@@ -748,19 +748,27 @@ def _quoted(name: str) -> str:
     return ", ".join(f'x.{c} AS "{c}"' for c in _COLUMNS[name])
 
 
-@query(
-    "j13_e3_merge_features",
-    "labelled_point",
-    *[f"feature_{f}" for f in FEATURES],
-    oracle=f"""SELECT l.point_id, l.lat, l.lon, CAST(substring(l.date, 1, 10) AS DATE) AS date, CAST(l.final AS INT) AS final, l.area_ha,
+_MERGED_SQL = f"""SELECT l.point_id, l.lat, l.lon, CAST(substring(l.date, 1, 10) AS DATE) AS date, CAST(l.final AS INT) AS final, l.area_ha,
 a.NDVI AS "NDVI", a.NDWI AS "NDWI", b.elevacion_centro, b.grados, c.SOC AS "SOC", d.vegetacion2 FROM labelled_point l
 LEFT JOIN feature_veg a ON {_ON.replace("x.", "a.")} LEFT JOIN feature_slope b ON {_ON.replace("x.", "b.")}
-LEFT JOIN feature_soil c ON {_ON.replace("x.", "c.")} LEFT JOIN feature_cover d ON {_ON.replace("x.", "d.")}""",
-)
+LEFT JOIN feature_soil c ON {_ON.replace("x.", "c.")} LEFT JOIN feature_cover d ON {_ON.replace("x.", "d.")}"""
+
+
+@query("j13_e3_merge_features", "labelled_point", *[f"feature_{f}" for f in FEATURES], oracle=_MERGED_SQL)
 def _(spark):
     return jobs.merge_features([spark.table("labelled_point"), *[spark.table(f"feature_{f}") for f in FEATURES]])
 
 
+@query("j13_merge_stored", "labelled_point", *[f"feature_{f}" for f in FEATURES], oracle=_MERGED_SQL)
+def _(spark):
+    names = {n: f"{n}_{uuid.uuid4().hex}" for n in ("labelled_point", *[f"feature_{f}" for f in FEATURES])}
+    jobs.store_features(spark, {stored: spark.table(n) for n, stored in names.items()}, scratch(spark))
+    merged = jobs.merge_stored(spark, list(names.values()))
+    for stored in names.values():  # the files stay, under the job's own folder
+        spark.sql(f"DROP TABLE {stored}")
+    return merged
+
+
 @query("j14_feature_join", "labelled_point", "feature_veg", oracle=_feature_sql("veg", _quoted("veg")))
 def _(spark):
     return jobs.feature_join(spark.table("labelled_point"), spark.table("feature_veg"))

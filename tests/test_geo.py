@@ -85,9 +85,11 @@ def test_dates(spark):
         clamped_date(F.lit(2023), F.lit(2), F.lit(31)),
         parse_date(F.lit("2024-05-06 07:08:09")),
         parse_date(F.lit("06/05/2024")),
+        parse_date(F.lit("13/05/2024")),
+        parse_date(F.lit("2024-02-30")),
         parse_date(F.lit("soon")),
     )
-    assert [str(v) for v in got] == ["2023-02-28", "2024-05-06", "2024-05-06", "None"]
+    assert [str(v) for v in got] == ["2023-02-28", "2024-05-06", "2024-06-05", "2024-05-13", "None", "None"]
 
 
 def test_draws_match_the_documented_hash(spark):
