@@ -10,6 +10,7 @@ from emberline.operators.lineage import settle
 from emberline.operators.quantiles import quantiles
 from emberline.operators.skew import key_counts, lookup
 from emberline.schema import WEATHER_COLUMNS
+from emberline.sources.scenes import SceneStore
 
 CELL_DAY = ["row", "col", "date"]
 WINDOW_DAYS = 30
@@ -35,37 +36,27 @@ def add_weather(points: DataFrame, weather_daily: DataFrame, meta: RasterMeta, c
     return lookup(at, weather_daily.select(*CELL_DAY, *WEATHER_COLUMNS), CELL_DAY, counts=counts).drop("row", "col")
 
 
-def add_veg_index(
-    points: DataFrame,
-    scenes: DataFrame,
-    clouds: DataFrame,
-    meta: RasterMeta,
-    window_days: int = WINDOW_DAYS,
-    clear_sky: float = CLEAR_SKY,
-    counts: Counts | None = None,
-) -> DataFrame:
-    """Median NDVI and NDWI of the clear scenes in the ``window_days`` before the point's day (day excluded).
+def _waiting(need: DataFrame, window_days: int) -> DataFrame:
+    """``row, col, span, dates``: the days of a cell whose look-back touches a span of the calendar.
 
-    Each (cell, day) is worked out once. The calendar is cut into spans of ``window_days``; a look-back touches
-    two of them, so scenes meet it by equality of cell and span, and the days that wait for a span of a cell are
-    an array of fewer than twice ``window_days``.
+    A look-back of ``window_days`` touches two spans of that length, so scenes meet it by equality of cell and span; the days that
+    wait for a span of a cell are fewer than twice ``window_days``.
     """
-    at = raster.with_pixel(points, meta)
-    counts = counts or key_counts(at, CELL_DAY)
-    need, n_need = counts[0].select(*CELL_DAY).where(F.col("date").isNotNull()), counts[1]
-    span = lambda day: F.floor(day / window_days).cast("int")
     day = F.unix_date("date")
-    wanted = (
+    span = lambda d: F.floor(d / window_days).cast("int")
+    return (
         need.withColumn("span", F.explode(F.sequence(span(day - window_days), span(day - 1))))
         .groupBy("row", "col", "span")
         .agg(F.collect_list("date").alias("dates"))
     )
-    spanned = scenes.withColumn("span", span(F.unix_date("obs_date")))
-    used = lookup(spanned, wanted, ["row", "col", "span"], "inner", right_rows=2 * n_need)
-    in_window = lambda d: (F.col("obs_date") < d) & (F.col("obs_date") >= F.date_sub(d, window_days))
-    used = used.withColumn("dates", F.filter("dates", in_window)).where(F.size("dates") > 0)
-    clear = clouds.where(F.col("cs_cdf") >= clear_sky).select("scene_id")
-    used = lookup(used, clear, ["scene_id"], "inner", right_rows=clear.count())
+
+
+def _in_window(window_days: int):
+    return lambda d: (F.col("obs_date") < d) & (F.col("obs_date") >= F.date_sub(d, window_days))
+
+
+def _medians(used: DataFrame) -> DataFrame:
+    """``row, col, date, NDVI, NDWI`` from scenes with the ``dates`` they count for."""
     ratio = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(a) + F.col(b))
     values = settle(
         used.select(
@@ -75,10 +66,51 @@ def add_veg_index(
     )
     both = values.select(*CELL_DAY, F.explode(F.array(*[F.struct(F.lit(c).alias("band"), F.col(c).alias("v")) for c in ("NDVI", "NDWI")])).alias("e"))
     medians = quantiles(both.select(*CELL_DAY, "e.band", "e.v"), [*CELL_DAY, "band"], "v", {"median": 0.5})
-    medians = medians.groupBy(*CELL_DAY).agg(
+    return medians.groupBy(*CELL_DAY).agg(
         *[F.max(F.when(F.col("band") == c, F.col("median"))).alias(c) for c in ("NDVI", "NDWI")]
     )
-    return lookup(at, medians, CELL_DAY, counts=counts).drop("row", "col")
+
+
+def add_veg_index(
+    points: DataFrame,
+    scenes: DataFrame,
+    clouds: DataFrame,
+    meta: RasterMeta,
+    window_days: int = WINDOW_DAYS,
+    clear_sky: float = CLEAR_SKY,
+    counts: Counts | None = None,
+) -> DataFrame:
+    """Median NDVI and NDWI of the clear scenes in the ``window_days`` before the point's day (day excluded).
+
+    Each (cell, day) is worked out once. Scenes outside the days of all points are left out where they are read; for scenes
+    that are stored by time and place see ``add_veg_index_stored``.
+    """
+    at = raster.with_pixel(points, meta)
+    counts = counts or key_counts(at, CELL_DAY)
+    need, n_need = counts[0].select(*CELL_DAY).where(F.col("date").isNotNull()), counts[1]
+    first, last = need.agg(F.min("date"), F.max("date")).first()
+    if first is not None:
+        scenes = scenes.where((F.col("obs_date") >= F.date_sub(F.lit(first), window_days)) & (F.col("obs_date") < F.lit(last)))
+    spanned = scenes.withColumn("span", F.floor(F.unix_date("obs_date") / window_days).cast("int"))
+    used = lookup(spanned, _waiting(need, window_days), ["row", "col", "span"], "inner", right_rows=2 * n_need)
+    used = used.withColumn("dates", F.filter("dates", _in_window(window_days))).where(F.size("dates") > 0)
+    clear = clouds.where(F.col("cs_cdf") >= clear_sky).select("scene_id")
+    used = lookup(used, clear, ["scene_id"], "inner")
+    return lookup(at, _medians(used), CELL_DAY, counts=counts).drop("row", "col")
+
+
+def add_veg_index_stored(
+    points: DataFrame, store: SceneStore, meta: RasterMeta, clear_sky: float = CLEAR_SKY, counts: Counts | None = None
+) -> DataFrame:
+    """``add_veg_index`` with a window of the store's span, from stored scenes: only folders that a point looks at are read."""
+    at = raster.with_pixel(points, meta)
+    counts = counts or key_counts(at, CELL_DAY)
+    inside = F.col("row").between(0, meta.rows - 1) & F.col("col").between(0, meta.cols - 1)
+    need = counts[0].select(*CELL_DAY).where(F.col("date").isNotNull() & inside)
+    waiting = settle(_waiting(need, store.span_days), "waiting")
+    used = lookup(store.near(waiting, clear_sky), waiting, ["row", "col", "span"], "inner", right_rows=2 * counts[1])
+    used = used.withColumn("dates", F.filter("dates", _in_window(store.span_days))).where(F.size("dates") > 0)
+    return lookup(at, _medians(used), CELL_DAY, counts=counts).drop("row", "col")
 
 
 def slope_percent(degrees: Column) -> Column:

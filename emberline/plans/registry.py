@@ -13,10 +13,11 @@ from emberline.functions.geo import RasterMeta
 from emberline.operators import clean, cluster, enrich, events, quality, raster, synth, zones
 from emberline.operators.lineage import checkpoint_root, settle
 from emberline.plans import jobs
-from emberline.plans.oracle import WATER_LIST, WEATHER_LIST, crossing, medians, pixel, slopes, sql
+from emberline.plans.oracle import WATER_LIST, WEATHER_LIST, crossing, filled, medians, pixel, slopes, sql
 from emberline.schema import HOTSPOT, WEATHER_COLUMNS
 from emberline.sources import tables
 from emberline.sources.fixtures import register
+from emberline.sources.scenes import SceneStore
 
 COVER_META = RasterMeta(-10.0, 56.0, 0.05, 0.05, 420, 820, -1.0)
 SOIL_META = RasterMeta(-10.0, 56.0, 0.05, 0.05, 420, 820, -9999.0)
@@ -561,17 +562,68 @@ def _(spark):
     return enrich.add_weather(fire_points_of(spark), spark.table("weather_daily"), COVER_META).select("fire_id", *WEATHER_COLUMNS)
 
 
+_VEG_SQL = f"""SELECT p.fire_id, round(m.NDVI, 6) AS "NDVI", round(m.NDWI, 6) AS "NDWI"
+FROM fire_pixel p LEFT JOIN ({medians("fire_pixel", "fire_id")}) m ON m.fire_id = p.fire_id"""
+
+
+@query("j9_j10_a10_veg_index", "hotspot", "s2_scene", "s2_cloud", oracle=_VEG_SQL)
+def _(spark):
+    points = enrich.add_veg_index(fire_points_of(spark), spark.table("s2_scene"), spark.table("s2_cloud"), COVER_META)
+    return rounded(points.select("fire_id", "NDVI", "NDWI"), NDVI=6, NDWI=6)
+
+
+@query("j9_j10_a10_stored_scenes", "hotspot", "s2_scene", "s2_cloud", oracle=_VEG_SQL)
+def _(spark):
+    store = SceneStore.of(scratch(spark), COVER_META)
+    store.write(spark.table("s2_scene"), spark.table("s2_cloud"))
+    points = enrich.add_veg_index_stored(fire_points_of(spark), store, COVER_META)
+    return rounded(points.select("fire_id", "NDVI", "NDWI"), NDVI=6, NDWI=6)
+
+
+_POINT_PIXEL_SQL = f"""(SELECT latitude AS lat, longitude AS lon, acq_date AS date, ord AS fire_id, {pixel("latitude", "longitude")} FROM hotspot)"""
+
+
+def hotspot_points(spark: SparkSession) -> DataFrame:
+    return spark.table("hotspot").select(
+        F.col("latitude").alias("lat_mean"), F.col("longitude").alias("lon_mean"), F.col("acq_date").alias("date_first")
+    )
+
+
 @query(
-    "j9_j10_a10_veg_index",
+    "e5_slope_table",
+    "hotspot",
+    "dem_cell",
+    oracle=f"""SELECT p.lat, p.lon, p.date, elevacion_centro, round(grados, 6) AS grados, round(coalesce(tan(radians(grados)) * 100, 0), 6) AS porcentaje
+FROM {_POINT_PIXEL_SQL} p JOIN ({slopes("point_pixel", "fire_id")}) s ON s.fire_id = p.fire_id""".replace("point_pixel", _POINT_PIXEL_SQL),
+)
+def _(spark):
+    return rounded(enrich.terrain(hotspot_points(spark), spark.table("dem_cell"), SOIL_META), grados=6, porcentaje=6)
+
+
+@query(
+    "e5_vegetation_table",
     "hotspot",
     "s2_scene",
     "s2_cloud",
-    oracle=f"""SELECT p.fire_id, round(m.NDVI, 6) AS "NDVI", round(m.NDWI, 6) AS "NDWI"
-FROM fire_pixel p LEFT JOIN ({medians("fire_pixel", "fire_id")}) m ON m.fire_id = p.fire_id""",
+    oracle=f"""SELECT p.lat, p.lon, p.date, round(m.NDVI, 6) AS "NDVI", round(m.NDWI, 6) AS "NDWI"
+FROM {_POINT_PIXEL_SQL} p LEFT JOIN ({medians("point_pixel", "fire_id")}) m ON m.fire_id = p.fire_id""".replace("point_pixel", _POINT_PIXEL_SQL),
 )
 def _(spark):
-    points = enrich.add_veg_index(fire_points_of(spark), spark.table("s2_scene"), spark.table("s2_cloud"), COVER_META)
-    return rounded(points.select("fire_id", "NDVI", "NDWI"), NDVI=6, NDWI=6)
+    found = enrich.veg_index(hotspot_points(spark), spark.table("s2_scene"), spark.table("s2_cloud"), COVER_META)
+    return rounded(found, NDVI=6, NDWI=6)
+
+
+@query(
+    "e5_cover_table",
+    "hotspot",
+    "land_cover_cell",
+    "cover_legend",
+    oracle=f"""WITH point_pixel AS {_POINT_PIXEL_SQL} SELECT p.lat, p.lon, p.date, coalesce(label, 'Sin datos') AS vegetacion2 FROM point_pixel p
+LEFT JOIN ({filled("point_pixel")}) f ON f.row = p.row AND f.col = p.col LEFT JOIN cover_legend g ON g.code = f.value""",
+)
+def _(spark):
+    found = enrich.land_cover(hotspot_points(spark), spark.table("land_cover_cell"), spark.table("cover_legend"), COVER_META)
+    return found.select("lat", "lon", "date", "vegetacion2")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.geo import RasterMeta
 from emberline.operators import enrich, raster
+from emberline.sources.scenes import SceneStore
 
 META = RasterMeta(0.0, 10.0, 1.0, 1.0, 10, 10, -1.0)
 DAY = dt.date(2024, 3, 10)
@@ -89,7 +90,7 @@ def test_weather_by_cell_and_day(spark, big, request):
     assert got.count() == 42
 
 
-def test_vegetation_window_clouds_and_median(spark):
+def test_vegetation_window_clouds_and_median(spark, tmp_path):
     from emberline.schema import S2_CLOUD, S2_SCENE
 
     def scene(i, days, b3, b4, b8, cell=(5, 5)):
@@ -109,8 +110,37 @@ def test_vegetation_window_clouds_and_median(spark):
         S2_SCENE,
     )
     clouds = spark.createDataFrame([(i, 0.49 if i == 6 else 0.5) for i in (1, 2, 3, 4, 5, 6, 8)], S2_CLOUD)
-    got = enrich.add_veg_index(at(spark, (5, 5), (5, 6), (5, 5)), scenes, clouds, META)
-    assert values(got, "NDVI", "NDWI") == [(0.25, 0.5), (None, None), (0.25, 0.5)]
+    points = at(spark, (5, 5), (5, 6), (5, 5), (-4, 30))
+    want = [(0.25, 0.5), (None, None), (0.25, 0.5), (None, None)]
+    assert values(enrich.add_veg_index(points, scenes, clouds, META), "NDVI", "NDWI") == want
+    store = SceneStore.of(str(tmp_path / "scenes"), META)
+    store.write(scenes, clouds)
+    assert values(enrich.add_veg_index_stored(points, store, META), "NDVI", "NDWI") == want
+    assert values(enrich.add_veg_index_stored(points.limit(0), store, META), "NDVI", "NDWI") == []
+
+
+def test_only_folders_that_are_asked_for_are_opened(spark, tmp_path):
+    from emberline.schema import S2_CLOUD, S2_SCENE
+
+    meta = RasterMeta(0.0, 10.0, 0.01, 0.01, 1000, 1000, -1.0)
+    scenes = [(i, 500 + 60 * (i % 3), 500, DAY - dt.timedelta(5 + 40 * (i // 3)), 1.0, 1.0, 3.0) for i in range(12)]
+    store = SceneStore.of(str(tmp_path / "scenes"), meta)
+    assert store.side == 32 and store.across == 32
+    store.write(spark.createDataFrame(scenes, S2_SCENE), spark.createDataFrame([(i, 0.9) for i in range(12)], S2_CLOUD))
+    point = spark.createDataFrame([(0, 10.0 - 5.005, 5.005, DAY)], "id long, lat double, lon double, date date")
+    waiting = enrich._waiting(raster.with_pixel(point, meta).select(*enrich.CELL_DAY), 30)
+    plan = store.near(waiting, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "GreaterThanOrEqual(cs_cdf,0.5)" in plan
+    asked = {(r["span"], r["tile"]) for r in waiting.select("span", store.tile(F.col("row"), F.col("col")).alias("tile")).collect()}
+    spoiled = 0
+    for file in (tmp_path / "scenes").glob("span=*/tile=*/*.parquet"):
+        span, tile = (int(p.split("=")[1]) for p in file.parts[-3:-1])
+        if (span, tile) not in asked:
+            file.write_bytes(b"not parquet")
+            file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+            spoiled += 1
+    assert spoiled >= 9
+    assert values(enrich.add_veg_index_stored(point, store, meta), "NDVI", "NDWI") == [(0.5, -0.5)]
 
 
 def test_extraction_tables_rename_limit_and_filter(spark):
