@@ -74,8 +74,8 @@ SELECT row, col, value FROM (SELECT *, row_number() OVER (PARTITION BY row, col
 
 
 _X6933, _Y6933 = _xy_6933("lon_r", "lat_r")
-_XA, _YA = _xy_3035("x1", "y1")
-_XB, _YB = _xy_3035("x2", "y2")
+XA, YA = _xy_3035("x1", "y1")
+XB, YB = _xy_3035("x2", "y2")
 _UNUSABLE = ", ".join(map(str, UNUSABLE_COVER))
 
 BLOCKS = dict(FIXTURES)
@@ -147,7 +147,7 @@ SELECT s.*, region FROM fire_sum s JOIN (
   SELECT fire_id, region FROM fire_sum CROSS JOIN region_edge WHERE {crossing("lon_mean", "lat_mean")}
   GROUP BY fire_id, region HAVING count(*) % 2 = 1) r ON r.fire_id = s.fire_id""",
         "region_km2": f"""
-SELECT region, abs(sum(({_XA}) * ({_YB}) - ({_XB}) * ({_YA}))) / 2e6 AS area_km2 FROM region_edge GROUP BY region""",
+SELECT region, abs(sum(({XA}) * ({YB}) - ({XB}) * ({YA}))) / 2e6 AS area_km2 FROM region_edge GROUP BY region""",
         "region_stat": """
 SELECT r.region, count(a.fire_id) AS fires, coalesce(CAST(sum(CAST(frp_mean AS DECIMAL(28,10))) AS DOUBLE), 0) AS frp_total
 FROM (SELECT DISTINCT region FROM region_edge) r LEFT JOIN fire_region a ON a.region = r.region GROUP BY r.region""",

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from emberline.functions import geo, rounding
 from emberline.functions.dates import clamped_date, day_prefix
 from emberline.functions.geo import RasterMeta
-from emberline.operators import clean, cluster, enrich, events, quality, raster, synth, zones
+from emberline.operators import clean, cluster, dissolve, enrich, events, quality, raster, synth, zones
 from emberline.operators.lineage import checkpoint_root, settle
 from emberline.plans import jobs
-from emberline.plans.oracle import WATER_LIST, WEATHER_LIST, crossing, filled, medians, pixel, slopes, sql
+from emberline.plans.oracle import WATER_LIST, WEATHER_LIST, XA, XB, YA, YB, crossing, filled, medians, pixel, slopes, sql
 from emberline.schema import HOTSPOT, WEATHER_COLUMNS
 from emberline.sources import tables
 from emberline.sources.fixtures import register
@@ -468,6 +468,12 @@ def _(spark):
     return rounded(zones.region_area(edges_of(spark)), area_km2=2)
 
 
+def country_edges(spark: SparkSession) -> DataFrame:
+    vertices = spark.table("country_vertex")
+    continents = vertices.select(F.col("country").alias("region"), "continent").distinct()
+    return zones.edges_from_vertices(vertices, "country").join(continents, "region")
+
+
 @query(
     "a9_p16_dissolve",
     "hotspot",
@@ -477,13 +483,43 @@ WHERE continent IN ('EUROPE', 'ASIA') AND {crossing("longitude", "latitude")} GR
 GROUP BY ord, continent""",
 )
 def _(spark):
-    vertices = spark.table("country_vertex")
-    continents = vertices.select(F.col("country").alias("region"), "continent").distinct()
-    edges = zones.edges_from_vertices(vertices, "country").join(continents, "region")
+    edges = country_edges(spark)
     masks = zones.dissolve(edges, F.col("continent"), F.col("continent").isin("EUROPE", "ASIA"))
     return zones.assign_region(spark.table("hotspot"), masks, "latitude", "longitude").select("ord", "region")
 
 
+@query(
+    "a9_dissolved_outline",
+    "country_vertex",
+    oracle=f"""WITH o AS (SELECT continent, x1, y1, x2, y2, row_number() OVER (ORDER BY continent, x1, y1, x2, y2) AS id FROM country_edge a WHERE NOT EXISTS
+  (SELECT 1 FROM country_edge b WHERE b.continent = a.continent AND b.x1 = a.x2 AND b.y1 = a.y2 AND b.x2 = a.x1 AND b.y2 = a.y1)),
+follows AS (SELECT a.id, arg_max(b.id, atan2((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1), (a.x2 - a.x1) * (b.x2 - b.x1) + (a.y2 - a.y1) * (b.y2 - b.y1))) AS next
+  FROM o a JOIN o b ON b.continent = a.continent AND b.x1 = a.x2 AND b.y1 = a.y2 GROUP BY a.id),
+walk AS (SELECT id, next FROM follows UNION SELECT w.id, f.next FROM walk w JOIN follows f ON f.id = w.next),
+ring AS (SELECT id, min(next) AS ring FROM walk GROUP BY id)
+SELECT continent AS region, count(DISTINCT ring) AS n_rings, count(*) AS n_edges, round(abs(sum({XA} * {YB} - {XB} * {YA})) / 2e6, 2) AS area_km2,
+  round(sum(sqrt(pow({XB} - {XA}, 2) + pow({YB} - {YA}, 2))) / 1e3, 4) AS perimeter_km FROM o JOIN ring r ON r.id = o.id GROUP BY continent""",
+)
+def _(spark):
+    masks = zones.dissolve(country_edges(spark), F.col("continent"))
+    return rounded(dissolve.outline_stats(dissolve.dissolve_rings(masks)), area_km2=2, perimeter_km=4)
+
+
+@query(
+    "a9_dissolved_points",
+    "hotspot",
+    "country_vertex",
+    oracle=f"""SELECT ord, continent AS region FROM hotspot CROSS JOIN country_edge WHERE {crossing("longitude", "latitude")}
+GROUP BY ord, continent HAVING count(*) % 2 = 1""",
+)
+def _(spark):
+    path = scratch(spark)
+    masks = zones.dissolve(country_edges(spark), F.col("continent"))
+    tables.write_table(dissolve.rings(dissolve.dissolve_rings(masks)), path)
+    stored = zones.edges_from_rings(tables.read_rings(spark, path))
+    return zones.assign_region(spark.table("hotspot"), stored, "latitude", "longitude").select("ord", "region")
+
+
 @query("g6_region_bbox", "region_vertex", oracle="SELECT region, min_x, max_x, min_y, max_y FROM region_box")
 def _(spark):
     return zones.region_bbox(edges_of(spark))
