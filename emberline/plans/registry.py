@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberline.functions import geo, rounding
 from emberline.functions.dates import clamped_date, day_prefix
@@ -245,6 +246,30 @@ def _(spark):
     return clean.dedup_first(spark.table("hotspot"))
 
 
+_SOURCE_ORDER_SQL = """SELECT latitude, longitude, acq_date, frp, ord FROM (SELECT *, row_number() OVER
+(PARTITION BY latitude, longitude, acq_date ORDER BY ord) AS rn FROM (SELECT * REPLACE (row_number() OVER (ORDER BY ord) - 1 AS ord) FROM hotspot)) WHERE rn = 1"""
+
+
+def _in_files(spark: SparkSession) -> DataFrame:
+    """Hotspots as a source has them: in order over several files, the order itself not a column."""
+    return spark.table("hotspot").repartitionByRange(5, "ord").sortWithinPartitions("ord").drop("ord")
+
+
+@query("a1_s1_source_order", "hotspot", oracle=_SOURCE_ORDER_SQL)
+def _(spark):
+    path = scratch(spark)
+    tables.write_table(_in_files(spark), path)
+    return clean.dedup_first(tables.read_table(spark, path, order="ord"))
+
+
+@query("a1_s3_source_order", "hotspot", oracle=_SOURCE_ORDER_SQL)
+def _(spark):
+    path = scratch(spark)
+    tables.write_csv(_in_files(spark), path)
+    schema = StructType([f for f in HOTSPOT if f.name != "ord"])
+    return clean.dedup_first(tables.read_csv(spark, path, schema, order="ord"))
+
+
 @query("p3_p4_clean_hotspots", "hotspot", oracle="SELECT * FROM clean_point")
 def _(spark):
     text = spark.table("hotspot").withColumn("acq_date", F.date_format("acq_date", "yyyy-MM-dd"))

@@ -8,16 +8,17 @@ from pyspark.sql.types import StructType
 
 from emberline.operators.zones import mask_name
 from emberline.schema import COVER_LEGEND, RINGS
+from emberline.sources.order import number_parquet, number_text
 
 
 #: What an empty field without quotes is read as, and so NULL; an empty text in quotes stays a text.
 NO_VALUE = "\0"
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """One Parquet table; NaN in floating columns becomes NULL."""
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None, order: str | None = None) -> DataFrame:
+    """One Parquet table; NaN in floating columns becomes NULL. ``order`` names a column to add: the rows' order in the files."""
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    return nan_to_null(df)
+    return nan_to_null(number_parquet(df, order) if order else df)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -40,10 +41,15 @@ def read_csv(
     encoding: str = "utf-8",
     header: bool = True,
     multi_line: bool = False,
+    order: str | None = None,
 ) -> DataFrame:
-    """Standard CSV: quotes double inside quotes. ``multi_line`` allows line breaks there, but then a file is not split."""
+    """Standard CSV: quotes double inside quotes. ``multi_line`` allows line breaks there, but then a file is not split.
+
+    ``order`` names a column to add: the rows' order in the files.
+    """
     reader = spark.read.schema(schema).options(header=header, sep=sep, encoding=encoding, multiLine=multi_line)
-    return nan_to_null(reader.options(quote='"', escape='"', nullValue=NO_VALUE).csv(path))
+    df = reader.options(quote='"', escape='"', nullValue=NO_VALUE).csv(path)
+    return nan_to_null(number_text(df, order) if order else df)
 
 
 def read_legend(spark: SparkSession, path: str, code: str = "Unnamed: 0", label: str = "Column6") -> DataFrame:

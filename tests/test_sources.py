@@ -1,7 +1,9 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberline.schema import HOTSPOT
 from emberline.sources import tables
@@ -95,3 +97,41 @@ def test_csv_keeps_every_text(spark, tmp_path):
 def test_csv_of_others(spark, tmp_path):
     (tmp_path / "in.csv").write_text('i,t\n1,"say ""hi"", ok"\n2,plain\n', encoding="utf-8")
     assert [r.t for r in tables.read_csv(spark, str(tmp_path / "in.csv"), "i int, t string").collect()] == ['say "hi", ok', "plain"]
+
+
+@pytest.mark.parametrize("split", ["128m", "2k"])
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_source_order_whatever_the_splits(spark, tmp_path, kind, split):
+    from emberline.operators import clean
+
+    schema = StructType.fromDDL("latitude double, longitude double, acq_date string, frp double")
+    rng = random.Random(3)
+    rows = [(float(rng.randrange(4)), float(rng.randrange(3)), f"2024-01-0{rng.randrange(1, 4)}", float(i)) for i in range(3000)]
+    for n, part in enumerate(("b", "a", "c")):  # written in another order than their names
+        df = spark.createDataFrame(rows[n * 1000 : (n + 1) * 1000], schema).coalesce(1)
+        if kind == "parquet":
+            df.write.option("parquet.block.size", 4096).parquet(str(tmp_path / part))
+        else:
+            tables.write_csv(df, str(tmp_path / part))
+    rows = rows[1000:2000] + rows[:1000] + rows[2000:]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        path = str(tmp_path / "*")
+        read = tables.read_table(spark, path, schema, order="ord") if kind == "parquet" else tables.read_csv(spark, path, schema, order="ord")
+        got = sorted((r.ord, r.frp) for r in read.select("ord", "frp").collect())
+        assert got == [(i, r[3]) for i, r in enumerate(rows)]
+        first = {}
+        for i, (lat, lon, day, frp) in enumerate(rows):
+            first.setdefault((lat, lon, day), (i, frp))
+        kept = clean.dedup_first(read.repartition(7, "frp")).collect()
+        assert {(r.latitude, r.longitude, r.acq_date): (r.ord, r.frp) for r in kept} == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_source_order_of_nothing(spark, tmp_path):
+    schema = StructType.fromDDL("x double")
+    tables.write_table(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert tables.read_table(spark, str(tmp_path / "none"), schema, order="ord").columns == ["x", "ord"]
+    assert tables.read_table(spark, str(tmp_path / "none"), schema, order="ord").count() == 0
