@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpus_fixtures import corpus  # noqa: F401
-from emberline.llm import links, paragraphs, simhash
+from emberline.llm import links, simhash
 
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
 
@@ -73,72 +73,3 @@ def test_large_groups_are_cut_into_blocks(spark):
         found = links.roots(spark, links.links(keyed.repartition(3), near, limit))
         groups = found.groupBy("root").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).collect()
         assert sorted((g.a, g.b, g.n) for g in groups) == [(0, 59, 60), (100, 129, 30), (900, 901, 2)]
-
-
-def test_paragraphs_against_brute_force(corpus):
-    rng = random.Random(9)
-    lines = [prose(rng, 40) for _ in range(30)]
-    edited = [" ".join([*line.split()[:-1], "changed"]) for line in lines[:10]]
-    texts = ["\n".join(rng.sample(lines + edited, 3) + [prose(rng, 30), "too short"]) for _ in range(40)]
-    docs = corpus(*texts, None, "", texts[0], ids=[*range(40), 40, 41, 0])
-    got = paragraphs.removals(docs).collect()
-    seen = [(r.doc_id, n, w) for r in docs.collect() for n, _, _, w in paragraphs.split_paragraphs(r.text)]
-    sets = [set(zip(*(w[i:] for i in range(5)))) for _, _, w in seen]
-    similar = [(i, j) for i in range(len(seen)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    label = components(len(seen), similar)
-    clusters = {}
-    for place, l in zip(seen, label):
-        clusters.setdefault(l, []).append(place[:2])
-    want = sorted(p for c in clusters.values() for p in sorted(c)[1:])
-    assert sorted((r.doc_id, r.paragraph) for r in got) == want
-    by_id = {r.doc_id: r.text for r in docs.collect()}
-    assert all(len(by_id[r.doc_id][r.start : r.start + r.length].split()) >= 8 for r in got)
-    assert paragraphs.removals(docs.limit(0)).count() == 0
-
-
-def removed_words(docs, part):
-    """Share of the words ``part`` that is removed from a document, by document."""
-    texts, out = {r.doc_id: r.text for r in docs.collect()}, {}
-    for r in paragraphs.removals(docs).collect():
-        assert r.paragraph is None or "\n" not in texts[r.doc_id][r.start : r.start + r.length]
-        gone = texts[r.doc_id][r.start : r.start + r.length].split()
-        assert set(gone) <= set(part)
-        out[r.doc_id] = out.get(r.doc_id, 0) + len(gone) / len(part)
-    return out
-
-
-def test_passages_inside_different_lines(corpus):
-    rng = random.Random(12)
-    for n in range(3):
-        words = [f"{rng.choice(WORDS)}{rng.choice(WORDS)}" for _ in range(60)]
-        passage = " ".join(words)
-        other = ["".join(rng.choice("xyz") for _ in range(9)) for _ in range(960)]
-        filler = [" ".join(other[240 * k : 240 * k + 240]) for k in range(4)]
-        wrapped = "\n".join(" ".join(words[i : i + 6]) for i in range(0, 60, 6))
-        docs = corpus(
-            f"{filler[0][:1000]} {passage} {filler[0][1000:]}", f"{filler[1]} {passage}", f"{filler[2]}\n{wrapped.upper()}\n{filler[3]}", None, ids=[3, 4, 7, 9]
-        )
-        gone = removed_words(docs, words + [w.upper() for w in words])
-        assert set(gone) == {4, 7} and min(gone.values()) > 8 / 60  # a segment at least
-
-
-def test_segments_of_texts_without_spaces_and_of_each_text_alone():
-    rng = random.Random(13)
-    passage = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80))
-    texts = [*("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(90)) + x for x in (passage, passage + "。")), None, "", "one\ntwo", prose(rng, 50)]
-    own, start, length, line, last, node = paragraphs.segments(texts)
-    assert set(node[own == 0]) & set(node[own == 1]) and set(own) == {0, 1, 5}
-    alone = [x for i, t in enumerate(texts) for x in zip([i] * 99, *(c.tolist() for c in paragraphs.segments([t])[1:]))]
-    assert alone == list(zip(*(c.tolist() for c in (own, start, length, line, last, node))))
-
-
-def test_lines_that_differ_in_numbers_stay(corpus):
-    line = "on {} the station at height {} saw {} fires of {} hectares and {} alarms"
-    numbers = " ".join(map(str, range(100, 130)))
-    docs = corpus(line.format(1, 20, 31, 47, 5), line.format(2, 21, 38, 44, 9), line.format(1, 20, 31, 47, 5), numbers, numbers)
-    assert sorted(r.doc_id for r in paragraphs.removals(docs).where("paragraph IS NOT NULL").collect()) == [2, 4]
-    assert {r.doc_id for r in paragraphs.removals(docs).collect()} == {2, 4}
-
-
-def test_band_recall_at_the_threshold():
-    assert 1 - (1 - paragraphs.SIMILARITY**paragraphs.BAND_ROWS) ** paragraphs.BANDS > 0.99
