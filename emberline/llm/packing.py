@@ -28,8 +28,10 @@ from emberline.operators.lineage import settle
 ship(__name__)
 
 LIMIT, END = 2048, 0
-#: Words whose ids a worker keeps, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words in each of two generations whose ids a worker keeps, the longest of them, and endings of words.
+CACHE_WORDS, CACHE_CHARS, CACHE_TAILS = 200_000, 64, 10_000
+#: Fixed value: ASCII punctuation. A run of it behind letters is one tokenizer word.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters below lower to one letter each, in Python as in the tokenizer, and take part in no composition.
 PLAIN_LETTERS = "\u0130"
 #: Python's ``split`` also cuts here; the tokenizer does not.
@@ -41,9 +43,10 @@ RANK_GROUP = 50_000
 class Encoder:
     """Token ids as little-endian bytes. No token spans white space, so ids are kept per word.
 
-    A word of letters with one ``.`` or ``,`` behind it is two tokenizer words, and the tokenizer lowers case itself:
-    such variants take their ids from the bare word. New bare words are encoded many at a time and told apart by the
-    word-end marks of their tokens.
+    Letters and the punctuation behind them are two tokenizer words, and the tokenizer lowers case itself: such variants
+    take their ids from the bare word. New bare words are encoded many at a time and told apart by the word-end
+    marks of their tokens. Words are kept in two generations: when the younger is full it becomes the older, whose
+    words come back when they are met.
     """
 
     def __init__(self, tokenizer: str):
@@ -54,7 +57,8 @@ class Encoder:
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(".,", self._encode([".", ","])))
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,23 +77,40 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of new words into ``known``."""
-        bare_of, other = {}, []
-        for w in words:
-            core = w[:-1] if w[-1] in self.marks else w
-            if core.isalpha() and max(core) < PLAIN_LETTERS:
-                bare_of[w] = core.lower()
+        known, older, tails = self.known, self.older, self.tails
+        back = older.keys() & words
+        known.update(zip(back, map(older.__getitem__, back)))
+        bare_of, bare, other, new_tails = {}, set(), [], set()
+        for w in words - back if back else words:
+            core = w.rstrip(PUNCTUATION)
+            if core.isalpha() and (core.isascii() or max(core) < PLAIN_LETTERS):
+                low = core.lower()
+                bare.add(low)
+                if low != w:
+                    bare_of[w] = low
+                    if len(core) < len(w) and (tail := w[len(core) :]) not in tails:
+                        new_tails.add(tail)
             else:
                 other.append(w)
-        bare = list(set(bare_of.values()).difference(self.known))
-        self.known.update(zip(bare, self._encode_bare(bare)))
-        self.known.update(zip(other, self._encode(other)))
+        if len(tails) + len(new_tails) > CACHE_TAILS:
+            tails = self.tails = {}
+            new_tails.update(w[len(core) :] for w, core in bare_of.items() if len(core) < len(w))
+        tails.update(zip(new_tails, self._encode(list(new_tails))))
+        bare.difference_update(known)
+        back = older.keys() & bare
+        known.update(zip(back, map(older.__getitem__, back)))
+        bare = list(bare - back)
+        known.update(zip(bare, self._encode_bare(bare)))
+        known.update(zip(other, self._encode(other)))
         for w, core in bare_of.items():
-            self.known[w] = self.known[core] + self.marks[w[-1]] if w[-1] in self.marks else self.known[core]
+            n = len(core)
+            known[w] = known[core] if len(w) == n else known[core] + tails[w[n:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [[t] if t and ODD_SPACE.search(t) else (t or "").split() for t in texts]
+        odd = ODD_SPACE.search("".join(t for t in texts if t))
+        split = [[t] if odd and t and ODD_SPACE.search(t) else (t or "").split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         new = set().union(*split).difference(self.known)
         self._learn(new)
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
@@ -129,22 +150,46 @@ def pieces(
     return scan(narrow, run, schema)
 
 
-def _exact(gap: int, left: np.ndarray, parts: int) -> list[int] | None:
-    """``parts`` available lengths that add up to ``gap``, the longest first."""
-    if parts == 1:
-        return [gap] if left[gap] else None
-    if parts == 2:
-        low = np.arange(1, gap // 2 + 1)
-        both = (left[low] > 0) & (left[gap - low] > (low == gap - low))
-        hit = np.flatnonzero(both)
-        return [gap - int(low[hit[0]]), int(low[hit[0]])] if len(hit) else None
-    for first in np.flatnonzero(left[: gap - 1] > 0)[::-1]:
-        left[first] -= 1
-        rest = _exact(gap - int(first), left, parts - 1)
-        left[first] += 1
-        if rest:
-            return [int(first), *rest]
-    return None
+class Sums:
+    """An index of the sums of one, two and three available lengths.
+
+    Counts only fall, so a combination that is used up is passed for good: for every sum the index keeps the first pair, and the
+    first length of a triple, that may still be there.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.low: dict[int, int] = {}
+        self.first: dict[int, int] = {}
+
+    def _there(self, *lengths: int) -> bool:
+        return all(self.left[n] >= lengths.count(n) for n in lengths)
+
+    def pair(self, total: int, first: int = 0) -> list[int] | None:
+        """Two lengths that add up to ``total``, available beside ``first``."""
+        low = self.low.get(total, 1)
+        while 2 * low <= total and not self._there(total - low, low):
+            low += 1
+        self.low[total] = low
+        while 2 * low <= total:
+            if self._there(total - low, low) if not first else self._there(first, total - low, low):
+                return [total - low, low]
+            low += 1
+        return None
+
+    def triple(self, total: int) -> list[int] | None:
+        first = self.first.get(total, total - 2)
+        while first > 0:
+            if self.left[first] and (rest := self.pair(total - first, first)):
+                self.first[total] = first
+                return [first, *rest]
+            first -= 1
+        self.first[total] = 0
+        return None
+
+    def exact(self, total: int) -> list[int] | None:
+        """The fewest available lengths, three at most, that add up to ``total``, the longest first."""
+        return [total] if self.left[total] else self.pair(total) or self.triple(total)
 
 
 def plan(counts: np.ndarray) -> list[tuple[list[int], int]]:
@@ -155,13 +200,13 @@ def plan(counts: np.ndarray) -> list[tuple[list[int], int]]:
     long as all its lengths last, which uses one of them up: the number of patterns does not depend on the counts.
     """
     left, out = counts.astype(np.int64).copy(), []
+    sums = Sums(left)
     while len(lengths := np.flatnonzero(left)):
         pattern = [int(lengths[-1])]
         left[pattern[0]] -= 1
         gap = len(left) - 1 - pattern[0]
         while gap and left[1 : gap + 1].any():
-            fill = next((f for n in (1, 2, 3) if (f := _exact(gap, left, n))), None)
-            fill = fill or [int(np.flatnonzero(left[: gap + 1])[-1])]
+            fill = sums.exact(gap) or [int(np.flatnonzero(left[: gap + 1])[-1])]
             for n in fill:
                 left[n] -= 1
             pattern += fill
