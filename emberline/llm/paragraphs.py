@@ -302,7 +302,7 @@ def _removed_lines(lines: DataFrame, clusters: DataFrame) -> DataFrame:
     named = lookup(lines.drop("bands", "seq"), clusters, ["identity"], "left").withColumn("cluster", F.coalesce("cluster", "identity"))
     place = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "paragraph", "_doc")
     first = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("_first")).where("members > 1")
-    met = lookup(named, settle(first, "first-lines"), ["cluster"], "inner").where("_doc <> _first._doc OR paragraph <> _first.paragraph")
+    met = lookup(named, settle(first, "first-lines"), ["cluster"], "inner", weight=16).where("_doc <> _first._doc OR paragraph <> _first.paragraph")
     return met.select(
         "doc_id", "paragraph", "start", "length", "cluster", "members",
         F.col("_first.doc_id").alias("kept_doc_id"), F.col("_first.paragraph").alias("kept_paragraph"), "_doc",
@@ -324,9 +324,9 @@ def _outside(some: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _repeated(segments: DataFrame) -> DataFrame:
     """Segments that occur more than once."""
-    counts = settle(segments.groupBy("identity").agg(F.count(F.lit(1)).alias("_rows")), "segment-counts")
-    again = counts.where("_rows > 1").select("identity")
-    return lookup(_passing(segments, "identity", key_filter(again, "identity")), again, ["identity"], "inner")
+    again = segments.groupBy("identity").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("identity")
+    again = settle(again, "repeated-identities")
+    return _passing(segments, "identity", key_filter(again, "identity")).join(again, "identity", "left_semi")
 
 
 def _chained(left: DataFrame) -> DataFrame:
@@ -336,8 +336,9 @@ def _chained(left: DataFrame) -> DataFrame:
     paired = left.withColumn("_pair", F.when(apart <= 2, F.xxhash64("identity", F.lead("identity").over(order), apart)))
     paired = settle(paired, "paired-segments")
     pairs = paired.where("_pair IS NOT NULL")
-    again = settle(pairs.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_pair", F.lit(True).alias("_held")), "pairs")
-    held = lookup(paired, again, ["_pair"], "left")
+    again = pairs.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_pair", F.lit(True).alias("_held"))
+    alone = F.xxhash64("_doc", "seq")  # rows without a pair are not dealt to one task
+    held = paired.withColumn("_pair", F.coalesce("_pair", alone)).join(again, "_pair", "left")
     begins = F.when(F.lag(F.coalesce("_held", F.lit(False))).over(order), 0).otherwise(1)
     chained = held.withColumn("_chain", F.sum(begins).over(order))
     of = Window.partitionBy("_doc", "_chain")
@@ -378,11 +379,10 @@ def _contexts(narrow: DataFrame, edges: DataFrame) -> DataFrame:
 def passages(narrow: DataFrame, segments: DataFrame, lines: DataFrame) -> DataFrame:
     """Passages to remove besides the removed ``lines``, as ``removals`` gives them."""
     some = settle(_repeated(segments.drop("bands", "paragraph")), "repeated-segments")
-    left = settle(_repeated(_outside(some, lines)), "segments-left")
-    chained = settle(_chained(left).where(F.col("_words") >= MIN_CHAIN), "chains")
+    chained = settle(_chained(_outside(some, lines)).where(F.col("_words") >= MIN_CHAIN), "chains")
     place = F.struct("_cut", F.col("doc_id").isNull().alias("_last"), "doc_id", "_doc", "seq", "_key", "start", (F.col("start") + F.col("length")).alias("_end"))
     first = chained.groupBy("identity").agg(F.count(F.lit(1)).alias("members"), F.min(place).alias("_first")).where("members > 1")
-    met = lookup(chained, settle(first, "first-segments"), ["identity"], "inner").where("_doc <> _first._doc OR seq <> _first.seq")
+    met = lookup(chained, settle(first, "first-segments"), ["identity"], "inner", weight=16).where("_doc <> _first._doc OR seq <> _first.seq")
     met = settle(met.withColumn("_to", F.col("start") + F.col("length")), "later-copies")
     # Removed segments of a chain, side by side or next but one, are one stretch; a stretch may grow where its chain ends.
     order = Window.partitionBy("_doc", "_chain").orderBy("seq")
@@ -402,7 +402,7 @@ def passages(narrow: DataFrame, segments: DataFrame, lines: DataFrame) -> DataFr
         own = around.select(F.col("_key").alias("_ok"), F.col("start").alias("_os"), F.col(side).alias("_own"), F.col(f"{side}_at").alias("_own_at"))
         other = around.select(F.col("_key").alias("_fk"), F.col("start").alias("_fs"), F.col(side).alias("_other"))
         at = df.withColumns({"_ok": F.col(f"{end}._key"), "_os": F.col(f"{end}.start"), "_fk": F.col(f"{end}._first._key"), "_fs": F.col(f"{end}._first.start")})
-        both = lookup(lookup(at, own, ["_ok", "_os"], "left"), other, ["_fk", "_fs"], "left")
+        both = lookup(at.join(own, ["_ok", "_os"], "left"), other, ["_fk", "_fs"], "left", weight=128)
         differ = F.array_position(F.zip_with("_own", "_other", lambda x, y: ~F.coalesce(x == y, F.lit(False))), True)
         alike = F.when(differ > 0, differ - 1).otherwise(F.size("_own"))
         edge = F.col(f"{end}.seq") == F.col("_from" if end == "_a" else "_last")
