@@ -34,6 +34,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(docs: DataFrame, *apart: str) -> Column:
+    """All columns but those ``apart`` as one struct, its fields named by number, so that no name clashes with an operator's own."""
+    fields = [quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in apart]
+    return F.struct(F.lit(0).alias("none"), *fields).alias("_row")
+
+
+def taken_back(docs: DataFrame, *apart: str) -> dict[str, Column]:
+    """The columns in ``carried``, by name."""
+    return {c: F.col(f"_row.c{i}") for i, c in enumerate(docs.columns) if c not in apart}
+
+
 def scan(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """One pass over the partitions of ``df`` in Arrow batches."""
     return df.mapInArrow(fn, schema)

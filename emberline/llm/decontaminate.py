@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import arrow_schema, scan, ship
+from emberline.llm.common import arrow_schema, carried, scan, ship, taken_back
 from emberline.operators.lineage import settle
 
 ship(__name__)
@@ -283,10 +283,10 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """``docs`` without the hit words; documents with none left go. ``n_chars`` follows the text if there is such a column."""
-    rest = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != text))
-    found = find(docs.select(rest.alias("_row"), F.col(text).alias("_text")), benchmark, "_text", window, cut=True)
+    found = find(docs.select(carried(docs, text), F.col(text).alias("_text")), benchmark, "_text", window, cut=True)
     some = F.size("spans") > 0
-    own = {c: F.col(f"_row.`{c}`") if c != text else F.col("_text") for c in docs.columns}
+    back = taken_back(docs, text) | {text: F.col("_text")}
+    own = {c: back[c] for c in docs.columns}
     if n_chars in docs.columns:
         length = F.length("_text").cast(docs.schema[n_chars].dataType)
         own[n_chars] = F.when(some, length).otherwise(own[n_chars])

@@ -23,6 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.llm.common import carried, taken_back
 from emberline.operators.lineage import settle
 
 KEY = "emberline-surrogates-1"
@@ -279,11 +280,11 @@ def replaced(gaps: Column, entities: Column) -> Column:
 
 def pseudonymise(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", key: str = KEY) -> DataFrame:
     """``docs`` with the entities of ``text`` replaced; ``n_chars`` follows the text if there is such a column."""
-    rest = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != text)).alias("_row")
-    found = detect(docs.select(rest, F.col(text).alias("_text")), "_text", key)
+    found = detect(docs.select(carried(docs, text), F.col(text).alias("_text")), "_text", key)
     some = F.col("_entities").isNotNull()
     new = found.withColumn("_new", F.when(some, replaced(F.col("_gaps"), F.col("_entities"))).otherwise(F.col("_text")))
-    own = {c: F.col("_new") if c == text else F.col(f"_row.`{c}`") for c in docs.columns}
+    back = taken_back(docs, text) | {text: F.col("_new")}
+    own = {c: back[c] for c in docs.columns}
     if n_chars in docs.columns:
         own[n_chars] = F.when(some, F.length("_new").cast(docs.schema[n_chars].dataType)).otherwise(own[n_chars])
     return new.select(*(v.alias(k) for k, v in own.items()))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import words
+from emberline.llm.common import carried, taken_back, words
 from emberline.operators.lineage import settle
 
 SYMBOLS = "[#*$%&|<>]"
@@ -179,8 +179,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
     narrow = docs.select("doc_id", F.col("lang"), F.col("text").alias("_text"))
     measured = settle(measures(narrow, "_text").drop("_text"), "quality-measures")
     chosen = choose(holdout_counts(measured, labels), risk, error)
-    own = [F.col(f"_row.{c}").alias(c) for c in docs.columns]
-    again = measures(docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang"), F.col("text").alias("_text")), "_text")
+    own = [v.alias(c) for c, v in taken_back(docs).items()]
+    again = measures(docs.select(carried(docs), F.col("lang"), F.col("text").alias("_text")), "_text")
     # a filter does not sink through a projection with a row number, else the measures would be worked out per array element
     again = again.withColumn("_once", F.monotonically_increasing_id())
     return again.where((F.col("_once") >= 0) & ~F.col("base_failed") & (F.size(_verdict(chosen)) == 0)).select(*own)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import links
-from emberline.llm.common import arrow_schema, rows, scan, ship
+from emberline.llm.common import arrow_schema, carried, rows, scan, ship, taken_back
 from emberline.operators.lineage import settle
 
 ship(__name__)
@@ -219,8 +219,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distan
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     fps = settle(fingerprints(narrow, "_text").select("doc_id", "_fp"), "simhash")
     stay = groups(fps, "doc_id", distance).where("_fp = rep_fp").select("_fp", F.col("component_id").alias("_id"))
-    rest = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c != text)).alias("_row")
-    again = fingerprints(docs.select(F.col(doc_id).alias("_doc"), rest, F.col(text).alias("_text")), "_text")
+    again = fingerprints(docs.select(F.col(doc_id).alias("_doc"), carried(docs, text), F.col(text).alias("_text")), "_text")
     kept = again.join(stay, (again["_fp"] == stay["_fp"]) & again["_doc"].eqNullSafe(stay["_id"]), "left_semi")
-    own = [(F.col("_text") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+    back = taken_back(docs, text) | {text: F.col("_text")}
+    own = [back[c].alias(c) for c in docs.columns]
     return kept.dropDuplicates(["_fp", "_doc"]).select(*own)

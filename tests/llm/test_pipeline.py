@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -15,7 +16,7 @@ from emberline.llm import decontaminate, pii, queries, simhash
 from emberline.llm.packing import LIMIT
 
 
-@pytest.mark.parametrize("name", ["op8_risk_rules", "op9_fm_index"])
+@pytest.mark.parametrize("name", ["op8_risk_rules", "op9_fm_index", "op11_dyadic_runs", "op13_turn_trie"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
@@ -27,7 +28,7 @@ def test_against_sql(spark, name):
 
 def test_registered_in_order():
     numbers = [int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")]
-    assert numbers == list(range(1, 11)) and entry.queries()["pipeline"] is corpus_pipeline.run
+    assert numbers == list(range(1, 14)) and entry.queries()["pipeline"] is corpus_pipeline.run
 
 
 def test_stages_against_plain_versions(spark):
@@ -81,3 +82,16 @@ def test_stages_against_plain_versions(spark):
     for r in packed:
         room[r.sequence_id] = room.get(r.sequence_id, 0) + r.length
     assert max(room.values()) <= LIMIT and len(room) <= -(-sum(map(len, ids.values())) // LIMIT) + 2
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names with dots and quotes, and names that the operators use themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    odd = ["a.b", "_", "x`y", "_row", "_text", "_fp", "spans", "n_words", "kept", "c0", "none"]
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(odd)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, wide, SF)
+        assert after.columns == wide.columns
+        rows = after.collect()
+        assert rows and all(r[-len(odd) :] == tuple(range(len(odd))) for r in map(tuple, rows))
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() >= 80
