@@ -1,68 +1,119 @@
-"""Quality by perplexity: an interpolated modified Kneser-Ney character model of trusted text.
-
-Texts become symbols of a fixed alphabet of 32 (letters without case and accents, digits, punctuation by kind), n-grams
-numbers of 5 bits a symbol. The n-grams of all trusted documents (quality label 1, but for one fold that is held
-out) are counted, per language, and joined, dealt by n-gram, with the counts of their contexts and with their continuation
-counts: each n-gram gets its discounted share and each context its back-off weight. The language and the alphabet bound
-these tables (32^4 n-grams a language), so the finished probabilities go to all tasks, and one pass over the documents
-gives every perplexity. A document is rejected above the quantile of the held-out trusted documents of its language
-and length class.
-
-Edge cases: a NULL, or unlisted, language is the language ``other``; a NULL or empty text has no perplexity and is not kept; a language
-without trusted text falls back to equal probabilities; a class with fewer than ``MIN_HELD`` held-out documents takes the
-quantile of its language, a language with fewer that of all, and fewer in all reject nothing; labels that are NULL, or repeated and not all good, are no trust; equal or NULL ids are scored each by its text.
+"""Quality by perplexity: an interpolated modified Kneser-Ney word model of trusted text.
+
+Texts become words (lower case; digits, punctuation and code points of scripts without spaces stand alone). The word
+pairs of all trusted documents (quality label 1, but for one fold that is held out) are counted by language in one
+table that grows with the trusted text, and the model is written as gains: with
+
+    log p(b | a) = log p1(b) + log rest(a) + gain(a, b)
+
+``gain`` is zero for a pair that was never seen, so the log-probability of a document is a sum over its words, whose two
+numbers come from a vocabulary of at most ``VOCABULARY`` words, plus the gains of its pairs, which are joined: every
+document's distinct pairs are dealt by pair, meet the table of gains, and are added up by document. At most ``FREQUENT``
+pairs, the most frequent ones, are looked up in place instead, so a very common pair is never dealt, and a filter of
+fixed size holds back pairs that are in no trusted text. A document is rejected above the quantile of the held-out
+trusted documents of its language and length class.
+
+Strata come from the language column: a value with ``MIN_TRUSTED`` trusted documents or more is a stratum of its own (the 255 largest),
+all others and NULL share one. Words outside the vocabulary are one class, whose probability is spread evenly over the different words
+that training text has in it, and one more.
+
+Edge cases: a NULL text, or one without words, has no perplexity and is not kept; a stratum without training text has no
+model: no perplexity, nothing rejected; a class with fewer than ``MIN_HELD`` held-out documents takes the quantile of its
+language, a language with fewer that of all, and fewer in all reject nothing; labels that are NULL, or repeated and not
+all good, are no trust; equal or NULL ids are scored each by its text; other columns play no part.
 """
 
-import unicodedata
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import key_filter, passes, rows, scan, ship
+from emberline.llm.common import key_filter, passes, quoted, rows, scan, ship
 from emberline.operators.lineage import settle
+from emberline.operators.quantiles import quantiles
+from emberline.operators.skew import hot_keys
 
 ship(__name__)
 
-ORDER, BITS = 4, 5
-SYMBOLS = 1 << BITS
-LANGUAGES = ("de", "en", "es", "fr", "other")
+#: Bounds of what goes to all tasks: words with two numbers each, pairs with one.
+VOCABULARY, FREQUENT = 1 << 18, 1 << 18
+STRATA, MIN_TRUSTED = 255, 50
 QUANTILE, MIN_HELD = 0.995, 50
 #: Upper ends of the length classes, in characters.
 LENGTHS = (60, 120, 250, 500, 1000, 4000)
 HELD_OUT, FOLDS = 1, 4
+#: Up to so many trusted ids go to all tasks (8 bytes each, or short strings); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: A pair of words is one number: the first word's above this many bits of the second's.
+BITS = 20
+#: So many words are counted before a task hands on what it has.
+FLUSH = 1 << 20
 
+#: Kana, ideographs, Thai, Lao and Khmer have no spaces between words: a code point is a word there.
+_NO_SPACES = "฀-໿ក-៿぀-ヿ㐀-鿿豈-﫿"
+_WORD = re.compile(rf"[{_NO_SPACES}]|[^\W\d_{_NO_SPACES}]+|\d|[^\w\s]|_")
 
-def _symbol(c: str) -> int:
-    if c.isspace():
-        return 0
-    base = unicodedata.normalize("NFD", c)[0].lower()
-    if "a" <= base <= "z":
-        return ord(base) - 96
-    kinds = ((c.isdigit(), 27), (c.isalpha(), 28), (c in ".,;:!?'\"-()", 29))
-    return next((s for yes, s in kinds if yes), 30 if c.isascii() else 31)
 
+def split_words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
-TABLE = np.array([_symbol(chr(i)) if not 0xD800 <= i < 0xE000 else 31 for i in range(1 << 16)], np.uint8)
 
+class _Keys(dict):
+    """64-bit keys of the words of one stratum; forgets all when it gets large."""
+
+    def __init__(self, stratum: int):
+        self.stratum = stratum
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.stratum)
+        self[word] = key
+        return key
+
+
+class Texts:
+    """Texts to arrays of word keys; one for each task."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, _Keys] = {}
+
+    def keys(self, stratum: int, text: str | None) -> np.ndarray:
+        known = self.known.setdefault(stratum, _Keys(stratum))
+        return np.array([known[w] for w in split_words(text)], np.uint64).view(np.int64)
 
-def grams(text: str | None, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each character; before the text there is space."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.concatenate([np.zeros(order - 1, np.int64), TABLE[np.minimum(points, len(TABLE) - 1)]])
-    out = np.zeros(len(points), np.int64)
-    for k in range(order):
-        out = (out << BITS) | s[k : k + len(points)]
-    return out
 
+@dataclass
+class Vocabulary:
+    """Words by key. Numbers: the words outside it of each stratum, the starts of texts of each stratum, then the words."""
 
-def language(lang: Column) -> Column:
-    out = F.when(lang == LANGUAGES[0], 0)
-    for i, name in enumerate(LANGUAGES[1:-1], 1):
-        out = out.when(lang == name, i)
-    return out.otherwise(len(LANGUAGES) - 1)
+    strata: int
+    keys: np.ndarray  # sorted
+    stratum: np.ndarray
+
+    def __len__(self) -> int:
+        return 2 * self.strata + len(self.keys)
+
+    def numbers(self, stratum: int, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), stratum, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, 2 * self.strata + at, stratum)
+
+    def pairs(self, stratum: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words, and each with the one before it as a pair."""
+        words = self.numbers(stratum, keys)
+        before = np.concatenate([[self.strata + stratum], words[:-1]])
+        return words, before[: len(words)] << BITS | words
+
+    def strata_of(self) -> np.ndarray:
+        each = np.arange(self.strata)
+        return np.concatenate([each, each, self.stratum])
 
 
 def fold(doc_id: Column) -> Column:
@@ -74,12 +125,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.where("_good = 1").select(F.col("doc_id").alias("_id"))
 
 
-def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``lang, gram, c`` over all trusted documents. ``docs`` has ``_id, _lang`` (a number) and ``_text``.
-
-    Only documents that a filter of fixed size lets through are dealt by id and joined exactly.
-    """
-    words = key_filter(trusted.select(F.xxhash64("_id").alias("key")), "key")
+def of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``docs`` with one of ``n`` ids; only what a filter lets through is dealt if these are many."""
+    if n <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "_id", "left_semi")
+    words = key_filter(ids.select(F.xxhash64("_id").alias("key")), "key")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,87 +137,231 @@ def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             key = b.column(b.schema.get_field_index("_key")).to_numpy()
             yield b.filter(pa.array(passes(words, key))).select([f for f in b.schema.names if f != "_key"])
 
-    size = 1 << (BITS * ORDER)
+    return scan(docs.withColumn("_key", F.xxhash64("_id")), some, schema).join(ids, "_id", "left_semi")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(LANGUAGES) * size, np.int64)
-        for langs, texts in rows(batches, "_lang", "_text"):
-            codes = [g + lang * size for lang, g in zip(langs, map(grams, texts)) if len(g)]
-            if codes:
-                code, n = np.unique(np.concatenate(codes), return_counts=True)
-                total[code] += n
-        code = np.flatnonzero(total)
-        lang, gram = np.divmod(code, size)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(lang.astype(np.int32)), "gram": pa.array(gram), "c": pa.array(total[code])})
 
-    near = scan(docs.withColumn("_key", F.xxhash64("_id")), some, schema).join(trusted, "_id", "left_semi")
-    found = scan(near.select("_lang", "_text"), count, "lang int, gram long, c long")
-    return settle(found.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "kneser-ney-counts")
+def stratum(lang: Column, names: list[str]) -> Column:
+    """1, 2, ... for the languages named, 0 for others and NULL."""
+    if not names:
+        return F.lit(0)
+    return F.coalesce(F.array_position(F.array(*map(F.lit, names)), lang), F.lit(0)).cast("int")
 
 
-def level(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From ``lang, gram, c`` of one order: ``lang, gram, share`` and ``lang, context, rest``.
+def _heaviness(c: str) -> Column:
+    return F.floor(F.log2(F.col(c)) * 8).cast("int")
 
-    ``share`` is the discounted part of a gram given its context, ``rest`` what the discounts leave to the lower order.
-    The three discounts of a language follow from how many grams occur once, twice, three and four times.
-    """
-    n = [F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    d = [F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.5 * min(k, 2))) for k in (1, 2, 3)]
-    bounded = [F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), x)).alias(f"d{k}") for k, x in zip((1, 2, 3), d)]
-    safe = [F.nullif(F.col(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in (1, 2, 3)]  # a NULL discount takes its default
-    discounts = table.groupBy("lang").agg(*n).select("lang", *safe, "n4").select("lang", *bounded)
-    context = F.shiftright("gram", BITS)
-    by_count = [F.count(F.when(F.col("c") == k, 1)).alias(f"m{k}") for k in (1, 2)]
-    contexts = table.groupBy("lang", context.alias("context")).agg(
-        F.sum("c").alias("total"), *by_count, F.count(F.when(F.col("c") > 2, 1)).alias("m3")
-    )
-    contexts = contexts.join(F.broadcast(discounts), "lang")
-    own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    shares = table.withColumn("context", context).join(contexts, ["lang", "context"])
-    return (
-        shares.select("lang", "gram", ((F.col("c") - own) / F.col("total")).alias("share")),
-        contexts.select("lang", "context", F.expr("(d1 * m1 + d2 * m2 + d3 * m3) / total").alias("rest")),
-    )
-
-
-def model(counted: DataFrame, order: int = ORDER) -> np.ndarray:
-    """log2 of every probability (language x n-gram), from the shares of all orders.
-
-    Lower orders count in how many contexts a gram continues, not how often it occurs.
+
+def most_frequent(df: DataFrame, c: str, limit: int) -> DataFrame:
+    """The rows with the greatest counts, ``limit`` at most, from a histogram of a few hundred steps; a step is in whole or not at all."""
+    left, least = limit, None
+    for step, n in sorted(map(tuple, df.groupBy(_heaviness(c).alias("s")).count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = step
+    return df.where(F.lit(False)) if least is None else df.where(_heaviness(c) >= least)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], codes, name: str) -> Iterator[pa.RecordBatch]:
+    """``_lang, name, c`` from an array of codes a text, combined a million at a time."""
+    waiting: dict[int, list[np.ndarray]] = {}
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, arrays in waiting.items():
+            code, n = np.unique(np.concatenate(arrays), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"_lang": pa.array(np.full(len(code), lang, np.int32)), name: pa.array(code), "c": pa.array(n)})
+
+    for langs, texts in rows(batches, "_lang", "_text", size=64):
+        for lang, t in zip(langs, texts):
+            found = codes(lang, t)
+            waiting.setdefault(lang, []).append(found)
+            size += len(found)
+            if size >= FLUSH:
+                yield from out()
+                waiting, size = {}, 0
+    yield from out()
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``_lang, word, c`` over all of ``texts`` (``_lang, _text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(batches, Texts().keys, "word")
+
+    found = scan(texts.select("_lang", "_text"), run, "_lang int, word long, c long")
+    return settle(found.groupBy("_lang", "word").agg(F.sum("c").alias("c")), "kneser-ney-words")
+
+
+def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``pair, c`` over all of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Texts()
+        for b in _counted(batches, lambda lang, t: vocabulary.pairs(lang, own.keys(lang, t))[1], "pair"):
+            yield b.select(["pair", "c"])
+
+    found = scan(texts.select("_lang", "_text"), run, "pair long, c long")
+    return settle(found.groupBy("pair").agg(F.sum("c").alias("c")), "kneser-ney-pairs")
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """The discounts of what occurs never, once, twice, and more often, by stratum; ``n`` has how many occur 1 to 4 times."""
+    out = np.zeros((len(n), 4))
+    for s, (n1, n2, n3, n4) in enumerate(n.astype(float)):
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        for k, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
+            raw = k - (k + 1) * y * b / a if a and n1 and n2 else 0.5 * min(k, 2)
+            out[s, k] = min(max(raw, 0.05), k - 0.05)
+    return out
+
+
+@dataclass
+class Model:
+    """What the vocabulary bounds: two numbers a word, and those that pairs become gains with."""
+
+    vocabulary: Vocabulary
+    single: np.ndarray  # log2 p1, of a class of unknown words for each of them
+    rest: np.ndarray  # log2 of what a word leaves to p1
+    total: np.ndarray
+    p1: np.ndarray
+    discount: np.ndarray  # by stratum
+    trained: np.ndarray  # by stratum
+
+    def gains(self, pairs: np.ndarray, c: np.ndarray) -> np.ndarray:
+        a, b = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        share = (c - self.discount[self.vocabulary.strata_of()[a], np.minimum(c, 3)]) / self.total[a]
+        return np.log2(1 + share / (2 ** self.rest[a] * self.p1[b]))
+
+
+def model(words: DataFrame, pairs: DataFrame, vocabulary: Vocabulary) -> Model:
+    """Discounts, back-off weights and single-word probabilities, from sums by word: as many rows as the vocabulary."""
+    size, n_strata, strata = len(vocabulary), vocabulary.strata, vocabulary.strata_of()
+    first, second = F.shiftright("pair", BITS).alias("word"), F.col("pair").bitwiseAND((1 << BITS) - 1).alias("word")
+    exact = [F.count(F.when(F.col("c") == k, 1)).alias(f"m{k}") for k in (1, 2, 3, 4)]
+    followed = np.zeros((size, 6), np.int64)  # total, once to four times, any
+    for b in pairs.groupBy(first).agg(F.sum("c").alias("total"), *exact, F.count(F.lit(1)).alias("m")).toArrow().to_batches():
+        at = b.column(0).to_numpy()
+        for i in range(6):
+            followed[at, i] = b.column(i + 1).to_numpy()
+    types = np.zeros(size, np.int64)
+    for b in pairs.groupBy(second).agg(F.count(F.lit(1)).alias("m")).toArrow().to_batches():
+        types[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    outside = np.zeros(n_strata)  # different words of training text that are not in the vocabulary
+    for r in words.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect():
+        outside[r[0]] = r[1]
+    inside = np.bincount(vocabulary.stratum, minlength=n_strata)
+    outside -= inside
+
+    by_stratum = lambda values: np.bincount(strata, values, minlength=n_strata)
+    single_d = discounts(np.stack([by_stratum(types == k) for k in (1, 2, 3, 4)], axis=1))
+    less = single_d[strata, np.minimum(types, 3)]
+    all_types = by_stratum(types)
+    trained = all_types > 0
+    every = np.maximum(all_types, 1)
+    left = np.where(trained, by_stratum(less) / every, 1.0)
+    p1 = np.maximum(types - less, 0) / every[strata] + (left / (inside + 1))[strata]
+    single = np.log2(p1)
+    single[:n_strata] -= np.log2(outside + 1)
+
+    discount = discounts(np.stack([by_stratum(followed[:, k]) for k in (1, 2, 3, 4)], axis=1))
+    more = followed[:, 5] - followed[:, 1] - followed[:, 2]
+    mass = discount[strata, 1] * followed[:, 1] + discount[strata, 2] * followed[:, 2] + discount[strata, 3] * more
+    total = np.maximum(followed[:, 0], 1)
+    rest = np.log2(np.where(followed[:, 0] > 0, mass / total, 1.0))
+    return Model(vocabulary, single, rest, total, p1, discount, trained)
+
+
+def _mixed(pairs: np.ndarray) -> np.ndarray:
+    x = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def gain_table(pairs: DataFrame, fitted: Model) -> DataFrame:
+    """``pair, c, gain, mixed`` of every pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pair, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            columns = {"pair": pair, "c": c, "gain": fitted.gains(pair, c), "mixed": _mixed(pair)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    return scan(pairs.select("pair", "c"), run, "pair long, c long, gain double, mixed long")
+
+
+def log_probabilities(docs: DataFrame, fitted: Model, table: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """``_id, _lang, chars, n_words, bits`` of every document of ``docs`` (``_id, _lang, _text``); no bits without words or model.
+
+    A task asks once for texts that are equal; pairs that a large share of all texts asks for get their gains from a
+    broadcast of fewer than 256 rows.
     """
-    tables = {order: counted}
-    for k in range(order - 1, 0, -1):
-        shorter = (F.col("gram") % F.lit(1 << (BITS * k))).alias("gram")
-        tables[k] = settle(tables[k + 1].select("lang", shorter).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")), "kneser-ney-types")
-    p = np.full((len(LANGUAGES), 1), 1 / SYMBOLS)
-    for k in range(1, order + 1):
-        shares, rests = level(tables[k])
-        share, rest = np.zeros((len(LANGUAGES), SYMBOLS**k)), np.ones((len(LANGUAGES), SYMBOLS ** (k - 1)))
-        for out, found in ((share, shares), (rest, rests)):
-            for b in found.toArrow().to_batches():
-                out[b.column(0).to_numpy(), b.column(1).to_numpy()] = b.column(2).to_numpy()
-        lower = np.tile(p, (1, SYMBOLS)) if k > 1 else np.repeat(p, SYMBOLS, axis=1)
-        p = share + np.repeat(rest, SYMBOLS, axis=1) * lower
-    return np.log2(p).astype(np.float32)
-
-
-def perplexities(docs: DataFrame, logs: np.ndarray) -> DataFrame:
-    """``_id, _lang, chars, perplexity`` of every document."""
     kind = docs.schema["_id"].dataType.simpleString()
-    flat, size = logs.ravel(), logs.shape[1]
+    top = most_frequent(table, "c", frequent).select("pair", "gain").toArrow()
+    order = np.argsort(top.column(0).to_numpy())
+    known, known_gain = top.column(0).to_numpy()[order], top.column(1).to_numpy()[order]
+    words, vocabulary = key_filter(table, "mixed"), fitted.vocabulary
+    single, rest, trained = fitted.single, fitted.rest, fitted.trained
+
+    def own(lang: int, keys: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Bits of a text but for the pairs that are not at hand, and these."""
+        number, pairs = vocabulary.pairs(lang, keys)
+        bits = float(single[number].sum() + rest[pairs >> BITS].sum())
+        pair, n = np.unique(pairs, return_counts=True)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+            here = known[at] == pair
+            bits += float((known_gain[at] * n)[here].sum())
+            pair, n = pair[~here], n[~here]
+        asked = passes(words, _mixed(pair))
+        return bits, pair[asked], n[asked]
+
+    names = ["_row", "_like", "_id", "_lang", "chars", "n_words", "bits", "pairs", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, seen = Texts(), {}
         for b in batches:
-            out: list[tuple[int, float | None]] = []
-            for langs, texts in rows([b], "_lang", "_text"):
-                for lang, g in zip(langs, map(grams, texts)):
-                    out.append((len(g), 2 ** -float(flat[g + lang * size].mean(dtype=np.float64)) if len(g) else None))
-            chars, value = zip(*out) if out else ((), ())
-            columns = [b.column(0), b.column(1), pa.array(chars, pa.int64()), pa.array(value, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_lang", "chars", "perplexity"])
-
-    return scan(docs.select("_id", "_lang", "_text"), run, f"_id {kind}, _lang int, chars long, perplexity double")
+            for start in range(0, b.num_rows, 64):
+                part = b.slice(start, 64)
+                out = []
+                for row, lang, t in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_row", "_lang", "_text"))):
+                    like = seen.setdefault((lang, xxhash.xxh128_digest((t or "").encode("utf-8", "surrogatepass"))), row)
+                    keys = read.keys(lang, t)
+                    none = np.zeros(0, np.int64)
+                    bits, pair, n = own(lang, keys) if len(keys) and trained[lang] else (None, none, none)
+                    out.append((like, len(t or ""), len(keys), bits, *((pair, n) if like == row else (none, none))))
+                like, chars, size, bits, pairs, times = map(list, zip(*out))
+                offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (pairs, times)]
+                at = lambda c: part.column(part.schema.get_field_index(c))
+                columns = [at("_row"), pa.array(like, pa.int64()), at("_id"), at("_lang"), *(pa.array(x, pa.int64()) for x in (chars, size))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.float64()), *lists], names=names)
+
+    numbered = docs.select("_id", "_lang", "_text").withColumn("_row", F.monotonically_increasing_id())
+    types = f"_row long, _like long, _id {kind}, _lang int, chars long, n_words long, bits double, pairs array<long>, times array<long>"
+    found = settle(scan(numbered, run, types), "kneser-ney-texts")
+
+    asked = found.select("_row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("_row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("n"))
+    gains, hot = table.select("pair", "gain"), hot_keys(asked, ["pair"])
+    if hot is None:
+        met = asked.join(gains, "pair")
+    else:
+        hot = F.broadcast(settle(hot, "hot-pairs"))
+        answers = F.broadcast(gains.join(hot, "pair", "left_semi"))
+        met = asked.join(answers, "pair").union(asked.join(hot, "pair", "left_anti").join(gains, "pair"))
+    more = met.groupBy(F.col("_row").alias("_like")).agg(F.sum(F.col("gain") * F.col("n")).alias("more"))
+    whole = F.col("bits") + F.coalesce("more", F.lit(0.0))
+    return found.drop("pairs", "times").join(more, "_like", "left").select("_id", "_lang", "chars", "n_words", whole.alias("bits"))
+
+
+def fit(texts: DataFrame, strata: int, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
+    """The model of ``texts`` (``_lang, _text``; languages below ``strata``), and the table of its gains."""
+    counted = word_counts(texts)
+    kept = most_frequent(counted, "c", vocabulary).select("_lang", "word").toArrow()
+    order = np.argsort(kept.column(1).to_numpy())
+    known = Vocabulary(strata, kept.column(1).to_numpy()[order], kept.column(0).to_numpy()[order])
+    pairs = pair_counts(texts, known)
+    fitted = model(counted, pairs, known)
+    return fitted, settle(gain_table(pairs, fitted), "kneser-ney-gains")
 
 
 def length_class(chars: Column) -> Column:
@@ -177,22 +371,47 @@ def length_class(chars: Column) -> Column:
     return out
 
 
+def thresholds(held: DataFrame, quantile: float) -> DataFrame:
+    """``_lang, _class, threshold`` of the held-out perplexities; -1 stands for all classes, or all languages. A few rows a language."""
+    levels = [(F.col("_lang"), F.col("_class")), (F.col("_lang"), F.lit(-1)), (F.lit(-1), F.lit(-1))]
+    each = F.explode(F.array(*(F.struct(a.alias("_lang"), b.alias("_class")) for a, b in levels)))
+    spread = held.select(each.alias("_at"), "perplexity").select("_at.*", "perplexity")
+    enough = spread.groupBy("_lang", "_class").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_HELD).drop("_n")
+    return settle(quantiles(spread, ["_lang", "_class"], "perplexity", {"threshold": quantile}).join(enough, ["_lang", "_class"]), "thresholds")
+
+
 def score(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    quantile: float = QUANTILE,
+    vocabulary: int = VOCABULARY,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
-    """``doc_id, perplexity, threshold`` (NULL: none) and ``kept``, for every document."""
-    narrow = docs.select(F.col(doc_id).alias("_id"), language(F.col(lang)).alias("_lang"), F.col(text).alias("_text"))
+    """``doc_id, perplexity`` (a word), ``threshold`` (NULL: none) and ``kept``, for every document."""
+    raw = docs.select(quoted(doc_id).alias("_id"), quoted(lang).alias("_name"), quoted(text).alias("_text"))
     good = settle(trusted_ids(labels), "trusted")
-    counted = counts(narrow, good.where(fold(F.col("_id")) != HELD_OUT))
-    scored = settle(perplexities(narrow, model(counted)).withColumn("_class", length_class(F.col("chars"))), "perplexity")
-    held = scored.where(fold(F.col("_id")) == HELD_OUT).join(good, "_id", "left_semi").where("perplexity IS NOT NULL")
-    out = scored
-    names = []
-    for keys in (["_lang", "_class"], ["_lang"], []):  # a row per language and length class at most
-        names.append("_by_" + "".join(keys))
-        limit = F.percentile_approx("perplexity", quantile, 100_000).alias(names[-1])
-        limits = held.groupBy(*keys).agg(limit, F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_HELD).drop("_n")
-        out = out.join(F.broadcast(limits), keys, "left") if keys else out.join(F.broadcast(limits), F.lit(True), "left")
-    out = out.withColumn("threshold", F.coalesce(*names))
-    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    n_good = good.count()
+    common = of(raw.select("_id", "_name"), good, n_good).where("_name IS NOT NULL").groupBy("_name").count().where(F.col("count") >= MIN_TRUSTED)
+    names = [r[0] for r in common.orderBy(F.desc("count"), "_name").limit(STRATA).collect()]
+    narrow = raw.select("_id", stratum(F.col("_name"), names).alias("_lang"), "_text")
+    training = of(narrow, good.where(fold(F.col("_id")) != HELD_OUT), n_good)
+    fitted, table = fit(training, len(names) + 1, vocabulary)
+    bits = log_probabilities(narrow, fitted, table, frequent)
+    perplexity = F.round(F.pow(F.lit(2.0), -F.col("bits") / F.col("n_words")), 6)
+    scored = bits.select("_id", "_lang", "n_words", length_class(F.col("chars")).alias("_class"), perplexity.alias("perplexity"))
+    scored = settle(scored, "perplexity")
+    held = of(scored.where(fold(F.col("_id")) == HELD_OUT), good, n_good).where("perplexity IS NOT NULL")
+    limits, out, levels = thresholds(held, quantile), scored, []
+    for keys in (["_lang", "_class"], ["_lang"], []):
+        name = "_by" + "".join(keys)
+        levels.append(name)
+        rest = [k for k in ("_lang", "_class") if k not in keys]
+        part = limits.where(F.lit(True) if not rest else " AND ".join(f"{k} = -1" for k in rest)).select(*keys, F.col("threshold").alias(name))
+        part = F.broadcast(part)  # a row for each of 256 languages and seven classes at most
+        out = out.join(part, keys, "left") if keys else out.join(part, F.lit(True), "left")
+    out = out.withColumn("threshold", F.when(F.col("perplexity").isNotNull(), F.coalesce(*levels)))
+    kept = (F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select(F.col("_id").alias("doc_id"), "perplexity", "threshold", kept.alias("kept"))

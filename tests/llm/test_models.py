@@ -1,5 +1,6 @@
 """Toxicity and perplexity."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -55,61 +56,95 @@ def test_a_text_too_long_for_the_sample_does_not_end_it(corpus):
         assert sorted(got) == ["word word "] * 5
 
 
-def plain_kneser_ney(texts, order=3):
-    """Interpolated modified Kneser-Ney from dictionaries; (context, symbol) -> probability."""
-    counts = Counter()
-    for t in texts:
-        s = (0,) * (order - 1) + tuple(int(x) for x in kneser_ney.TABLE[[ord(c) for c in t]])
-        counts.update(s[i : i + order] for i in range(len(t)))
-    levels = {order: counts}
-    for k in range(order - 1, 0, -1):
-        levels[k] = Counter(g[1:] for g in levels[k + 1])
-    parts = {}
-    for k, table in levels.items():
-        n = Counter(min(c, 5) for c in table.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else None
-        d = {0: 0.0}
-        for i in (1, 2, 3):
-            raw = i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else None
-            if raw is None or (n[1] == 0 or n[2] == 0 or n[3] == 0 and i + 1 == 3):
-                raw = raw if raw is not None and n[1] and n[2] and (n[i + 1] or i == 3) else 0.5 * min(i, 2)
-            d[i] = max(0.05, min(i - 0.05, raw))
-        parts[k] = table, d
-    out = {}
-
-    def p(gram):
-        if not gram:
-            return 1 / kneser_ney.SYMBOLS
-        if gram not in out:
-            table, d = parts[len(gram)]
-            own = defaultdict(int)
-            for g, c in table.items():
-                if g[:-1] == gram[:-1]:
-                    own[g] = c
-            total = sum(own.values())
-            lower = p(gram[1:])
-            rest = sum(d[min(c, 3)] for c in own.values()) / total if total else 1.0
-            share = max(own[gram] - d[min(own[gram], 3)], 0) / total if own[gram] else 0.0
-            out[gram] = share + rest * lower
-        return out[gram]
-
-    return p
-
-
-def test_model_against_dictionaries(spark):
+def plain_perplexities(train, docs):
+    """Interpolated modified Kneser-Ney of word pairs from dictionaries, all words known; perplexity of each text of ``docs``."""
+    split = kneser_ney.split_words
+    pairs = Counter(p for t in train for p in zip(["<s>", *split(t)], split(t)))
+    types = Counter(b for _, b in pairs)
+    words = {w for t in train for w in split(t)}
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[1] and n[2] else 0.5 * min(k, 2) for k in (1, 2, 3)]
+        return [0.0] + [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), raw)]
+
+    d1, d2, n_types = discounts(types), discounts(pairs), len(pairs)
+    left = sum(d1[min(c, 3)] for c in types.values()) / n_types
+    followed = defaultdict(dict)
+    for (a, b), c in pairs.items():
+        followed[a][b] = c
+
+    def p(a, b):
+        one = (max(types[b] - d1[min(types[b], 3)], 0) / n_types if b in words else 0) + left / (len(words) + 1)
+        own = followed.get(a)
+        if not own:
+            return one
+        total = sum(own.values())
+        c = own.get(b, 0)
+        return max(c - d2[min(c, 3)], 0) / total + sum(d2[min(x, 3)] for x in own.values()) / total * one
+
+    out = []
+    for t in docs:
+        w = split(t)
+        known = [x if x in words else "<unknown>" for x in w]
+        bits = sum(math.log2(p(a, b)) for a, b in zip(["<s>", *known], known))
+        out.append(2 ** (-bits / len(w)) if w else None)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0, 200, 1 << 18])
+def test_perplexities_against_dictionaries(spark, frequent):
     rng = random.Random(5)
-    texts = [prose(rng, 30) for _ in range(30)]
-    docs = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "_id long, _lang int, _text string")
-    codes = Counter(int(g) for t in texts for g in kneser_ney.grams(t, 3))
-    counted = spark.createDataFrame([(1, g, c) for g, c in codes.items()], "lang int, gram long, c long")
-    logs = kneser_ney.model(counted, order=3)
-    p = plain_kneser_ney(texts)
-    for g in rng.sample(sorted(codes), 60) + [0, 5000, 32767]:
-        gram = (g >> 10, g >> 5 & 31, g & 31)
-        assert 2.0 ** float(logs[1, g]) == pytest.approx(p(gram), rel=1e-4)
-    assert (2.0 ** logs.astype(float)).reshape(5, -1, 32).sum(axis=2) == pytest.approx(1, abs=1e-5)
-    every = kneser_ney.counts(docs, spark.createDataFrame([(i,) for i in range(30)], "_id long"))
-    assert every.agg(F.sum("c")).first()[0] == sum(map(len, texts))
+    train = [prose(rng, 30) for _ in range(60)] + ["the cat. The cat sat, 12 times!"] * 7
+    docs = train[::9] + [prose(rng, 40) for _ in range(20)] + ["the cat sat on zzz qqq the", "", None, "  \n", "这是 the cat"] + train[:1] * 30
+    frame = lambda texts: spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "_id long, _lang int, _text string")
+    fitted, table = kneser_ney.fit(frame(train), 1)
+    got = {r._id: r for r in kneser_ney.log_probabilities(frame(docs), fitted, table, frequent).collect()}
+    for i, want in enumerate(plain_perplexities(train, docs)):
+        value = None if got[i].bits is None else 2 ** (-got[i].bits / got[i].n_words)
+        assert value == (want and pytest.approx(want, rel=1e-9)), docs[i]
+
+
+def test_probabilities_add_up(spark):
+    rng = random.Random(7)
+    train = [prose(rng, 40) for _ in range(40)]
+    texts = spark.createDataFrame([(0, t) for t in train], "_lang int, _text string")
+    for size in (1 << 18, 60):  # with a small vocabulary most words are one class
+        fitted, table = kneser_ney.fit(texts, 1, size)
+        rows = {(r.pair >> kneser_ney.BITS, r.pair & ((1 << kneser_ney.BITS) - 1)): r.gain for r in table.collect()}
+        n = len(fitted.vocabulary)
+        words = [0, *range(2, n)]  # 1 is the start of a text
+        assert len(fitted.vocabulary.keys) <= size
+        for a in (0, 1, 2, n - 1):
+            every = [fitted.p1[b] * 2 ** (fitted.rest[a] + rows.get((a, b), 0.0)) for b in words]
+            assert sum(every) == pytest.approx(1)
+
+
+def test_scripts_and_strata(corpus, labels):
+    """Prose differs from noise in scripts other than Latin too, and each language has its own limit."""
+    rng = random.Random(9)
+    alphabets = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρσ"}
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(150)] for k, a in alphabets.items()}
+    text = {k: [" ".join(rng.choice(w) for _ in range(50)) for _ in range(420)] for k, w in words.items()}
+    noise = {k: [" ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(50)) for _ in range(20)] for k, a in alphabets.items()}
+    docs = corpus(*text["ru"], *text["el"], *noise["ru"], *noise["el"], "unseen language here")
+    docs = docs.withColumn("lang", F.expr("CASE WHEN doc_id < 420 THEN 'ru' WHEN doc_id < 840 THEN 'el' WHEN doc_id < 860 THEN 'ru' WHEN doc_id < 880 THEN 'el' END"))
+    out = {r.doc_id: r for r in kneser_ney.score(docs, labels(*[(i, 1, 0) for i in range(840)])).collect()}
+    for own, bad in ((range(420), range(840, 860)), (range(420, 840), range(860, 880))):
+        assert max(out[i].perplexity for i in own) * 5 < min(out[i].perplexity for i in bad)
+        assert np.mean([out[i].kept for i in own]) > 0.97 and not any(out[i].kept for i in bad)
+    assert not {out[i].threshold for i in range(420)} & {out[i].threshold for i in range(420, 840)}
+    assert out[880].perplexity is None and out[880].kept  # no trusted text in its language: nothing to judge by
+
+
+def test_edge_rows_of_the_language_model(corpus, labels):
+    docs = corpus("a b c", None, "", "word " * 50_000, "a b c", ids=[0, 1, None, 3, 3]).withColumn("extra.column", F.lit(1)).withColumn("bits", F.lit("x"))
+    out = kneser_ney.score(docs, labels((0, 1, 0), (0, None, 0), (3, 1, 0))).collect()
+    assert len(out) == 5 and sum(r.kept for r in out) == 3
+    assert all(r.perplexity is None for r in out if r.doc_id in (1, None))
+    assert len(kneser_ney.score(docs, labels((0, 1, 0)).limit(0)).collect()) == 5
+    assert kneser_ney.score(docs.limit(0), labels((0, 1, 0))).count() == 0
 
 
 def test_junk_is_rejected_and_prose_kept(corpus, labels):
