@@ -9,7 +9,7 @@ The fit uses a bounded sample of the labelled rows (``SAMPLE`` documents of each
 many for the calibration, in hash order, of at most ``SAMPLE_BYTES``); every document is scored, every window of it.
 
 Edge cases: a NULL or empty text has no window and gets the score of a text without gains; labels that are NULL are left
-out, a document labelled both ways counts as toxic; without labels of either kind all scores are 0; documents with
+out, a document labelled both ways counts as toxic; an id that is repeated is fitted on once; without labels of either kind all scores are 0; documents with
 equal or NULL ids are scored each by its own text.
 """
 
@@ -158,23 +158,25 @@ def labelled_sample(labels: DataFrame, n: int) -> dict[str, list]:
 
 
 def sample_texts(docs: DataFrame, ids: list, limit: int, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """Texts of the named documents (a bounded list), whole, of ``limit`` bytes at most; a text that does not fit is skipped."""
+    """Texts of the named documents (a bounded list), whole, of ``limit`` bytes at most, in hash order; a text that does not fit is skipped.
+
+    An id that is repeated counts once, with its greatest text, so there are no more texts than ids.
+    """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], f"_id {kind}"))
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id", "left_semi")
-    sized = settle(texts.where("_text IS NOT NULL").withColumn("_order", F.xxhash64("_id", "_text")), "toxicity-sample")
-    sizes: dict[int, int] = {}  # equal texts of one id count together
-    for order, size in sized.select("_order", F.octet_length("_text")).orderBy("_order").limit(4 * len(ids) + 1).collect():
-        sizes[order] = sizes.get(order, 0) + size
+    one = settle(texts.where("_text IS NOT NULL").groupBy("_id").agg(F.max("_text").alias("_text")), "toxicity-sample")
+    hashed = F.xxhash64("_id", "_text").alias("_order")
     total, taken = 0, []
-    for order, size in sizes.items():
+    for key, size, _ in one.select("_id", F.octet_length("_text"), hashed).orderBy("_order", "_id").collect():
         if total + size <= limit:
             total += size
-            taken.append((order,))
+            taken.append((key,))
     if not taken:
         return []
-    return [x[0] for x in sized.join(F.broadcast(spark.createDataFrame(taken, "_order long")), "_order", "left_semi").select("_text").collect()]
+    chosen = one.join(F.broadcast(spark.createDataFrame(taken, f"_id {kind}")), "_id", "left_semi")
+    return [x[0] for x in chosen.select("_text", hashed, "_id").orderBy("_order", "_id").collect()]
 
 
 def score(
@@ -189,7 +191,9 @@ def score(
     if not (bad and ids["fit0"] and ids["fit1"]):
         return found.withColumn("score", F.lit(0.0))
     known = F.broadcast(spark.createDataFrame(held, f"doc_id {kind}, _y int"))
-    table = found.join(known, "doc_id").select(*FEATURES, "_y").limit(8 * sample).collect()
+    # One row a labelled id, in order: sums and the fit do not depend on how the rows are dealt.
+    best = found.join(known, "doc_id").groupBy("doc_id", "_y").agg(F.max(F.struct(*FEATURES)).alias("f"))
+    table = best.orderBy("doc_id").select("f.*", "_y").collect()
     x = np.array([r[:-1] for r in table], float)
     weights, intercept = fit(x, np.array([r[-1] for r in table], float))
     z = F.lit(intercept)
