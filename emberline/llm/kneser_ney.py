@@ -41,7 +41,7 @@ from emberline.operators.skew import hot_keys
 ship(__name__)
 
 #: Bounds of what goes to all tasks: words with two numbers each, pairs with one.
-VOCABULARY, FREQUENT = 1 << 18, 1 << 18
+VOCABULARY, FREQUENT = 1 << 18, 1 << 20
 STRATA, MIN_TRUSTED = 255, 50
 QUANTILE, MIN_HELD = 0.995, 50
 #: Upper ends of the length classes, in characters.
@@ -151,15 +151,15 @@ def _heaviness(c: str) -> Column:
     return F.floor(F.log2(F.col(c)) * 8).cast("int")
 
 
-def most_frequent(df: DataFrame, c: str, limit: int) -> DataFrame:
-    """The rows with the greatest counts, ``limit`` at most, from a histogram of a few hundred steps; a step is in whole or not at all."""
+def heavy(df: DataFrame, c: str, limit: int) -> Column:
+    """Whether a row is among those with the greatest counts, ``limit`` at most: a histogram of a few hundred steps, a step in whole or not at all."""
     left, least = limit, None
     for step, n in sorted(map(tuple, df.groupBy(_heaviness(c).alias("s")).count().collect()), reverse=True):
         left -= n
         if left < 0:
             break
         least = step
-    return df.where(F.lit(False)) if least is None else df.where(_heaviness(c) >= least)
+    return F.lit(False) if least is None else _heaviness(c) >= least
 
 
 def _counted(batches: Iterator[pa.RecordBatch], codes, name: str) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def _mixed(pairs: np.ndarray) -> np.ndarray:
 
 
 def gain_table(pairs: DataFrame, fitted: Model) -> DataFrame:
-    """``pair, c, gain, mixed`` of every pair."""
+    """``pair, c, gain, mixed`` of every pair; worked out from the counts wherever it is read, never written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,16 +289,18 @@ def gain_table(pairs: DataFrame, fitted: Model) -> DataFrame:
     return scan(pairs.select("pair", "c"), run, "pair long, c long, gain double, mixed long")
 
 
-def log_probabilities(docs: DataFrame, fitted: Model, table: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def log_probabilities(docs: DataFrame, fitted: Model, pairs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """``_id, _lang, chars, n_words, bits`` of every document of ``docs`` (``_id, _lang, _text``); no bits without words or model.
 
     A task asks once for texts that are equal; pairs that a large share of all texts asks for get their gains from a
     broadcast of fewer than 256 rows.
     """
     kind = docs.schema["_id"].dataType.simpleString()
-    top = most_frequent(table, "c", frequent).select("pair", "gain").toArrow()
+    often = heavy(pairs, "c", frequent)
+    top = gain_table(pairs.where(often), fitted).select("pair", "gain").toArrow()
+    table = gain_table(pairs.where(~often), fitted)
     order = np.argsort(top.column(0).to_numpy())
-    known, known_gain = top.column(0).to_numpy()[order], top.column(1).to_numpy()[order]
+    known, known_gain = top.column(0).to_numpy()[order], top.column(1).to_numpy()[order].astype(np.float32)
     words, vocabulary = key_filter(table, "mixed"), fitted.vocabulary
     single, rest, trained = fitted.single, fitted.rest, fitted.trained
 
@@ -310,7 +312,7 @@ def log_probabilities(docs: DataFrame, fitted: Model, table: DataFrame, frequent
         if len(known):
             at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
             here = known[at] == pair
-            bits += float((known_gain[at] * n)[here].sum())
+            bits += float((known_gain[at] * n)[here].sum(dtype=np.float64))
             pair, n = pair[~here], n[~here]
         asked = passes(words, _mixed(pair))
         return bits, pair[asked], n[asked]
@@ -354,14 +356,13 @@ def log_probabilities(docs: DataFrame, fitted: Model, table: DataFrame, frequent
 
 
 def fit(texts: DataFrame, strata: int, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
-    """The model of ``texts`` (``_lang, _text``; languages below ``strata``), and the table of its gains."""
+    """The model of ``texts`` (``_lang, _text``; languages below ``strata``), and the counts of its pairs."""
     counted = word_counts(texts)
-    kept = most_frequent(counted, "c", vocabulary).select("_lang", "word").toArrow()
+    kept = counted.where(heavy(counted, "c", vocabulary)).select("_lang", "word").toArrow()
     order = np.argsort(kept.column(1).to_numpy())
     known = Vocabulary(strata, kept.column(1).to_numpy()[order], kept.column(0).to_numpy()[order])
     pairs = pair_counts(texts, known)
-    fitted = model(counted, pairs, known)
-    return fitted, settle(gain_table(pairs, fitted), "kneser-ney-gains")
+    return model(counted, pairs, known), pairs
 
 
 def length_class(chars: Column) -> Column:
@@ -398,8 +399,8 @@ def score(
     names = [r[0] for r in common.orderBy(F.desc("count"), "_name").limit(STRATA).collect()]
     narrow = raw.select("_id", stratum(F.col("_name"), names).alias("_lang"), "_text")
     training = of(narrow, good.where(fold(F.col("_id")) != HELD_OUT), n_good)
-    fitted, table = fit(training, len(names) + 1, vocabulary)
-    bits = log_probabilities(narrow, fitted, table, frequent)
+    fitted, pairs = fit(training, len(names) + 1, vocabulary)
+    bits = log_probabilities(narrow, fitted, pairs, frequent)
     perplexity = F.round(F.pow(F.lit(2.0), -F.col("bits") / F.col("n_words")), 6)
     scored = bits.select("_id", "_lang", "n_words", length_class(F.col("chars")).alias("_class"), perplexity.alias("perplexity"))
     scored = settle(scored, "perplexity")
