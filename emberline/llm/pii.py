@@ -9,29 +9,37 @@ every document, without a lookup table) and different ones to different ones (di
 Types: e-mail (local part; the domain too, but for reserved example domains), IPv4 (as 32 bits, so it stays
 valid), card (issuer digit kept, check digit valid exactly if it was), phone (country code and a fictional ``555``
 exchange kept; also with a leading 1 or a trunk zero), IBAN (country kept), US social security number, secrets (long hex strings, values of key, token, secret or password
-assignments), persons after a form of address (the form shows the gender; the given name gets the ending ``a``
-or ``o`` to match, ``e`` after a form without gender).
+assignments), persons after a form of address: up to four names with particles and initials, and wherever else the same text
+has that whole name or its family name alone. The form of address stays, and of each name its last letter, which is what marks
+gender in given names; a name gets the same surrogate with and without a form, alone or in a longer name. Persons that no
+form of address introduces anywhere in their text are not found.
 Spellings of one phone or card number that differ in separators, and e-mail addresses that differ in case, keep that
 difference and nothing else.
 
+The key comes from the setting ``spark.emberline.pii.key``. Where that is not set a run draws one at random: surrogates then
+agree within the run, and nobody can undo them.
+
 Edge cases: a NULL text stays NULL, an empty one empty; entities that overlap count once, the leftmost first, of those
 the type named first in ``TYPES``; rows with equal ids are replaced each by its own text; other columns are untouched.
 """
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import carried, taken_back
+from emberline.llm.common import carried, quoted, taken_back
 from emberline.operators.lineage import settle
 
-KEY = "emberline-surrogates-1"
+KEY_SETTING = "spark.emberline.pii.key"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Sra|Señora"
 _MALE = "Mr|Herr|Monsieur|Sr|Señor|M"
-_NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:-?\p{Lu}\p{Ll}+)?"
+_PART = rf"(?:{_NAME}|\p{{Lu}}\.(?= \p{{Lu}}\p{{L}}))"
+_PARTICLE = "von|van|vom|zu|de|del|della|der|den|di|da|du|la|le|y"
 #: What stays in front of a secret or a name.
 _ASSIGNED = r"(?i:token|secret|password|passwd|api_key|apikey|access_key)\s{0,2}[=:]\s{0,2}[\"']?"
 _TITLE = rf"(?=[FMHSDP])(?<![\p{{L}}])(?:{_FEMALE}|{_MALE}|Dr|Prof)\.? "
@@ -42,7 +50,7 @@ _NATIONAL = (
 )
 #: Type and pattern, in order of precedence.
 TYPES = {
-    "email": r"[\p{L}\p{N}](?<![\p{L}\p{N}].)[\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
+    "email": r"[\p{L}\p{N}](?<![\p{L}\p{N}].)[\p{L}\p{N}._%+-]{0,255}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])",
     "secret": rf"[0-9a-fA-F](?<![0-9A-Za-z].)[0-9a-fA-F]{{31,127}}(?![0-9A-Za-z])|{_ASSIGNED}[0-9A-Za-z_/+.=-]{{8,128}}",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"[A-Z](?<![0-9A-Za-z].)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
@@ -51,11 +59,11 @@ TYPES = {
     rf"|[2-9](?<![\d.-].)\d{{2}} [2-9]\d{{2}} \d{{4}}(?![\d-])|1(?<![\d.-].)[ .-]\(?[2-9]\d{{2}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?![\d-])|{_NATIONAL}",
     "ssn": r"\d(?<![\d-].)\d{2}-\d{2}-\d{4}(?![\d-])",
     "card": r"\d(?<!\d.)(?:\d{12,18}|\d{3}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{3}[ -]\d{6}[ -]\d{5})(?!\d)",
-    "person": rf"{_TITLE}{_NAME}(?: {_NAME})?",
+    "person": rf"{_TITLE}(?:(?:{_PARTICLE}) ){{0,3}}{_PART}(?:(?: (?:{_PARTICLE})){{0,3}} {_PART}){{0,3}}",
 }
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: Some pattern needs one of these; texts without are passed through.
-HINTS = ("[0-9]", "@", "(?=[TtSsPpAa])" + _ASSIGNED, _TITLE + r"\p{Lu}", "[a-fA-F]{32}")
+HINTS = ("[0-9]", "@", "(?=[TtSsPpAa])" + _ASSIGNED, _TITLE + r"\p{L}", "[a-fA-F]{32}")
 
 #: The alphabets within which characters are shifted.
 ALPHABETS = (
@@ -80,6 +88,11 @@ ALPHABETS = (
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 
 
+def configured_key(spark: SparkSession) -> str:
+    """The key that the session names, else a random one."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -110,7 +123,7 @@ def _shift(c: Column, by: Column, table: Column) -> Column:
     return _let(at, lambda p: F.when(p > 0, moved(p)).otherwise(c))
 
 
-def permuted(value: Column, tweak: Column, table: Column, key: str = KEY) -> Column:
+def permuted(value: Column, tweak: Column, table: Column, key: str) -> Column:
     """A keyed permutation of the strings with the format of ``value``; another one for each ``tweak``.
 
     Each turn moves one half by keyed numbers of the other half (its case aside) and the place, then swaps the two.
@@ -186,11 +199,17 @@ def _card(e: Column) -> tuple[Column, Callable[[Column], Column]]:
     return F.array(_part(F.substring(d, F.lit(2), F.length(d) - 2), first)), lambda p: _filled(e, _let(F.concat(first, p[0]), check))
 
 
-def _person(e: Column, gender: Column) -> tuple[Column, Callable[[Column], Column]]:
-    given, family = F.regexp_extract(e, r"^(\S+) ", 1), F.regexp_extract(e, r"(\S+)$", 1)
-    end = F.when(gender == "f", "a").when(gender == "m", "o").otherwise("e")  # always one: the names of two endings cannot meet
-    parts = F.array(_part(given, "given"), _part(family, "family"))
-    return parts, lambda p: F.concat(F.when(given != "", F.concat(p[0], end, F.lit(" "))).otherwise(""), p[1])
+def _person(e: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """Every name by itself, but for its last letter; particles stay."""
+    names = lambda: F.regexp_extract_all(e, F.lit(r"\p{L}+"), F.lit(0))
+    body = lambda w: F.when(w.rlike(r"^\p{Lu}"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise("")
+    parts = F.transform(names(), lambda w: _part(body(w), F.concat(F.lit("name"), F.lower(F.substring(w, -1, 1)))))
+
+    def whole(p: Column) -> Column:
+        done = F.zip_with(p, names(), lambda new, w: F.concat(new, F.substring(w, F.length(new) + 1, F.length(w))))
+        return F.array_join(F.zip_with(F.split(e, r"\p{L}+", -1), done, lambda gap, w: F.concat(gap, F.coalesce(w, F.lit("")))), "")
+
+    return parts, whole
 
 
 def _ip(e: Column, key: str) -> Column:
@@ -219,16 +238,12 @@ def type_of(e: Column, front: Column) -> Column:
     return out.otherwise("secret")
 
 
-def gender_of(front: Column) -> Column:
-    return F.when(front.rlike(rf"^(?:{_FEMALE})\.? $"), "f").when(front.rlike(rf"^(?:{_MALE})\.? $"), "m")
-
-
-def surrogate(e: Column, kind: Column, gender: Column, key: str = KEY) -> Column:
+def surrogate(e: Column, kind: Column, key: str) -> Column:
     ways = {
         "email": _email(e),
         "phone": _phone(e),
         "card": _card(e),
-        "person": _person(e, gender),
+        "person": _person(e),
         "iban": (F.array(_part(F.substring(e, F.lit(3), F.length(e)), F.substring(e, 1, 2))), lambda p: F.concat(F.substring(e, 1, 2), p[0])),
         "ssn": (F.array(_part(_digits(e), "ssn")), lambda p: _filled(e, p[0])),
     }
@@ -249,7 +264,17 @@ def surrogate(e: Column, kind: Column, gender: Column, key: str = KEY) -> Column
     return _let(done, assembled)
 
 
-def detect(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def _names(typed: Column) -> Column:
+    """A pattern of the persons of a text, whole and by family name, the longest first; NULL without any."""
+    persons = F.transform(F.filter(typed, lambda x: x["kind"] == "person"), lambda x: x["entity"])
+    family = F.transform(persons, lambda e: F.regexp_extract(e, r"(\S+)$", 1))
+    every = F.array_distinct(F.concat(persons, family))
+    sized = F.sort_array(F.transform(every, lambda e: F.struct(F.length(e).alias("n"), e.alias("e"))), asc=False)
+    either = F.array_join(F.transform(sized, lambda x: F.replace(x["e"], F.lit("."), F.lit(r"\."))), "|")
+    return F.when(F.size(persons) > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{N}])")))
+
+
+def detect(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``_gaps``, the text around the entities, and ``_entities`` (front, entity, kind, surrogate).
 
     A text without any has no gaps and no entities, NULL or empty.
@@ -259,18 +284,22 @@ def detect(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     for hint in HINTS:
         hinted = hinted | (t.contains(hint) if hint == "@" else t.rlike(hint))
     split = docs.withColumn("_found", F.when(hinted, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    split = split.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(t, ANY, -1)))
+    split = split.withColumn("_around", F.when(F.size("_found") > 0, F.split(t, ANY, -1)))
     parted = F.transform("_found", lambda m: _let(front_of(m), lambda f: F.struct(f.alias("front"), F.substring(m, F.length(f) + 1, F.length(m)).alias("entity"))))
     typed = F.transform("_parted", lambda x: F.struct(x["front"], x["entity"], type_of(x["entity"], x["front"]).alias("kind")))
-    named = F.transform(
-        "_typed",
-        lambda x: F.struct(
-            x["front"], x["entity"], x["kind"], surrogate(x["entity"], x["kind"], gender_of(x["front"]), key).alias("surrogate")
-        ),
-    )
-    some = F.size("_found") > 0
+    some, named = F.size("_found") > 0, F.col("_names").isNotNull()
     split = split.withColumn("_parted", F.when(some, parted)).withColumn("_typed", F.when(some, typed))
-    return split.withColumn("_entities", F.when(some, named)).drop("_found", "_parted", "_typed")
+    split = split.withColumn("_names", F.when(some, _names(F.col("_typed"))))
+    # The text between the entities is cut again at the names that forms of address have introduced.
+    mention = lambda m: F.struct(F.lit("").alias("front"), m.alias("entity"), F.lit("person").alias("kind"))
+    again = lambda gap: F.transform(F.regexp_extract_all(gap, F.col("_names"), F.lit(0)), mention)
+    mentions = F.flatten(F.zip_with("_around", F.transform("_typed", lambda x: F.array(x)), lambda gap, e: F.concat(again(gap), F.coalesce(e, F.array()))))
+    split = split.withColumn("_gaps", F.when(named, F.flatten(F.transform("_around", lambda gap: F.split(gap, F.col("_names"), -1)))).otherwise(F.col("_around")))
+    split = split.withColumn("_typed", F.when(named, mentions).otherwise(F.col("_typed")))
+    done = F.transform(
+        "_typed", lambda x: F.struct(x["front"], x["entity"], x["kind"], surrogate(x["entity"], x["kind"], key).alias("surrogate"))
+    )
+    return split.withColumn("_entities", F.when(some, done)).drop("_found", "_around", "_parted", "_typed", "_names")
 
 
 def replaced(gaps: Column, entities: Column) -> Column:
@@ -278,9 +307,10 @@ def replaced(gaps: Column, entities: Column) -> Column:
     return F.array_join(F.zip_with(gaps, entities, lambda gap, e: F.concat(gap, whole(e))), "")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", key: str | None = None) -> DataFrame:
     """``docs`` with the entities of ``text`` replaced; ``n_chars`` follows the text if there is such a column."""
-    found = detect(docs.select(carried(docs, text), F.col(text).alias("_text")), "_text", key)
+    key = key or configured_key(docs.sparkSession)
+    found = detect(docs.select(carried(docs, text), quoted(text).alias("_text")), key, "_text")
     some = F.col("_entities").isNotNull()
     new = found.withColumn("_new", F.when(some, replaced(F.col("_gaps"), F.col("_entities"))).otherwise(F.col("_text")))
     back = taken_back(docs, text) | {text: F.col("_new")}
@@ -290,28 +320,29 @@ def pseudonymise(docs: DataFrame, text: str = "text", n_chars: str = "n_chars",
     return new.select(*(v.alias(k) for k, v in own.items()))
 
 
-def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
+def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
     """``doc_id, kind, entity, surrogate``: one row per occurrence."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    found = detect(narrow, "_text", key).select("doc_id", F.inline_outer("_entities"))  # outer: no filter sinks into the search
+    found = detect(narrow, key or configured_key(docs.sparkSession), "_text").select("doc_id", F.inline_outer("_entities"))  # outer: no filter sinks into the search
     return found.where("entity IS NOT NULL").select("doc_id", "kind", "entity", "surrogate")
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """Surrogates of ``entities`` that stand for two entities, and entities with two surrogates other than by gender; none is expected.
+    """Surrogates of ``entities`` that stand for two entities, and entities with two surrogates; none is expected.
 
     Distinct pairs are formed before anything is dealt by surrogate, so a common entity is one row.
     """
     pairs = found.select("kind", F.lower("entity").alias("entity"), F.lower("surrogate").alias("surrogate")).distinct()
     pairs = settle(pairs, "surrogates")
     clash = pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    split = pairs.where("kind <> 'person'").groupBy("kind", F.col("entity").alias("surrogate")).agg(F.count(F.lit(1)).alias("n"))
+    split = pairs.groupBy("kind", F.col("entity").alias("surrogate")).agg(F.count(F.lit(1)).alias("n"))
     return clash.union(split.where("n > 1"))
 
 
-def checked(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", key: str = KEY) -> DataFrame:
+def checked(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", key: str | None = None) -> DataFrame:
     """``pseudonymise`` after a look at all entities: a key under which two of them would meet is refused."""
-    narrow = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    key = key or configured_key(docs.sparkSession)
+    narrow = docs.select(F.lit(None).cast("long").alias("doc_id"), quoted(text).alias("_text"))
     clashes = collisions(entities(narrow, "doc_id", "_text", key)).take(3)
     if clashes:
         raise ValueError(f"surrogates collide under this key, take another: {[c['surrogate'] for c in clashes]}")
