@@ -42,24 +42,70 @@ def _authalic_q_of(phi: float, e: float) -> float:
     return (1 - e * e) * (s / (1 - (e * s) ** 2) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
 
 
-def to_6933(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Global cylindrical equal-area metres (true scale at 30 degrees)."""
+def _latitude_terms(e: float, terms: int = 5, points: int = 16) -> list[float]:
+    """Sine coefficients of geodetic minus authalic latitude in multiples of twice the authalic latitude.
+
+    The difference is smooth and odd, so a sine sum over a few latitudes gives them to rounding.
+    """
+    qp = _authalic_q_of(math.pi / 2, e)
+    betas = [math.pi * (j + 0.5) / (2 * points) for j in range(points)]
+    excess = []
+    for beta in betas:
+        low, high = 0.0, math.pi / 2
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _authalic_q_of(mid, e) < qp * math.sin(beta) else (low, mid)
+        excess.append((low + high) / 2 - beta)
+    return [2 / points * sum(d * math.sin(2 * k * b) for d, b in zip(excess, betas)) for k in range(1, terms + 1)]
+
+
+def _geodetic(sin_beta: Column, e: float) -> Column:
+    """Latitude in degrees from the sine of the authalic latitude."""
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sin_beta)))
+    phi = beta
+    for k, c in enumerate(_latitude_terms(e), 1):
+        phi = phi + F.sin(beta * (2 * k)) * c
+    return F.degrees(phi)
+
+
+def _cylinder() -> tuple[float, float]:
     e = math.sqrt(WGS84_F * (2 - WGS84_F))
     ts = math.radians(30)
-    k0 = math.cos(ts) / math.sqrt(1 - (e * math.sin(ts)) ** 2)
-    x = F.radians(lon) * (WGS84_A * k0)
-    y = _authalic_q(F.sin(F.radians(lat)), e) * (WGS84_A / (2 * k0))
-    return x, y
+    return e, math.cos(ts) / math.sqrt(1 - (e * math.sin(ts)) ** 2)
 
 
-def to_3035(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """European Lambert azimuthal equal-area metres (centre 52N 10E)."""
+def _azimuthal() -> tuple[float, float, float, float, float]:
     e = math.sqrt(GRS80_F * (2 - GRS80_F))
     phi0, lam0 = math.radians(52), math.radians(10)
     qp, q0 = _authalic_q_of(math.pi / 2, e), _authalic_q_of(phi0, e)
     beta0 = math.asin(q0 / qp)
     rq = WGS84_A * math.sqrt(qp / 2)
     d = WGS84_A * math.cos(phi0) / math.sqrt(1 - (e * math.sin(phi0)) ** 2) / (rq * math.cos(beta0))
+    return e, lam0, beta0, rq, d
+
+
+#: Eccentricity and scale; eccentricity, central meridian, authalic latitude of the centre, radius and stretch.
+_CYLINDER, _AZIMUTHAL = _cylinder(), _azimuthal()
+
+
+def to_6933(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Global cylindrical equal-area metres (true scale at 30 degrees)."""
+    e, k0 = _CYLINDER
+    x = F.radians(lon) * (WGS84_A * k0)
+    y = _authalic_q(F.sin(F.radians(lat)), e) * (WGS84_A / (2 * k0))
+    return x, y
+
+
+def from_6933(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of ``to_6933``."""
+    e, k0 = _CYLINDER
+    return F.degrees(x / (WGS84_A * k0)), _geodetic(y * (2 * k0 / WGS84_A / _authalic_q_of(math.pi / 2, e)), e)
+
+
+def to_3035(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """European Lambert azimuthal equal-area metres (centre 52N 10E)."""
+    e, lam0, beta0, rq, d = _AZIMUTHAL
+    qp = _authalic_q_of(math.pi / 2, e)
     beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _authalic_q(F.sin(F.radians(lat)), e) / qp)))
     dl = F.radians(lon) - lam0
     b = F.sqrt(2.0 / (1.0 + F.sin(beta) * math.sin(beta0) + F.cos(beta) * F.cos(dl) * math.cos(beta0))) * rq
@@ -68,7 +114,30 @@ def to_3035(lon: Column, lat: Column) -> tuple[Column, Column]:
     return x, y
 
 
+def from_3035(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of ``to_3035``; the centre needs no case of its own, as nothing is divided by the distance to it."""
+    e, lam0, beta0, rq, d = _AZIMUTHAL
+    east, north = (x - 4321000.0) / d, (y - 3210000.0) * d
+    half = (east * east + north * north) / (4 * rq * rq)  # squared sine of half the angle to the centre
+    s, c = F.sqrt(F.greatest(F.lit(0.0), 1 - half)) / rq, 1 - 2 * half
+    lam = F.atan2(east * s, c * math.cos(beta0) - north * s * math.sin(beta0)) + lam0
+    return F.degrees(lam), _geodetic(c * math.sin(beta0) + north * s * math.cos(beta0), e)
+
+
 PROJECTIONS = {"EPSG:4326": lambda lon, lat: (lon, lat), "EPSG:6933": to_6933, "EPSG:3035": to_3035}
+UNPROJECTIONS = {"EPSG:4326": lambda x, y: (x, y), "EPSG:6933": from_6933, "EPSG:3035": from_3035}
+
+
+def ring_to_4326(ring: Column, crs: str) -> Column:
+    """A ring in longitude and latitude."""
+    if crs not in UNPROJECTIONS:
+        raise ValueError(f"unknown projection {crs}")
+
+    def vertex(v: Column) -> Column:
+        lon, lat = UNPROJECTIONS[crs](v["x"], v["y"])
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    return ring if crs == "EPSG:4326" else F.transform(ring, vertex)
 
 
 @dataclass(frozen=True)

@@ -105,6 +105,30 @@ def _(spark):
     )
 
 
+def _rings_in(spark: SparkSession, crs: str) -> DataFrame:
+    """Vertices of rings that were stored in a projection and read as longitude and latitude."""
+    path = scratch(spark)
+    x, y = geo.PROJECTIONS[crs](F.col("x"), F.col("y"))
+    placed = spark.table("region_vertex").select("region", "part", F.struct("seq", x.alias("x"), y.alias("y")).alias("v"))
+    ring = F.transform(F.array_sort(F.collect_list("v")), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    tables.write_table(placed.groupBy("region", "part").agg(ring.alias("ring")), path)
+    vertices = tables.read_rings(spark, path, crs).select("region", "part", F.posexplode("ring").alias("seq", "v"))
+    return rounded(vertices.select("region", "part", "seq", "v.x", "v.y"), x=9, y=9)
+
+
+_RINGS_SQL = """SELECT region, CAST(part AS INT) AS part, CAST(seq AS INT) AS seq, round(x, 9) AS x, round(y, 9) AS y FROM region_vertex"""
+
+
+@query("s2_rings_in_3035", "region_vertex", oracle=_RINGS_SQL)
+def _(spark):
+    return _rings_in(spark, "EPSG:3035")
+
+
+@query("s2_rings_in_6933", "region_vertex", oracle=_RINGS_SQL)
+def _(spark):
+    return _rings_in(spark, "EPSG:6933")
+
+
 @query("s3_read_csv", "hotspot", oracle="SELECT ord, latitude, longitude, acq_date, confidence, frp FROM hotspot")
 def _(spark):
     path = scratch(spark)
@@ -162,6 +186,24 @@ def _(spark):
     return tables.read_topic(spark, root, "Pendiente", [1996, 1998])
 
 
+@query(
+    "s8_declared_topic",
+    "feature_slope",
+    oracle="""SELECT lat, lon, date, elevacion_centro, coalesce(CASE WHEN substring(date, 1, 4) = '1996' THEN grados END, -1) AS grados,
+CASE WHEN substring(date, 1, 4) = '1997' THEN grados END AS steepest, CAST(substring(date, 1, 4) AS INT) AS year FROM feature_slope
+WHERE substring(date, 1, 4) IN ('1996', '1997')""",
+)
+def _(spark):
+    root = scratch(spark)
+    slope = spark.table("feature_slope")
+    of = lambda year: slope.where(F.col("date").startswith(str(year)))
+    tables.declare_topic(spark, root, "Pendiente", slope.schema, defaults={"grados": -1.0})
+    tables.write_topic(of(1996), root, "Pendiente")
+    tables.write_topic(of(1997).withColumnRenamed("grados", "steepest"), root, "Pendiente")
+    tables.write_topic(of(1998), root, "Pendiente")
+    return tables.read_topic(spark, root, "Pendiente", [1996, 1997])
+
+
 @query(
     "s8_read_year_files",
     "feature_slope",

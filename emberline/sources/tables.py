@@ -1,11 +1,14 @@
 """Tables on the object store: ``<root>/<topic>/year=YYYY/`` Parquet, CSV in and out."""
 
+import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from emberline.functions.geo import ring_to_4326
 from emberline.operators.zones import mask_name
 from emberline.schema import COVER_LEGEND, RINGS
 from emberline.sources.order import number_parquet, number_text
@@ -28,9 +31,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
 
 
-def read_rings(spark: SparkSession, path: str) -> DataFrame:
-    """Geometry table: ``region, part, ring`` in lon/lat."""
-    return spark.read.schema(RINGS).parquet(path)
+def read_rings(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
+    """Geometry table: ``region, part, ring`` in lon/lat, whatever projection (``crs``) the file is in."""
+    return spark.read.schema(RINGS).parquet(path).withColumn("ring", ring_to_4326(F.col("ring"), crs))
 
 
 def read_csv(
@@ -79,15 +82,74 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: Struct
     return spark.read.schema(schema).parquet(target)
 
 
+def _schema_path(root: str, topic: str) -> str:
+    return f"{root}/topic-schemas/{topic}"
+
+
+def topic_schema(spark: SparkSession, root: str, topic: str) -> StructType | None:
+    """The declared schema of a topic, NULL allowed everywhere, or None if it was never declared.
+
+    Versions are only ever added, so writers need no lock; a column that a later version names too keeps its first type.
+    """
+    try:
+        versions = spark.read.schema("version long, schema string").json(_schema_path(root, topic)).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    fields: dict[str, StructField] = {}
+    for row in sorted(versions):
+        for f in StructType.fromJson(json.loads(row.schema)).fields:
+            held = fields.setdefault(f.name, StructField(f.name, f.dataType, True, f.metadata))
+            if held.dataType != f.dataType:
+                raise ValueError(f"topic {topic}: column {f.name} is {held.dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return StructType(list(fields.values()))
+
+
+def declare_topic(spark: SparkSession, root: str, topic: str, schema: StructType, defaults: dict[str, object] | None = None) -> None:
+    """State the columns of a topic (without ``year``), or add columns to it.
+
+    ``defaults`` are numbers, texts or booleans that stand for a NULL or an absent value of a column when the topic is read. A column with
+    another type than the topic has is an error. Once declared, a topic is read without opening a footer to learn its columns.
+    """
+    unknown = set(defaults or {}) - set(schema.names)
+    if unknown:
+        raise ValueError(f"defaults of columns that are not in the schema: {sorted(unknown)}")
+    known = topic_schema(spark, root, topic)
+    marked = [StructField(f.name, f.dataType, True, {"default": defaults[f.name]} if defaults and f.name in defaults else {}) for f in schema.fields]
+    for f in marked if known else ():
+        if f.name in known.names and known[f.name].dataType != f.dataType:
+            raise ValueError(f"topic {topic}: column {f.name} is {known[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    added = [f for f in marked if known is None or f.name not in known.names]
+    if added:
+        rows = [(0 if known is None else len(known), json.dumps(StructType(added).jsonValue()))]
+        version = spark.createDataFrame(rows, "version long, schema string").coalesce(1)
+        version.write.mode("append").json(_schema_path(root, topic))
+
+
 def write_topic(df: DataFrame, root: str, topic: str, date: str = "date") -> None:
-    """Add rows of a topic under their year. Years already there and not in ``df`` stay."""
+    """Add rows of a topic under their year. Years already there and not in ``df`` stay. New columns of a declared topic are declared."""
+    if topic_schema(df.sparkSession, root, topic) is not None:
+        declare_topic(df.sparkSession, root, topic, df.schema)
     dated = df.withColumn("year", F.year(date))
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(f"{root}/{topic}")
 
 
 def read_topic(spark: SparkSession, root: str, topic: str, years: Sequence[int] | None = None) -> DataFrame:
-    """All parts of a topic, or those of some years; only their folders are read."""
-    df = spark.read.option("mergeSchema", True).parquet(f"{root}/{topic}")
+    """All parts of a topic, or those of some years; only their folders are read.
+
+    A declared topic takes its columns and defaults from there and opens the files of the chosen years only; the columns of any other are
+    learned from the footers of all its files.
+    """
+    schema = topic_schema(spark, root, topic)
+    if schema is None:
+        df = spark.read.option("mergeSchema", True).parquet(f"{root}/{topic}")
+    else:
+        df = spark.read.schema(StructType([*schema.fields, StructField("year", IntegerType())])).parquet(f"{root}/{topic}")
+        given = {f.name: f for f in schema.fields if "default" in f.metadata}
+        if given:
+            filled = {c: F.coalesce(F.col(f"`{c}`"), F.lit(f.metadata["default"]).cast(f.dataType)) for c, f in given.items()}
+            df = df.select(*[filled[c].alias(c) if c in filled else F.col(f"`{c}`") for c in df.columns])
     return df if years is None else df.where(F.col("year").isin(*years))
 
 

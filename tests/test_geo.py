@@ -97,3 +97,23 @@ def test_draws_match_the_documented_hash(spark):
     got = one(spark, *[draw(d, i) for i in range(4)])
     assert got[0] == 3663230981 / 2**32
     assert all(0 <= v < 1 for v in got) and len(set(got)) == 4
+
+
+@pytest.mark.parametrize("crs", ["EPSG:3035", "EPSG:6933"])
+def test_projections_there_and_back(spark, crs):
+    places = [(lon * 1.0, lat * 1.0) for lon in range(-30, 61, 15) for lat in range(-60, 85, 12)] + [(10.0, 52.0), (0.0, 0.0)]
+    df = spark.createDataFrame(places, "lon double, lat double")
+    x, y = geo.PROJECTIONS[crs](F.col("lon"), F.col("lat"))
+    met = df.withColumns({"x": x, "y": y})
+    lon, lat = geo.UNPROJECTIONS[crs](F.col("x"), F.col("y"))
+    worst = met.select(F.max(F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))))).first()[0]
+    assert worst < 1e-9
+
+
+def test_known_places_back(spark):
+    lon, lat = geo.from_3035(F.lit(3962799.45), F.lit(2999718.85))
+    assert tuple(one(spark, lon, lat)) == pytest.approx((5.0, 50.0), abs=1e-7)
+    lon, lat = geo.from_6933(F.lit(17367530.445), F.lit(7314540.831))
+    assert tuple(one(spark, lon, lat)) == pytest.approx((180.0, 85.0445664), abs=1e-6)
+    with pytest.raises(ValueError, match="EPSG:1"):
+        geo.ring_to_4326(F.col("ring"), "EPSG:1")

@@ -135,3 +135,37 @@ def test_source_order_of_nothing(spark, tmp_path):
     tables.write_table(spark.createDataFrame([], schema), str(tmp_path / "none"))
     assert tables.read_table(spark, str(tmp_path / "none"), schema, order="ord").columns == ["x", "ord"]
     assert tables.read_table(spark, str(tmp_path / "none"), schema, order="ord").count() == 0
+
+
+def test_declared_topic_opens_its_years_only(spark, tmp_path, hot):
+    root = str(tmp_path)
+    plain = hot.select("ord", "acq_date", "frp")
+    tables.declare_topic(spark, root, "T", plain.schema, defaults={"frp": 0.5})
+    tables.write_topic(plain.where("year(acq_date) = 2022"), root, "T", "acq_date")
+    later = plain.where("year(acq_date) = 2024").drop("frp").withColumns({"odd.name": F.lit("x"), "_": F.lit(1)})
+    tables.write_topic(later, root, "T", "acq_date")
+    broken = tmp_path / "T" / "year=2023"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("no parquet")
+    got = tables.read_topic(spark, root, "T", [2022, 2024])
+    assert got.columns == ["ord", "acq_date", "frp", "odd.name", "_", "year"]
+    rows = [(r["frp"], r["odd.name"], r["_"]) for r in got.where("year = 2024").collect()]
+    assert rows and set(rows) == {(0.5, "x", 1)}
+    assert {r["_"] for r in got.where("year = 2022").collect()} == {None}
+    with pytest.raises(Exception):
+        tables.read_topic(spark, root, "T").collect()
+
+
+def test_declared_topic_keeps_types_and_knows_its_columns(spark, tmp_path, hot):
+    root = str(tmp_path)
+    assert tables.topic_schema(spark, root, "T") is None
+    tables.declare_topic(spark, root, "T", hot.select("ord").schema)
+    tables.declare_topic(spark, root, "T", hot.select("ord").schema)
+    tables.declare_topic(spark, root, "T", hot.select("acq_date", "ord").schema)
+    assert tables.topic_schema(spark, root, "T").names == ["ord", "acq_date"]
+    with pytest.raises(ValueError, match="ord"):
+        tables.write_topic(hot.select(F.col("ord").cast("string").alias("ord"), "acq_date"), root, "T", "acq_date")
+    with pytest.raises(ValueError, match="defaults"):
+        tables.declare_topic(spark, root, "U", hot.select("ord").schema, defaults={"x": 1})
+    tables.write_topic(hot.select("ord", "acq_date").limit(0), root, "T", "acq_date")
+    assert tables.read_topic(spark, root, "T").count() == 0
