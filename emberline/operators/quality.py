@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.dates import DATE_FORMATS, parse_date
-from emberline.operators.quantiles import quantiles
 from emberline.operators.raster import WATER_URBAN_COVER
+from emberline.operators.summary import col, numeric_columns, summarise, text_columns
 
 FLOATS = ("double", "float")
 
@@ -95,30 +95,10 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    kinds = ("tinyint", "smallint", "int", "bigint", *FLOATS)
-    return [c for c, t in df.dtypes if t in kinds or t.startswith("decimal")]
-
-
-def text_columns(df: DataFrame) -> list[str]:
-    return [c for c, t in df.dtypes if t == "string"]
-
-
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, count, mean, std, min, p25, p50, p75, max``; the quantiles are exact. A column without values has count 0."""
-    columns = columns or numeric_columns(df)
-    long = _long(df, columns, "double").where("value IS NOT NULL AND NOT isnan(value)")
-    moments = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    parts = quantiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    met = every.join(moments.join(parts, "column"), "column", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
-    return met.select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    columns = list(columns or numeric_columns(df))
+    return summarise(df.select(*[col(c) for c in columns]), columns, []).stats
 
 
 def value_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

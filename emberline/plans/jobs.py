@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.dates import day_prefix
 from emberline.functions.geo import RasterMeta
-from emberline.operators import clean, enrich, events, merge, quality, synth
+from emberline.operators import clean, enrich, events, merge, quality, summary, synth
 from emberline.operators.lineage import settle
 from emberline.operators.skew import bucket_sizes, skew_join
 from emberline.sources import tables
@@ -171,11 +171,12 @@ def clean_cover(df: DataFrame, legend: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, preview: int = 10, order: Sequence[str] = KEY) -> dict[str, DataFrame]:
-    """First rows, completeness, numeric statistics, value shares and distinct counts of a final table."""
+    """First rows, completeness, numeric statistics, value shares and distinct counts of a final table, in two scans and the one for the first rows."""
+    found = summary.summarise(df)
     return {
         "head": clean.head(df, preview, *order),
-        "completeness": quality.completeness(df),
-        "describe": quality.describe(df),
-        "value_shares": quality.value_shares(df),
-        "n_unique": quality.n_unique(df),
+        "completeness": summary.completeness(found, df),
+        "describe": found.stats,
+        "value_shares": summary.value_shares(found),
+        "n_unique": summary.n_unique(found),
     }

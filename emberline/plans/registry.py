@@ -1125,6 +1125,18 @@ def _(spark):
     return jobs.clean_cover(spark.table("feature_cover"), spark.table("cover_legend")).select("lat", "lon", "date", "vegetacion2")
 
 
+_PROFILED_SQL = f"""SELECT l.point_id, l.lat, l.lon, l.date, l.final, l.area_ha, a.NDVI, a.NDWI, b.elevacion_centro, b.grados, c.vegetacion2 FROM labelled_point l
+LEFT JOIN feature_veg a ON {_ON.replace("x.", "a.")} LEFT JOIN feature_slope b ON {_ON.replace("x.", "b.")}
+LEFT JOIN feature_cover c ON {_ON.replace("x.", "c.")}"""
+_PROFILED = ("labelled_point", "feature_veg", "feature_slope", "feature_cover")
+_NUMBERS = ("lat", "lon", "area_ha", "NDVI", "NDWI", "elevacion_centro", "grados")
+
+
+def _profile_part(spark: SparkSession, part: str) -> DataFrame:
+    merged = jobs.merge_features([spark.table(t) for t in _PROFILED])
+    return jobs.profile(settle(merged, "merged"))[part]
+
+
 @query(
     "e8_profile_completeness",
     "labelled_point",
@@ -1141,3 +1153,47 @@ LEFT JOIN feature_veg a ON {_ON.replace("x.", "a.")} LEFT JOIN feature_slope b O
 def _(spark):
     merged = jobs.merge_features([spark.table("labelled_point"), spark.table("feature_veg"), spark.table("feature_slope")])
     return jobs.profile(settle(merged, "merged"))["completeness"].select("column", "non_null", "rows")
+
+
+@query(
+    "e8_profile_describe",
+    *_PROFILED,
+    oracle=f"WITH m AS ({_PROFILED_SQL})\n"
+    + "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
+round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM m"""
+        for c in _NUMBERS
+    ),
+)
+def _(spark):
+    out = _profile_part(spark, "describe").where(F.col("column").isin(*_NUMBERS))
+    return rounded(out, **{c: 6 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
+
+
+@query(
+    "e8_profile_value_shares",
+    *_PROFILED,
+    oracle=f"""WITH m AS ({_PROFILED_SQL})
+SELECT 'vegetacion2' AS "column", vegetacion2 AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM m), 9) AS share FROM m GROUP BY vegetacion2""",
+)
+def _(spark):
+    return rounded(_profile_part(spark, "value_shares"), share=9)
+
+
+@query(
+    "e8_profile_n_unique",
+    *_PROFILED,
+    oracle=f"""WITH m AS ({_PROFILED_SQL}) SELECT 'vegetacion2' AS "column", count(DISTINCT vegetacion2) AS n_unique FROM m""",
+)
+def _(spark):
+    return _profile_part(spark, "n_unique")
+
+
+@query(
+    "e8_profile_head",
+    *_PROFILED,
+    oracle=f"""WITH m AS ({_PROFILED_SQL}) SELECT lat, lon, CAST(substring(date, 1, 10) AS DATE) AS date, point_id FROM m ORDER BY lat, lon, date, point_id LIMIT 10""",
+)
+def _(spark):
+    merged = settle(jobs.merge_features([spark.table(t) for t in _PROFILED]), "merged")
+    return jobs.profile(merged, order=(*jobs.KEY, "point_id"))["head"].select("lat", "lon", "date", "point_id")
