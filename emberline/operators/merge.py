@@ -102,3 +102,20 @@ def merge(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     end in ``_x`` and ``_y``.
     """
     return merge_keyed(settle_all([keyed(t, keys) for t in tables], "merge-input"), keys)
+
+
+def inner_joins(left: DataFrame, rights: Sequence[DataFrame]) -> list[DataFrame]:
+    """``left`` with each of ``rights`` on ``MERGE_KEY``, rows that match only. All are settled, and share no other column.
+
+    The joins ask for the same partitioning of ``left``, so used together they shuffle it once.
+    """
+    hot = _hot([left, *rights], _weights([left, *rights]))
+    if hot is None:
+        return [left.join(r, MERGE_KEY) for r in rights]
+    one = F.broadcast(hot)
+    cold, heavy = left.join(one, MERGE_KEY, "left_anti"), left.join(one, MERGE_KEY, "left_semi")
+    out = []
+    for r in rights:
+        met = skew.skew_join(heavy, r.join(one, MERGE_KEY, "left_semi"), [MERGE_KEY], "inner")
+        out.append(cold.join(r.join(one, MERGE_KEY, "left_anti"), MERGE_KEY).unionByName(met))
+    return out

@@ -3,16 +3,15 @@
 from collections.abc import Sequence
 from dataclasses import replace
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.dates import day_prefix
 from emberline.functions.geo import RasterMeta
-from emberline.operators import clean, enrich, events, merge, quality, summary, synth
+from emberline.operators import clean, enrich, events, merge, nulls, quality, summary, synth
 from emberline.operators.lineage import settle
-from emberline.operators.skew import bucket_sizes, skew_join
+from emberline.operators.skew import skew_join
 from emberline.sources import tables
 
 KEY = ("lat", "lon", "date")
@@ -154,15 +153,17 @@ def feature_join(labels: DataFrame, feature: DataFrame) -> DataFrame:
     return skew_join(_label_keys(labels), _by_day(feature), KEY, "inner")
 
 
+def null_audit(labels: DataFrame, features: dict[str, DataFrame]) -> nulls.NullAudit:
+    """Where feature tables lack values at the labelled points: by column, month, burned area and feature."""
+    for old, new in FIRE_NAMES.items():
+        if new in labels.columns:
+            labels = labels.drop(old).withColumnRenamed(new, old)
+    return nulls.NullAudit(_by_day(labels), {name: _by_day(df) for name, df in features.items()}, KEY)
+
+
 def audit(labels: DataFrame, features: dict[str, DataFrame]) -> DataFrame:
     """Nulls per feature table, class and column."""
-    keyed = _label_keys(labels)
-    sizes = bucket_sizes(keyed, KEY)
-    parts = [
-        quality.null_audit(skew_join(keyed, _by_day(df), KEY, "inner", sizes)).select(F.lit(name).alias("feature"), "*")
-        for name, df in features.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return null_audit(labels, features).by_column()
 
 
 def clean_cover(df: DataFrame, legend: DataFrame) -> DataFrame:

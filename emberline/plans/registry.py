@@ -990,6 +990,64 @@ def _(spark):
     return rounded(out, pct_rows_with_null=6)
 
 
+_AUDITED = ("labelled_point", *[f"feature_{f}" for f in FEATURES])
+
+
+def _audit_of(spark: SparkSession):
+    return jobs.null_audit(spark.table("labelled_point"), {f: spark.table(f"feature_{f}") for f in FEATURES})
+
+
+def _null_rows_sql() -> str:
+    """Every joined row with a NULL, its burned area and the names of its columns without a value."""
+    return "\nUNION ALL ".join(
+        f"""SELECT '{f}' AS feature, CAST(l.final AS INT) AS final, l.lat, l.lon, CAST(substring(l.date, 1, 10) AS DATE) AS date, l.area_ha,
+concat_ws(',', {", ".join(f"CASE WHEN x.{c} IS NULL THEN '{c}' END" for c in _COLUMNS[f])}) AS missing
+FROM labelled_point l JOIN feature_{f} x ON {_ON} WHERE {" OR ".join(f"x.{c} IS NULL" for c in _COLUMNS[f])}"""
+        for f in FEATURES
+    )
+
+
+@query("e6_audit_rows", *_AUDITED, oracle=f"SELECT feature, final, lat, lon, date, missing FROM ({_null_rows_sql()})")
+def _(spark):
+    return _audit_of(spark).rows()
+
+
+@query(
+    "e6_audit_months",
+    *_AUDITED,
+    oracle=f"""WITH m AS (SELECT CAST(month(CAST(substring(date, 1, 10) AS DATE)) AS INT) AS month, CAST(final AS INT) AS final FROM labelled_point),
+k AS (SELECT feature, final, CAST(month(date) AS INT) AS month, count(*) AS n FROM ({_null_rows_sql()}) GROUP BY ALL)
+SELECT f.feature, c.final, c.month, t.n AS rows, coalesce(k.n, 0) AS rows_with_null, round(coalesce(k.n, 0) / t.n * 100, 6) AS pct
+FROM (SELECT DISTINCT final, month FROM m) c JOIN (SELECT month, count(*) AS n FROM m GROUP BY month) t ON t.month = c.month
+JOIN (VALUES {", ".join(f"('{f}')" for f in FEATURES)}) f(feature) ON true
+LEFT JOIN k ON k.feature = f.feature AND k.final = c.final AND k.month = c.month""",
+)
+def _(spark):
+    return rounded(_audit_of(spark).by_month(), pct=6)
+
+
+@query(
+    "e6_audit_areas",
+    *_AUDITED,
+    oracle=f"""WITH v AS (SELECT feature, area_ha AS v FROM ({_null_rows_sql()}) WHERE final = 1 AND area_ha IS NOT NULL),
+s AS (SELECT feature, min(v) - CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS lo, max(v) + CASE WHEN min(v) = max(v) THEN 0.5 ELSE 0 END AS hi FROM v GROUP BY feature),
+h AS (SELECT v.feature, CAST(least(floor((v - lo) / (hi - lo) * 15) + 1, 15) AS INT) AS bin, count(*) AS n FROM v JOIN s ON s.feature = v.feature GROUP BY ALL)
+SELECT s.feature, CAST(b AS INT) AS bin, coalesce(n, 0) AS n FROM s CROSS JOIN range(1, 16) r(b) LEFT JOIN h ON h.feature = s.feature AND h.bin = b""",
+)
+def _(spark):
+    return _audit_of(spark).areas().select("feature", "bin", "n")
+
+
+@query(
+    "e6_audit_overlap",
+    *_AUDITED,
+    oracle=f"""SELECT final, CAST(month(date) AS INT) AS month, features, count(*) AS points FROM
+(SELECT final, lat, lon, date, string_agg(DISTINCT feature, ',' ORDER BY feature) AS features FROM ({_null_rows_sql()}) GROUP BY ALL) GROUP BY ALL""",
+)
+def _(spark):
+    return _audit_of(spark).overlap()
+
+
 @query(
     "p15_rows_with_null",
     "labelled_point",
