@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import chord, haversine_km, unit_xyz
 from emberline.operators.lineage import settle
 from emberline.operators.ranking import global_rank
-from emberline.operators.skew import BROADCAST_ROWS, lookup
+from emberline.operators.skew import BROADCAST_ROWS, lookup, shuffled
 
 BITS = 21
 ORIGIN = 1 << (BITS - 1)
@@ -123,8 +123,8 @@ def _candidates(cells: DataFrame, eps_km: float) -> DataFrame:
         near, far = F.least(F.abs(i), F.abs(i + 1)), F.greatest(F.abs(i), F.abs(i + 1))
         low, high = low + near * near, high + far * far
     touches_sphere = (low * side * side <= 1 + 1e-6) & (high * side * side >= 1 - 1e-6)
-    pairs = wanted.where(touches_sphere).join(_side_of(cells, "b", ["cell"]), "b_cell")
-    pairs = pairs.join(_side_of(cells, "a", ["cell"]), "a_cell")
+    pairs = shuffled(wanted.where(touches_sphere)).join(_side_of(cells, "b", ["cell"]), "b_cell")
+    pairs = pairs.join(shuffled(_side_of(cells, "a", ["cell"])), "a_cell")
     return _judge(pairs, eps_km).select("a_cell", "b_cell", "linked", "open")
 
 
@@ -147,8 +147,8 @@ def _refine(points: DataFrame, undecided: DataFrame, eps_km: float) -> list[Data
             source.withColumn("sub", _sub_cell(eps_km, level - 1)).withColumn("part", _sub_cell(eps_km, level)),
             ["cell", "sub", "part"],
         )
-        pairs = rest.join(_side_of(parts, "a", ["cell", "sub", "part"]), ["a_cell", "a_sub"]).join(
-            _side_of(parts, "b", ["cell", "sub", "part"]), ["b_cell", "b_sub"]
+        pairs = rest.join(shuffled(_side_of(parts, "a", ["cell", "sub", "part"])), ["a_cell", "a_sub"]).join(
+            shuffled(_side_of(parts, "b", ["cell", "sub", "part"])), ["b_cell", "b_sub"]
         )
         judged = settle(
             _judge(pairs, eps_km).select(
@@ -158,7 +158,7 @@ def _refine(points: DataFrame, undecided: DataFrame, eps_km: float) -> list[Data
         )
         linked = judged.where("linked").select("a_cell", "b_cell").distinct()
         found.append(linked)
-        rest = judged.where("NOT linked").drop("linked").join(linked, ["a_cell", "b_cell"], "left_anti")
+        rest = judged.where("NOT linked").drop("linked").join(shuffled(linked), ["a_cell", "b_cell"], "left_anti")
     return found
 
 
@@ -248,7 +248,7 @@ def components(points: DataFrame, eps_km: float, open_limit: int = BROADCAST_ROW
     found = _refine(points, unsure.select("a_cell", "b_cell"), eps_km)
     if not found:
         return labels.withColumnRenamed("_early", "component")
-    late = contract(unsure.join(_union(found), ["a_cell", "b_cell"], "left_semi").select("a", "b"))
+    late = contract(shuffled(unsure).join(_union(found), ["a_cell", "b_cell"], "left_semi").select("a", "b"))
     return _rooted(labels, "_early", late, "component").drop("_early")
 
 

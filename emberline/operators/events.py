@@ -19,7 +19,7 @@ from emberline.functions.geo import buffered_area, to_6933
 from emberline.functions.rounding import grid_units, np_round, py_round
 from emberline.operators import cluster
 from emberline.operators.lineage import settle
-from emberline.operators.skew import lookup
+from emberline.operators.skew import lookup, shuffled
 
 SEED_DATE = date(2020, 1, 1)
 ROUND_DECIMALS = 2
@@ -204,9 +204,9 @@ class FireSplit:
         keys = ["cell", "date"]
         per_day = self.cell_tiles.groupBy(*keys).agg(F.sum("n").alias("_rows"))
         ids = (
-            per_day.select(*keys)
+            shuffled(per_day.select(*keys))
             .join(self.components, "cell")
-            .join(self.days.select("component", "date", "fire_id"), ["component", "date"])
+            .join(shuffled(self.days.select("component", "date", "fire_id")), ["component", "date"])
             .select(*keys, "fire_id")
         )
         ids = settle(ids, "cell-days")
@@ -233,12 +233,12 @@ def separate_fire_events(
     points = settle(cluster.with_cell(clean, dist_km), "points")
     components = cluster.components(points, dist_km)
     cell_tiles = tiles(points, ["cell", "date"])
-    part_tiles = settle(merge_tiles(cell_tiles.join(components, "cell"), ["component", "date"]), "component-tiles")
+    part_tiles = settle(merge_tiles(shuffled(cell_tiles).join(components, "cell"), ["component", "date"]), "component-tiles")
     days = part_tiles.groupBy("component", "date").agg(F.min("first_ord").alias("first_ord"))
     first = settle(days.groupBy("component").agg(F.min("first_ord").alias("first_ord")), "first")
     numbered = cluster.label(first).select("component", "label")
-    days = chained_id(split_by_gap(days, max_gap_days, seed_date).join(numbered, "component"))
-    named = part_tiles.join(days.select("component", "date", "seq", "fire_id"), ["component", "date"])
+    days = chained_id(shuffled(split_by_gap(days, max_gap_days, seed_date)).join(numbered, "component"))
+    named = shuffled(part_tiles).join(days.select("component", "date", "seq", "fire_id"), ["component", "date"])
     return FireSplit(points, cell_tiles, components, days, named)
 
 
@@ -262,13 +262,13 @@ def split_in_input_order(
     carried = last.withColumn("_carried", F.lag("_last").over(across)).drop("_last")
     previous = F.coalesce(F.lag("date").over(within), F.col("_carried"), F.lit(seed_date))
     flagged = settle(
-        p.join(carried, ["component", "_block"]).withColumn("split", F.datediff("date", previous) > max_gap_days), "walk"
+        p.join(shuffled(carried), ["component", "_block"]).withColumn("split", F.datediff("date", previous) > max_gap_days), "walk"
     ).drop("_carried")
     opened = F.sum(F.col("split").cast("int"))
     before = flagged.groupBy("component", "_block").agg(opened.alias("_opened"))
     before = before.withColumn("_before", F.sum("_opened").over(across.rowsBetween(upto, -1))).drop("_opened")
     return (
-        flagged.join(before, ["component", "_block"])
+        flagged.join(shuffled(before), ["component", "_block"])
         .withColumn("seq", opened.over(within.rowsBetween(upto, 0)) + F.coalesce("_before", F.lit(0)))
         .drop("_block", "_before")
     )
@@ -283,9 +283,9 @@ def fire_points_in_input_order(
     """
     points = settle(cluster.with_cell(clean, dist_km), "points")
     per_cell = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"), F.min("ord").alias("first_ord"))
-    cells = settle(per_cell.join(cluster.components(points, dist_km), "cell"), "cells")
+    cells = settle(shuffled(per_cell).join(cluster.components(points, dist_km), "cell"), "cells")
     first = settle(cells.groupBy("component").agg(F.min("first_ord").alias("first_ord")), "first")
-    cells = settle(cells.drop("first_ord").join(cluster.label(first).drop("first_ord"), "component"), "numbered")
+    cells = settle(shuffled(cells.drop("first_ord")).join(cluster.label(first).drop("first_ord"), "component"), "numbered")
     n_cells, n_rows = cells.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     named = lookup(
         points, cells.drop("_rows"), ["cell"], "inner", right_rows=n_cells, counts=(cells.select("cell", "_rows"), n_cells, n_rows)
@@ -319,7 +319,7 @@ def fires_in_input_order(points: DataFrame, res_m: float = 375.0) -> DataFrame:
         .withColumn("duration_days", F.datediff("date_last", "date_first") + 1)
     )
     summary = fire_summary(points).drop("date_first", "date_last", "duration_days")
-    return summary.join(ends, "fire_id").join(fire_area(points, res_m), "fire_id", "left")
+    return shuffled(summary).join(ends, "fire_id").join(shuffled(fire_area(points, res_m)), "fire_id", "left")
 
 
 def largest_first(fires: DataFrame) -> DataFrame:

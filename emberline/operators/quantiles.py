@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators.lineage import settle
 from emberline.operators.ranking import bucket_of, split_points
+from emberline.operators.skew import shuffled
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -46,7 +47,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     ).where(F.size("_wanted") > 0)
     here = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        values.join(targets.select(*keys, "_bucket", "_wanted"), [*keys, "_bucket"])
+        shuffled(values).join(targets.select(*keys, "_bucket", "_wanted"), [*keys, "_bucket"])
         .withColumn("_last", F.sum("_n").over(here))
         .withColumn(
             "_hit",

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import METRES_PER_DEGREE, RasterMeta, pixel_of
-from emberline.operators.skew import key_counts, lookup
+from emberline.operators.skew import key_counts, lookup, shuffled
 
 # Land-cover codes of water and urban areas, the last code of the legend, the label of no cover.
 WATER_URBAN_COVER = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 33, 34, 36, 37, 38, 39, 40, 41, 42, 43)
@@ -39,13 +39,13 @@ def filled_pixels(
     from the pixel, centred by default. Pixels without any valid neighbour are absent.
     """
     start = -(window // 2) if offset is None else offset
-    centre = need.where(_inside(meta)).select(*PIXEL).join(raster.select(*PIXEL, "value"), PIXEL)
+    centre = shuffled(need.where(_inside(meta)).select(*PIXEL)).join(raster.select(*PIXEL, "value"), PIXEL)
     steps = F.array(*[F.struct(F.lit(i).alias("r"), F.lit(j).alias("c")) for i in range(start, start + window) for j in range(start, start + window)])
     around = (
         centre.where(~_valid(meta))
         .select(F.col("row").alias("at_row"), F.col("col").alias("at_col"), F.explode(steps).alias("step"))
         .select("at_row", "at_col", (F.col("at_row") + F.col("step.r")).alias("row"), (F.col("at_col") + F.col("step.c")).alias("col"))
-        .join(raster.where(_valid(meta)).select(*PIXEL, "value"), PIXEL)
+        .join(shuffled(raster.where(_valid(meta)).select(*PIXEL, "value")), PIXEL)
     )
     if stat == "mean":
         filled = around.groupBy("at_row", "at_col").agg(F.avg("value").alias("value"))
@@ -125,7 +125,7 @@ def slope_from_dem(need: DataFrame, dem: DataFrame, meta: RasterMeta) -> DataFra
         need.where(_inside(meta))
         .select(F.col("row").alias("at_row"), F.col("col").alias("at_col"), F.explode(arms).alias("a"))
         .select("at_row", "at_col", "a.arm", (F.col("at_row") + F.col("a.r")).alias("row"), (F.col("at_col") + F.col("a.c")).alias("col"))
-        .join(heights, PIXEL)
+        .join(shuffled(heights), PIXEL)
         .groupBy("at_row", "at_col")
         .agg(*[F.max(F.when(F.col("arm") == a, F.col("value"))).alias(a) for a in "onswe"])
         .where(F.col("o").isNotNull())

@@ -20,6 +20,15 @@ MIN_TASK_ROWS, MAX_TASK_ROWS = 50_000, 2_000_000
 BUCKETS = 4_096
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, for tables that grow with the data.
+
+    Spark takes a table to be as large as the files it is read from: compressed, and before any ``explode``. A side that looks
+    small by that would go whole through the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def _any_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
@@ -53,9 +62,10 @@ def lookup(
     if right_rows is not None and right_rows * weight <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
     counts, n_keys, n_rows = counts or key_counts(left, keys)
-    used = counts.select(*keys, "_rows").join(right, keys, "inner")
+    asked = counts.select(*keys, "_rows")
     if n_keys * weight <= BROADCAST_ROWS:
-        return left.join(F.broadcast(used.drop("_rows")), keys, how)
+        return left.join(F.broadcast(asked.join(right, keys, "inner").drop("_rows")), keys, how)
+    used = shuffled(asked).join(right, keys, "inner")
     is_hot = F.col("_rows") > n_rows / HOT_SHARE
     hot_keys = counts.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(hot_keys), keys, "left")

@@ -13,6 +13,7 @@ from emberline.functions.dates import clamped_date, day_prefix
 from emberline.functions.geo import RasterMeta
 from emberline.operators import clean, cluster, dissolve, enrich, events, quality, raster, synth, zones
 from emberline.operators.lineage import checkpoint_root, settle
+from emberline.operators.skew import shuffled
 from emberline.plans import jobs
 from emberline.plans.oracle import WATER_LIST, WEATHER_LIST, XA, XB, YA, YB, crossing, filled, medians, pixel, slopes, sql
 from emberline.schema import HOTSPOT, WEATHER_COLUMNS
@@ -435,9 +436,9 @@ def _(spark):
 )
 def _(spark):
     points = settle(cluster.with_cell(clean.clean_hotspots(spark.table("hotspot")), EPS_KM), "points")
-    named = settle(points.select("ord", "cell").join(cluster.components(points, EPS_KM), "cell"), "named")
+    named = settle(shuffled(points.select("ord", "cell")).join(cluster.components(points, EPS_KM), "cell"), "named")
     first = settle(named.groupBy("component").agg(F.min("ord").alias("first_ord")), "first")
-    return named.join(cluster.label(first), "component").select("ord", "first_ord", "label")
+    return shuffled(named).join(cluster.label(first), "component").select("ord", "first_ord", "label")
 
 
 @query(

@@ -5,9 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import quantiles, ranking
+from emberline.operators import cluster, quantiles, ranking, raster
 from emberline.operators.lineage import checkpoint_root, settle
-from emberline.operators.skew import bucket_sizes, hot_keys, lookup, repeat_rows, skew_join
+from emberline.operators.skew import bucket_sizes, hot_keys, lookup, repeat_rows, shuffled, skew_join
 
 
 def rows(df):
@@ -129,3 +129,26 @@ def test_settled_tables_lie_in_the_folder_and_cut_lineage(spark):
     (folder,) = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     assert checkpoint_root(spark).removeprefix("file:").rstrip("/") in folder
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def joins_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_sides_that_grow_with_the_data_are_not_broadcast(spark):
+    """Small files may hold many rows, and ``explode`` makes more of them: none of this may pass through the driver."""
+    from emberline.functions.geo import RasterMeta
+
+    grid = spark.range(400).select((F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), F.lit(1.0).alias("value"))
+    stored, meta = settle(grid, "grid"), RasterMeta(0.0, 10.0, 0.5, 0.5, 20, 20, -1.0)
+    points = spark.range(50).select((F.col("id") / 100).alias("lat"), F.lit(3.0).alias("lon"))
+    cells = settle(cluster._extent(cluster.with_cell(points, 5.0), ["cell"]), "cells")
+    a, b = stored.select("row", "col"), stored.select("row", "col", F.lit(1).alias("n"))
+    assert joins_of(a.join(b, ["row", "col"])) == (0, 1)
+    assert joins_of(shuffled(a).join(b, ["row", "col"])) == (1, 0)
+    assert joins_of(cluster._candidates(cells, 5.0)) == (2, 0)
+    assert joins_of(raster.slope_from_dem(a, stored, meta)) == (1, 0)
+    assert joins_of(raster.filled_pixels(a, stored, meta))[1] == 0
+    spread = settle(grid.withColumn("g", F.col("row")), "spread")
+    assert joins_of(quantiles.quantiles(spread, ["g"], "value", {"median": 0.5}))[1] == 0
