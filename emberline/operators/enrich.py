@@ -105,8 +105,7 @@ def add_veg_index_stored(
     """``add_veg_index`` with a window of the store's span, from stored scenes: only folders that a point looks at are read."""
     at = raster.with_pixel(points, meta)
     counts = counts or key_counts(at, CELL_DAY)
-    inside = F.col("row").between(0, meta.rows - 1) & F.col("col").between(0, meta.cols - 1)
-    need = counts[0].select(*CELL_DAY).where(F.col("date").isNotNull() & inside)
+    need = counts[0].select(*CELL_DAY).where(F.col("date").isNotNull())
     waiting = settle(_waiting(need, store.span_days), "waiting")
     used = lookup(store.near(waiting, clear_sky), waiting, ["row", "col", "span"], "inner", right_rows=2 * counts[1])
     used = used.withColumn("dates", F.filter("dates", _in_window(store.span_days))).where(F.size("dates") > 0)

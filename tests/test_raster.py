@@ -143,6 +143,22 @@ def test_only_folders_that_are_asked_for_are_opened(spark, tmp_path):
     assert values(enrich.add_veg_index_stored(point, store, meta), "NDVI", "NDWI") == [(0.5, -0.5)]
 
 
+def test_scenes_beyond_the_grid_are_found_and_add_no_folders(spark, tmp_path):
+    from emberline.schema import S2_CLOUD, S2_SCENE
+
+    meta = RasterMeta(0.0, 10.0, 0.01, 0.01, 64, 64, -1.0)
+    rows = range(-3000, 3000, 20)
+    scenes = spark.createDataFrame([(i, r, 7, DAY - dt.timedelta(5), 1.0, 1.0, 3.0) for i, r in enumerate(rows)], S2_SCENE)
+    clouds = spark.createDataFrame([(i, 0.9) for i in range(len(rows))], S2_CLOUD)
+    store = SceneStore.of(str(tmp_path / "scenes"), meta)
+    store.write(scenes, clouds)
+    assert len(list((tmp_path / "scenes").glob("span=*/tile=*"))) <= store.down
+    points = spark.createDataFrame([(i, 10.0 - (r + 0.5) * 0.01, 0.075, DAY) for i, r in enumerate((-3000, 20, 1000, 5))], "id long, lat double, lon double, date date")
+    want = values(enrich.add_veg_index(points, scenes, clouds, meta), "NDVI", "NDWI")
+    assert want.count((0.5, -0.5)) == 3
+    assert values(enrich.add_veg_index_stored(points, store, meta), "NDVI", "NDWI") == want
+
+
 def test_extraction_tables_rename_limit_and_filter(spark):
     fires = at(spark, *[(r, 2) for r in range(9)]).withColumnsRenamed({"lat": "lat_mean", "lon": "lon_mean"})
     fires = fires.select("lat_mean", "lon_mean", F.concat("date", F.lit(" 00:00:00")).alias("date_first"))
