@@ -19,7 +19,7 @@ from emberline.functions.geo import buffered_area, to_6933
 from emberline.functions.rounding import grid_units, np_round, py_round
 from emberline.operators import cluster
 from emberline.operators.lineage import settle
-from emberline.operators.skew import lookup, shuffled
+from emberline.operators.skew import LONG_BYTES, lookup, shuffled
 
 SEED_DATE = date(2020, 1, 1)
 ROUND_DECIMALS = 2
@@ -210,7 +210,8 @@ class FireSplit:
             .select(*keys, "fire_id")
         )
         ids = settle(ids, "cell-days")
-        named = lookup(self.points, ids, keys, "inner", right_rows=ids.count(), counts=_counted(per_day))
+        n_ids, weight = _sized(ids)
+        named = lookup(self.points, ids, keys, "inner", right_rows=n_ids, counts=_counted(per_day), weight=weight)
         return named.select(
             "ord",
             np_round(F.col("lat"), ROUND_DECIMALS).alias("lat"),
@@ -226,6 +227,12 @@ def _counted(counts: DataFrame) -> tuple[DataFrame, int, int]:
     return counts, n_keys, n_rows
 
 
+def _sized(ids: DataFrame) -> tuple[int, int]:
+    """Number of rows, and how many times longer than an ordinary text their ``fire_id``s are: they chain all earlier splits."""
+    n, size = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("fire_id")), F.lit(0))).first()
+    return n, 1 + size // max(n, 1) // LONG_BYTES
+
+
 def separate_fire_events(
     clean: DataFrame, dist_km: float = 2.0, max_gap_days: int = 6, seed_date: date = SEED_DATE
 ) -> FireSplit:
@@ -298,9 +305,9 @@ def fire_points_in_input_order(
     )
     chain = F.concat_ws("_", F.col("label").cast("string"), F.collect_list(F.col("start").cast("string")).over(w))
     ids = settle(starts.withColumn("fire_id", chain).select("component", "seq", "fire_id", "_rows"), "fire-ids")
-    n_ids = ids.count()
+    n_ids, weight = _sized(ids)
     return lookup(
-        walked, ids.drop("_rows"), ["component", "seq"], "inner", right_rows=n_ids, counts=(ids.drop("fire_id"), n_ids, n_rows)
+        walked, ids.drop("_rows"), ["component", "seq"], "inner", n_ids, (ids.drop("fire_id"), n_ids, n_rows), weight
     ).select(
         "ord",
         np_round(F.col("lat"), ROUND_DECIMALS).alias("lat"),

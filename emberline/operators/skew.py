@@ -9,11 +9,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.operators.lineage import settle
 
 HOT_SHARE = 256
 BROADCAST_ROWS = 200_000
+#: Besides, a table goes to all tasks only up to this size: the driver holds it several times over, as rows, as a hash table and in blocks.
+BROADCAST_BYTES = 4 << 20
+#: Of a row in a hash table besides its columns, of a column, and of a text or array unless its size is known.
+ROW_BYTES, VALUE_BYTES, LONG_BYTES = 40, 8, 64
 SALTS = 8
 CHUNK = 8_192
 MIN_TASK_ROWS, MAX_TASK_ROWS = 50_000, 2_000_000
@@ -29,6 +34,17 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def row_bytes(df: DataFrame) -> int:
+    """About the size of a row of ``df`` in a hash table."""
+    long = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return ROW_BYTES + sum(LONG_BYTES if isinstance(f.dataType, long) else VALUE_BYTES for f in df.schema)
+
+
+def few(df: DataFrame, rows: int, weight: int = 1) -> bool:
+    """Whether ``rows`` rows of ``df``, each as large as ``weight`` ordinary ones, may go to all tasks."""
+    return rows * weight <= BROADCAST_ROWS and rows * weight * row_bytes(df) <= BROADCAST_BYTES
+
+
 def _any_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
@@ -53,17 +69,17 @@ def lookup(
 
     ``right_rows`` is the known size of ``right``, ``counts`` the known ``key_counts`` of ``left``, ``weight``
     the size of a right row in ordinary rows.
-    A right side of few rows is broadcast. Otherwise only the keys that ``left`` really uses are fetched;
+    A right side of few rows, and few bytes, is broadcast. Otherwise only the keys that ``left`` really uses are fetched;
     if these are few they are broadcast, else the rows of hot keys (and of NULL keys, which match nothing)
     get their answers from a broadcast of fewer than 256 rows and stay where they are, and the rest is
     shuffled.
     """
     keys = list(keys)
-    if right_rows is not None and right_rows * weight <= BROADCAST_ROWS:
+    if right_rows is not None and few(right, right_rows, weight):
         return left.join(F.broadcast(right), keys, how)
     counts, n_keys, n_rows = counts or key_counts(left, keys)
     asked = counts.select(*keys, "_rows")
-    if n_keys * weight <= BROADCAST_ROWS:
+    if few(right, n_keys, weight):
         return left.join(F.broadcast(asked.join(right, keys, "inner").drop("_rows")), keys, how)
     used = shuffled(asked).join(right, keys, "inner")
     is_hot = F.col("_rows") > n_rows / HOT_SHARE

@@ -12,7 +12,7 @@ from emberline.functions.rounding import to_count
 from emberline.functions.uniform import digest, draw_between, draw_int
 from emberline.operators import raster, zones
 from emberline.operators.lineage import settle
-from emberline.operators.skew import BROADCAST_ROWS, lookup, repeat_rows, shuffled
+from emberline.operators.skew import few, lookup, repeat_rows, shuffled
 
 PER_FIRE = 30
 ALPHA = 0.5
@@ -78,7 +78,7 @@ def _on_fire(points: DataFrame, fires: DataFrame, n_fires: int) -> DataFrame:
     """Mark points that have exactly a fire's coordinates. Drawn coordinates hardly repeat: no skew here."""
     places = fires.select(F.col("lat_mean").alias("lat"), F.col("lon_mean").alias("lon")).distinct()
     places = places.withColumn("_fire", F.lit(True))
-    places = F.broadcast(places) if n_fires <= BROADCAST_ROWS else shuffled(places)
+    places = F.broadcast(places) if few(places, n_fires) else shuffled(places)
     return points.join(places, ["lat", "lon"], "left").withColumn("_fire", F.coalesce("_fire", F.lit(False)))
 
 

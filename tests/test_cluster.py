@@ -133,3 +133,20 @@ def test_no_nested_loop_in_the_neighbour_search(spark):
     cells = settle(cluster._extent(p, ["cell"]), "cells")
     plan = cluster._candidates(cells, 5.0)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_refining_and_roots_read_written_tables(spark, monkeypatch):
+    """The driver plans each level and each round once: nothing that they read is worked out again."""
+    places = [(i, 40.0 + i * 7919 % 10007 / 66713, 3.0 + i * 104729 % 9973 / 66487) for i in range(2000)]
+    points = settle(cluster.with_cell(spark.createDataFrame(places, "ord long, lat double, lon double"), 2.0), "points")
+    written = {}
+
+    def noted(df, name):
+        written.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df, name)
+
+    monkeypatch.setattr(cluster, "settle", noted)
+    roots = cluster.components(points, 2.0)
+    assert max(plan.count("Join") for plan in written["judged"][1:]) <= 3  # before: seven and more from the second level on
+    assert "undecided" in written and "roots" in written
+    assert roots.count() == points.select("cell").distinct().count()

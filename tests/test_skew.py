@@ -5,9 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import cluster, quantiles, ranking, raster
+from emberline.operators import cluster, events, quantiles, ranking, raster
 from emberline.operators.lineage import checkpoint_root, settle
-from emberline.operators.skew import bucket_sizes, hot_keys, lookup, repeat_rows, shuffled, skew_join
+from emberline.operators.skew import bucket_sizes, few, hot_keys, lookup, repeat_rows, shuffled, skew_join
 
 
 def rows(df):
@@ -152,3 +152,26 @@ def test_sides_that_grow_with_the_data_are_not_broadcast(spark):
     assert joins_of(raster.filled_pixels(a, stored, meta))[1] == 0
     spread = settle(grid.withColumn("g", F.col("row")), "spread")
     assert joins_of(quantiles.quantiles(spread, ["g"], "value", {"median": 0.5}))[1] == 0
+
+
+def test_few_counts_bytes_not_only_rows(spark):
+    narrow = spark.range(1).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    wide = narrow.select("k", *[F.col("v").alias(f"v{i}") for i in range(20)])
+    chained = narrow.select("k", F.col("v").cast("string").alias("fire_id"))
+    assert few(narrow, 50_000) and not few(narrow, 150_000)
+    assert few(wide, 15_000) and not few(wide, 50_000)
+    assert few(chained, 30_000) and not few(chained, 30_000, weight=10)
+
+
+def test_wide_answers_to_many_keys_are_not_broadcast(spark):
+    left = spark.range(60_000).select("id", F.col("id").alias("k"))
+    right = left.select("k", *[F.col("id").alias(f"v{i}") for i in range(12)])
+    got = lookup(left, right, ["k"])
+    assert "looked-up" in "".join(got.inputFiles())  # took the way of many keys; a broadcast would not be written
+    assert got.count() == 60_000 and got.where("v11 <> id OR v0 IS NULL").isEmpty()
+
+
+def test_size_of_chained_ids_weighs(spark):
+    ids = spark.range(4).select(F.lit("x" * 640).alias("fire_id"))
+    assert events._sized(ids) == (4, 11)
+    assert events._sized(ids.limit(0)) == (0, 1)
