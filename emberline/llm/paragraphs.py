@@ -24,6 +24,7 @@ Other columns, whatever their names, are not read.
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -55,12 +56,14 @@ _TURN = np.cumprod(np.full(SHINGLE, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: 0 between words, 1 in a word, 2 a word of its own; and the lower case. Beyond ``_PLANES`` there are ideographs."""
+    """By code point: 0 between words, 1 in a word, 2 a word of its own; and a hash of the lower case. Beyond ``_PLANES`` there are ideographs."""
     every = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(_PLANES)]
     kind = np.array([not _BETWEEN.match(c) for c in every] + [2], np.uint8)
     for start, end in _ALONE:
         kind[start:end] *= 2
-    return kind, np.array([ord(c.lower()[0]) for c in every] + [0], np.uint64)
+    lower = np.array([ord(c.lower()[0]) for c in every] + [0], np.uint64)
+    with np.errstate(over="ignore"):
+        return kind, _mixed(lower + np.uint64(1))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -72,9 +75,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _hashes(x: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A hash of each run of ``n`` elements from ``start`` on."""
     total = int(n.sum())
-    place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    offset = np.cumsum(n) - n
+    place = np.arange(total) - np.repeat(offset, n)
     powers = np.cumprod(np.full(int(n.max()), 0x9E3779B97F4A7C15, np.uint64))
-    return _mixed(np.add.reduceat(x[np.repeat(start, n) + place] * powers[place], np.cumsum(n) - n) + n.astype(np.uint64))
+    side_by_side = np.array_equal(start - start[0], offset)
+    some = x[start[0] : start[0] + total] if side_by_side else x[np.repeat(start, n) + place]
+    return _mixed(np.add.reduceat(some * powers[place], offset) + n.astype(np.uint64))
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -95,20 +101,26 @@ class Words(NamedTuple):
 
 
 def words_of(texts: list[str | None]) -> Words | None:
-    kind, lower = worker_state("paragraph_letters", _letters)
+    kind, hashed = worker_state("paragraph_letters", _letters)
     codes = np.frombuffer("\n".join([t or "" for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
     begin = np.cumsum([0] + [len(t or "") + 1 for t in texts])
-    at = np.minimum(codes, _PLANES)
-    sort = kind[at]
+    sort = kind.take(codes, mode="clip")
     inside = np.flatnonzero(sort)
     if not len(inside):
         return None
-    before = np.concatenate([[0], sort[:-1]])[inside]
-    first = inside[(sort[inside] == 2) | (before != 1)]
-    after = np.concatenate([sort[1:], [0]])[inside]
-    last = inside[(sort[inside] == 2) | (after != 1)]
+    apart, alone = inside[1:] != inside[:-1] + 1, sort[inside] == 2
+    if alone.any():
+        apart |= alone[1:] | alone[:-1]
+    edge = np.concatenate([[0], np.flatnonzero(apart) + 1])
+    n = np.diff(np.append(edge, len(inside)))
+    first, last = inside[edge], inside[edge + n - 1]
+    letters = codes[inside]
+    letter = hashed.take(letters, mode="clip")
     with np.errstate(over="ignore"):
-        word = _hashes(_mixed(np.where(at < _PLANES, lower[at], codes).astype(np.uint64) + np.uint64(1)), first, last - first + 1)
+        beyond = letters >= _PLANES
+        if beyond.any():
+            letter[beyond] = _mixed(letters[beyond].astype(np.uint64) + np.uint64(1))
+        word = _hashes(letter, edge, n)
     breaks = np.append(np.flatnonzero(codes == 10), len(codes))
     text = np.searchsorted(begin, first, side="right") - 1
     return Words(text, first, last, word, np.searchsorted(breaks, first), begin, breaks)
@@ -130,7 +142,8 @@ def _segments(w: Words) -> tuple[np.ndarray, ...]:
     ends = np.zeros(len(word), bool)
     if len(word) > 2 * RADIUS + CONTEXT:
         n = len(word) - CONTEXT + 1
-        g = _hashes(word, np.arange(n), np.full(n, CONTEXT))
+        with np.errstate(over="ignore"):
+            g = _mixed(sum(word[k : n + k] * _TURN[k] for k in range(CONTEXT)) + np.uint64(CONTEXT))
         g = np.concatenate([np.zeros(CONTEXT - 1, np.uint64), g])  # by the last word
         near = _least(g, RADIUS)
         i = np.arange(RADIUS, len(word) - RADIUS)
@@ -346,9 +359,15 @@ def _chained(left: DataFrame) -> DataFrame:
 
 
 def _contexts(narrow: DataFrame, edges: DataFrame) -> DataFrame:
-    """``_key, start, before, before_at, after, after_at``: the words around segments that ``edges`` names, outwards."""
+    """``_key, start, before, before_at, after, after_at``: the words beyond segments on the sides that ``edges`` names, outwards.
+
+    ``edges`` has ``_key, start, identity`` and ``_after``, the side. A side that it does not name is NULL.
+    """
+    # The low bit of a place is the side; text keys are hashes, so places of different texts spread by them.
+    place = F.col("_key").bitwiseXOR(2 * F.col("start") + F.col("_after").cast("long"))
     wanted, texts = key_filter(edges.select("identity").distinct(), "identity"), key_filter(edges.select("_key").distinct(), "_key")
-    ddl = "_key long, start long, before array<long>, before_at array<long>, after array<long>, after_at array<long>"
+    places = key_filter(edges.select(place.alias("place")), "place")
+    ddl = "_key long, start long, before array<long>, before_at array<int>, after array<long>, after_at array<int>"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,16 +379,24 @@ def _contexts(narrow: DataFrame, edges: DataFrame) -> DataFrame:
                     continue
                 a, n, _, identity = _segments(w)
                 hit = np.flatnonzero(passes(wanted, identity))
+                own = w.text[a[hit]]
+                key, start = np.array(keys[at : at + len(portion)], np.int64)[own], w.first[a[hit]] - w.begin[own]
+                sides = np.stack([passes(places, key ^ (2 * start + side)) for side in (0, 1)])
+                some_side = sides.any(axis=0)
+                hit, sides = hit[some_side], sides[:, some_side]
                 if not len(hit):
                     continue
                 edge = np.searchsorted(w.text, np.arange(len(w.begin)))
+                hashes = w.word.view(np.int64)
                 out = []
-                for i in hit.tolist():
+                for i, before, after in zip(hit.tolist(), *sides.tolist()):
                     own, first, end = int(w.text[a[i]]), int(a[i]), int(a[i] + n[i])
                     b, c = max(first - REACH, int(edge[own])), min(end + REACH, int(edge[own + 1]))
-                    hashes, base = w.word.view(np.int64), w.begin[own]
+                    base = w.begin[own]
                     out.append(
-                        (keys[at + own], int(w.first[first] - base), hashes[b:first][::-1], w.first[b:first][::-1] - base, hashes[end:c], w.last[end:c] + 1 - base)
+                        (keys[at + own], int(w.first[first] - base))
+                        + ((hashes[b:first][::-1], w.first[b:first][::-1] - base) if before else (None, None))
+                        + ((hashes[end:c], w.last[end:c] + 1 - base) if after else (None, None))
                     )
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
 
@@ -393,14 +420,20 @@ def passages(narrow: DataFrame, segments: DataFrame, lines: DataFrame) -> DataFr
     )
     span = chained.groupBy("_doc", "_chain").agg(F.min("seq").alias("_from"), F.max("seq").alias("_last"))
     runs = settle(runs.join(span, ["_doc", "_chain"]), "passage-stretches")
-    ends = [runs.select(F.col(f"{e}._key").alias("_key"), F.col(f"{e}.start").alias("start"), F.col(f"{e}.identity").alias("identity")) for e in ("_a", "_b")]
-    kept = [runs.select(F.col(f"{e}._first._key").alias("_key"), F.col(f"{e}._first.start").alias("start"), F.col(f"{e}.identity").alias("identity")) for e in ("_a", "_b")]
-    around = settle(_contexts(narrow, ends[0].union(ends[1]).union(kept[0]).union(kept[1])), "contexts")
+    # Words beyond a stretch's end count only where the chain ends too, and only on that side.
+    sides = [("_a", runs.where("_a.seq = _from"), False), ("_b", runs.where("_b.seq = _last"), True)]
+    edges = [
+        df.select(F.col(f"{e}{at}._key").alias("_key"), F.col(f"{e}{at}.start").alias("start"), F.col(f"{e}.identity").alias("identity"), F.lit(after).alias("_after"))
+        for e, df, after in sides
+        for at in ("", "._first")
+    ]
+    around = settle(_contexts(narrow, reduce(DataFrame.union, edges)), "contexts")
 
     def grown(df: DataFrame, end: str, side: str) -> DataFrame:
         """``df`` with the words that a stretch's end has in common with the first copy beyond it, and their outer place."""
-        own = around.select(F.col("_key").alias("_ok"), F.col("start").alias("_os"), F.col(side).alias("_own"), F.col(f"{side}_at").alias("_own_at"))
-        other = around.select(F.col("_key").alias("_fk"), F.col("start").alias("_fs"), F.col(side).alias("_other"))
+        around_side = around.where(F.col(side).isNotNull())
+        own = around_side.select(F.col("_key").alias("_ok"), F.col("start").alias("_os"), F.col(side).alias("_own"), F.col(f"{side}_at").alias("_own_at"))
+        other = around_side.select(F.col("_key").alias("_fk"), F.col("start").alias("_fs"), F.col(side).alias("_other"))
         at = df.withColumns({"_ok": F.col(f"{end}._key"), "_os": F.col(f"{end}.start"), "_fk": F.col(f"{end}._first._key"), "_fs": F.col(f"{end}._first.start")})
         both = lookup(at.join(own, ["_ok", "_os"], "left"), other, ["_fk", "_fs"], "left", weight=128)
         differ = F.array_position(F.zip_with("_own", "_other", lambda x, y: ~F.coalesce(x == y, F.lit(False))), True)

@@ -6,6 +6,7 @@ import re
 import pytest
 from corpus_fixtures import corpus  # noqa: F401
 from emberline.llm import paragraphs
+from pyspark.sql import functions as F
 
 SYLLABLES = "ka lo mi ren sto bu dra fel gin hop jat kru lis".split()
 
@@ -173,5 +174,20 @@ def test_long_text_columns_of_any_name_and_null_ids(spark):
     assert {r.kept_doc_id for r in got} == {7} and {r.members for r in got} == {3}
 
 
+def test_words_beyond_a_segment_only_where_asked(corpus):
+    rng = random.Random(21)
+    shared = prose(rng, 60)
+    narrow = paragraphs._narrow(corpus(" ".join([prose(rng, 50), shared, prose(rng, 50), shared, prose(rng, 50)]), prose(rng, 90)), "doc_id", "text")
+    segments = paragraphs.occurrences(narrow).where("paragraph IS NULL").select("_key", "start", "identity")
+    twice = segments.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.min("_key").alias("_key")).where("n > 1")
+    one, other = twice.orderBy("start").limit(2).collect()
+    rows = [(one._key, one.start, one.identity, True), (other._key, other.start, other.identity, False)]
+    edges = narrow.sparkSession.createDataFrame(rows, "_key long, start long, identity long, _after boolean")
+    first, second = sorted(paragraphs._contexts(narrow, edges).collect(), key=lambda r: r.start)
+    assert (first.start, second.start) == (one.start, other.start)
+    assert first.before is None and len(first.after) == len(first.after_at) == paragraphs.REACH
+    assert second.after is None and len(second.before) == len(second.before_at) == paragraphs.REACH
+
+
 def test_band_recall_at_the_threshold():
     assert 1 - (1 - paragraphs.SIMILARITY**paragraphs.BAND_ROWS) ** paragraphs.BANDS > 0.99
