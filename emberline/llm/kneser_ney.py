@@ -7,10 +7,12 @@ table that grows with the trusted text, and the model is written as gains: with
     log p(b | a) = log p1(b) + log rest(a) + gain(a, b)
 
 ``gain`` is zero for a pair that was never seen, so the log-probability of a document is a sum over its words, whose two
-numbers come from a vocabulary of at most ``VOCABULARY`` words, plus the gains of its pairs, which are joined: every
-document's distinct pairs are dealt by pair, meet the table of gains, and are added up by document. At most ``FREQUENT``
-pairs, the most frequent ones, are looked up in place instead, so a very common pair is never dealt, and a filter of
-fixed size holds back pairs that are in no trusted text. A document is rejected above the quantile of the held-out
+numbers come from a vocabulary of at most ``VOCABULARY`` words, plus the gains of its pairs, which are joined: the
+distinct pairs of all documents are dealt by pair, meet the table of gains, and are added up by document. At most
+``FREQUENT`` pairs, the most frequent ones, are looked up in place instead, so a very common pair is never dealt, and a
+filter of fixed size holds back pairs that are in no trusted text. Pairs are dealt as columns of numbers, sorted and
+compressed, a row for each bucket of what a task has gathered from some ``FLUSH`` words; a pair has one entry a document
+there, so no bucket outgrows the others by a common pair. A document is rejected above the quantile of the held-out
 trusted documents of its language and length class.
 
 Strata come from the language column: a value with ``MIN_TRUSTED`` trusted documents or more is a stratum of its own (the 255 largest),
@@ -33,10 +35,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import key_filter, passes, quoted, rows, scan, ship
+from emberline.llm.common import arrow_schema, key_filter, passes, quoted, rows, scan, ship
 from emberline.operators.lineage import settle
 from emberline.operators.quantiles import quantiles
-from emberline.operators.skew import hot_keys
 
 ship(__name__)
 
@@ -51,8 +52,10 @@ HELD_OUT, FOLDS = 1, 4
 BROADCAST_IDS = 500_000
 #: A pair of words is one number: the first word's above this many bits of the second's.
 BITS = 20
-#: So many words are counted before a task hands on what it has.
-FLUSH = 1 << 20
+#: So many words are counted before a task hands on what it has; with pairs, so many texts at most, numbered in ``TEXT_BITS`` bits.
+FLUSH, TEXT_BITS = 1 << 20, 16
+#: Pairs are dealt to so many buckets: when they are counted, and when they are asked for; there more if a bucket would have more pairs.
+COUNT_BUCKETS, ASK_BUCKETS, BUCKET_PAIRS = 256, 32, 1 << 23
 
 #: Kana, ideographs, Thai, Lao and Khmer have no spaces between words: a code point is a word there.
 _NO_SPACES = "฀-໿ក-៿぀-ヿ㐀-鿿豈-﫿"
@@ -99,17 +102,21 @@ class Vocabulary:
     def __len__(self) -> int:
         return 2 * self.strata + len(self.keys)
 
-    def numbers(self, stratum: int, keys: np.ndarray) -> np.ndarray:
+    def numbers(self, stratum: np.ndarray, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.full(len(keys), stratum, np.int64)
+            return stratum
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, 2 * self.strata + at, stratum)
 
-    def pairs(self, stratum: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the words, and each with the one before it as a pair."""
-        words = self.numbers(stratum, keys)
-        before = np.concatenate([[self.strata + stratum], words[:-1]])
-        return words, before[: len(words)] << BITS | words
+    def pairs(self, strata: list[int], texts: list[np.ndarray]) -> np.ndarray:
+        """Each word of some texts, none of them empty, with the one before it as a pair."""
+        if not texts:
+            return np.zeros(0, np.int64)
+        stratum, sizes = np.array(strata, np.int64), np.array([*map(len, texts)])
+        words = self.numbers(np.repeat(stratum, sizes), np.concatenate(texts))
+        before = np.concatenate([[0], words[:-1]])
+        before[np.cumsum(sizes) - sizes] = self.strata + stratum
+        return before << BITS | words
 
     def strata_of(self) -> np.ndarray:
         each = np.arange(self.strata)
@@ -162,32 +169,74 @@ def heavy(df: DataFrame, c: str, limit: int) -> Column:
     return F.lit(False) if least is None else _heaviness(c) >= least
 
 
-def _counted(batches: Iterator[pa.RecordBatch], codes, name: str) -> Iterator[pa.RecordBatch]:
-    """``_lang, name, c`` from an array of codes a text, combined a million at a time."""
-    waiting: dict[int, list[np.ndarray]] = {}
-    size = 0
+def _mixed(pairs: np.ndarray) -> np.ndarray:
+    x = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for lang, arrays in waiting.items():
-            code, n = np.unique(np.concatenate(arrays), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"_lang": pa.array(np.full(len(code), lang, np.int32)), name: pa.array(code), "c": pa.array(n)})
 
-    for langs, texts in rows(batches, "_lang", "_text", size=64):
-        for lang, t in zip(langs, texts):
-            found = codes(lang, t)
-            waiting.setdefault(lang, []).append(found)
-            size += len(found)
-            if size >= FLUSH:
-                yield from out()
-                waiting, size = {}, 0
-    yield from out()
+def _buckets(pairs: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets, of ``n``, that ``pairs`` fall into, and the places in each, ascending."""
+    bucket = ((_mixed(pairs).view(np.uint64) >> np.uint64(24)) % np.uint64(n)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for start, end in zip(edges, [*edges[1:], len(order)]):
+        yield int(bucket[order[start]]), order[start:end]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up, as few bytes each as the largest needs: first bytes first, compressed."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    planes = numbers.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data[1:], decompressed_size=data[0] * n, codec="zstd", asbytes=True), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : data[0]] = planes.reshape(data[0], n).T
+    return out.view("<i8")[:, 0].astype(np.int64)
+
+
+def packed_pairs(pairs: np.ndarray) -> bytes:
+    """Ascending pairs."""
+    return packed(np.diff(pairs, prepend=0))
+
+
+def unpacked_pairs(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n))
+
+
+def _summed(pairs: list[np.ndarray], c: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs, ascending, with the sums of their counts."""
+    pair, n = np.concatenate(pairs), np.concatenate(c)
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    edges = np.flatnonzero(np.diff(pair, prepend=-1))
+    return pair[edges], np.add.reduceat(n[order], edges) if len(edges) else n
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """``_lang, word, c`` over all of ``texts`` (``_lang, _text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(batches, Texts().keys, "word")
+        read = Texts()
+        waiting: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, arrays in waiting.items():
+                word, n = np.unique(np.concatenate(arrays), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"_lang": pa.array(np.full(len(word), lang, np.int32)), "word": pa.array(word), "c": pa.array(n)})
+
+        for langs, texts in rows(batches, "_lang", "_text", size=64):
+            for lang, t in zip(langs, texts):
+                found = read.keys(lang, t)
+                waiting.setdefault(lang, []).append(found)
+                size += len(found)
+                if size >= FLUSH:
+                    yield from out()
+                    waiting, size = {}, 0
+        yield from out()
 
     found = scan(texts.select("_lang", "_text"), run, "_lang int, word long, c long")
     return settle(found.groupBy("_lang", "word").agg(F.sum("c").alias("c")), "kneser-ney-words")
@@ -195,14 +244,52 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``pair, c`` over all of ``texts``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Texts()
-        for b in _counted(batches, lambda lang, t: vocabulary.pairs(lang, own.keys(lang, t))[1], "pair"):
-            yield b.select(["pair", "c"])
-
-    found = scan(texts.select("_lang", "_text"), run, "pair long, c long")
-    return settle(found.groupBy("pair").agg(F.sum("c").alias("c")), "kneser-ney-pairs")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(COUNT_BUCKETS, tasks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, langs, waiting, size = Texts(), [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pair, c = np.unique(vocabulary.pairs(langs, waiting), return_counts=True)
+            parts = list(_buckets(pair, buckets))
+            columns = {
+                "bucket": pa.array([b for b, _ in parts], pa.int32()),
+                "size": pa.array([len(at) for _, at in parts], pa.int32()),
+                "pairs": pa.array([packed_pairs(pair[at]) for _, at in parts], pa.binary()),
+                "counts": pa.array([packed(c[at]) for _, at in parts], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+        for some, texts in rows(batches, "_lang", "_text", size=64):
+            for lang, t in zip(some, texts):
+                keys = read.keys(lang, t)
+                if len(keys):
+                    langs.append(lang)
+                    waiting.append(keys)
+                    size += len(keys)
+                if size >= FLUSH:
+                    yield from out()
+                    langs, waiting, size = [], [], 0
+        yield from out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counts, size, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, FLUSH
+        for sizes, some, c in rows(batches, "size", "pairs", "counts"):
+            for n, p, x in zip(sizes, some, c):
+                pairs.append(unpacked_pairs(p, n))
+                counts.append(unpacked(x, n))
+                size += n
+                if size >= least:
+                    pair, total = _summed(pairs, counts)
+                    pairs, counts, size = [pair], [total], len(pair)
+                    least = max(FLUSH, 2 * size)
+        pair, total = _summed(pairs, counts)
+        for start in range(0, len(pair), FLUSH):
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pair[start : start + FLUSH]), "c": pa.array(total[start : start + FLUSH])})
+
+    found = scan(texts.select("_lang", "_text"), count, "bucket int, size int, pairs binary, counts binary")
+    return settle(scan(found.repartition(tasks, "bucket"), add, "pair long, c long"), "kneser-ney-pairs")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -272,11 +359,6 @@ def model(words: DataFrame, pairs: DataFrame, vocabulary: Vocabulary) -> Model:
     return Model(vocabulary, single, rest, total, p1, discount, trained)
 
 
-def _mixed(pairs: np.ndarray) -> np.ndarray:
-    x = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
-
-
 def gain_table(pairs: DataFrame, fitted: Model) -> DataFrame:
     """``pair, c, gain, mixed`` of every pair; worked out from the counts wherever it is read, never written."""
 
@@ -289,70 +371,187 @@ def gain_table(pairs: DataFrame, fitted: Model) -> DataFrame:
     return scan(pairs.select("pair", "c"), run, "pair long, c long, gain double, mixed long")
 
 
+#: What is dealt. To a bucket: a row of the table (``batch`` -1: ``size`` pairs with their counts), or of what a batch of ``n`` texts asks for (pairs, each
+#: with the text's number in the batch and how often it is there). Rows that have no pairs hold the batch's texts, as arrays, and pass by the table.
+_ASKED = "bucket int, batch long, n int, size int, pairs binary, times binary, texts binary"
+_KEPT = ["ids", "langs", "chars", "n_words", "likes", "bits"]
+
+
+def _kept(kind: str) -> str:
+    return f"ids array<{kind}>, langs array<int>, chars array<long>, n_words array<long>, likes array<int>, bits array<double>"
+
+
+def _dealt_table(pairs: DataFrame, buckets: int, kind: str) -> DataFrame:
+    schema = f"{_ASKED}, {_kept(kind)}"
+    whole = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pair, c = _summed([x for x, _ in waiting], [x for _, x in waiting])
+            yield _rows_of(whole, -1, 0, [(b, pair[at], c[at], None) for b, at in _buckets(pair, buckets)])
+
+        for b in batches:
+            waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= FLUSH:
+                yield from out()
+                waiting, size = [], 0
+        if waiting:
+            yield from out()
+
+    return scan(pairs.select("pair", "c"), run, schema)
+
+
+def _rows_of(schema: pa.Schema, batch: int, n: int, parts: list[tuple], kept: dict[str, pa.Array] | None = None, place: int = 0) -> pa.RecordBatch:
+    """A row for each of ``parts`` (bucket, pairs, how often, texts or None), and one at bucket ``place`` for the texts kept, if any."""
+    more = 0 if kept is None else 1
+    some = {
+        "bucket": [b for b, *_ in parts] + [place] * more,
+        "batch": [batch] * (len(parts) + more),
+        "n": [n] * (len(parts) + more),
+        "size": [len(p) for _, p, *_ in parts] + [0] * more,
+        "pairs": [packed_pairs(p) for _, p, *_ in parts] + [None] * more,
+        "times": [packed(t) for _, _, t, _ in parts] + [None] * more,
+        "texts": [None if x is None else packed(x) for *_, x in parts] + [None] * more,
+    }
+    columns = []
+    for f in schema:
+        if f.name in some:
+            columns.append(pa.array(some[f.name], f.type))
+        elif kept is None:
+            columns.append(pa.nulls(len(parts), f.type))
+        else:
+            columns.append(pa.concat_arrays([pa.nulls(len(parts), f.type), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), kept[f.name]).cast(f.type)]))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
 def log_probabilities(docs: DataFrame, fitted: Model, pairs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """``_id, _lang, chars, n_words, bits`` of every document of ``docs`` (``_id, _lang, _text``); no bits without words or model.
 
-    A task asks once for texts that are equal; pairs that a large share of all texts asks for get their gains from a
-    broadcast of fewer than 256 rows.
+    A batch of texts, as a task reads them, asks once for those that are equal; ``docs`` has to come in the same order if a task is run again.
     """
     kind = docs.schema["_id"].dataType.simpleString()
     often = heavy(pairs, "c", frequent)
     top = gain_table(pairs.where(often), fitted).select("pair", "gain").toArrow()
-    table = gain_table(pairs.where(~often), fitted)
     order = np.argsort(top.column(0).to_numpy())
     known, known_gain = top.column(0).to_numpy()[order], top.column(1).to_numpy()[order].astype(np.float32)
-    words, vocabulary = key_filter(table, "mixed"), fitted.vocabulary
+    others = pairs.where(~often)
+    buckets = max(ASK_BUCKETS, -(-others.count() // BUCKET_PAIRS))
+    words, vocabulary = key_filter(gain_table(others, fitted), "mixed"), fitted.vocabulary
     single, rest, trained = fitted.single, fitted.rest, fitted.trained
-
-    def own(lang: int, keys: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Bits of a text but for the pairs that are not at hand, and these."""
-        number, pairs = vocabulary.pairs(lang, keys)
-        bits = float(single[number].sum() + rest[pairs >> BITS].sum())
-        pair, n = np.unique(pairs, return_counts=True)
+    schema = f"{_ASKED}, {_kept(kind)}"
+    whole = arrow_schema(schema)
+
+    def own(strata: list[int], numbers: list[int], texts: list[np.ndarray], n: int) -> tuple[np.ndarray, list[tuple]]:
+        """Bits of ``n`` texts, of which those with ``numbers`` have words, but for the pairs that are not at hand; and these."""
+        sizes = np.array([*map(len, texts)], np.int64)
+        code = np.sort(vocabulary.pairs(strata, texts) << TEXT_BITS | np.repeat(np.array(numbers, np.int64), sizes))
+        edges = np.flatnonzero(np.diff(code, prepend=-1))
+        times = np.diff(edges, append=len(code))
+        pair, text = code[edges] >> TEXT_BITS, code[edges] & ((1 << TEXT_BITS) - 1)
+        bits = np.bincount(text, (single[pair & ((1 << BITS) - 1)] + rest[pair >> BITS]) * times, n)
         if len(known):
             at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
             here = known[at] == pair
-            bits += float((known_gain[at] * n)[here].sum(dtype=np.float64))
-            pair, n = pair[~here], n[~here]
+            bits += np.bincount(text[here], (known_gain[at] * times)[here], n)
+            pair, text, times = pair[~here], text[~here], times[~here]
         asked = passes(words, _mixed(pair))
-        return bits, pair[asked], n[asked]
-
-    names = ["_row", "_like", "_id", "_lang", "chars", "n_words", "bits", "pairs", "times"]
+        pair, text, times = pair[asked], text[asked], times[asked]
+        return bits, [(b, pair[at], times[at], text[at]) for b, at in _buckets(pair, buckets)]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        read, batch = Texts(), TaskContext.get().partitionId() << 32
+        ids, seen, likes, chars, n_words, langs, asking, waiting, size = [], {}, [], [], [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            n = len(likes)
+            bits, parts = own([langs[i] for i in asking], asking, waiting, n)
+            none = np.ones(n, bool)
+            none[asking] = False
+            kept = {
+                "ids": pa.concat_arrays(ids),
+                "langs": pa.array(langs, pa.int32()),
+                "chars": pa.array(chars, pa.int64()),
+                "n_words": pa.array(n_words, pa.int64()),
+                "likes": pa.array(likes, pa.int32()),
+                "bits": pa.array(bits, pa.float64(), mask=none),
+            }
+            return _rows_of(whole, batch, n, parts, kept, (batch + (batch >> 32)) % buckets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, seen = Texts(), {}
         for b in batches:
             for start in range(0, b.num_rows, 64):
                 part = b.slice(start, 64)
-                out = []
-                for row, lang, t in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_row", "_lang", "_text"))):
-                    like = seen.setdefault((lang, xxhash.xxh128_digest((t or "").encode("utf-8", "surrogatepass"))), row)
-                    keys = read.keys(lang, t)
-                    none = np.zeros(0, np.int64)
-                    bits, pair, n = own(lang, keys) if len(keys) and trained[lang] else (None, none, none)
-                    out.append((like, len(t or ""), len(keys), bits, *((pair, n) if like == row else (none, none))))
-                like, chars, size, bits, pairs, times = map(list, zip(*out))
-                offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (pairs, times)]
-                at = lambda c: part.column(part.schema.get_field_index(c))
-                columns = [at("_row"), pa.array(like, pa.int64()), at("_id"), at("_lang"), *(pa.array(x, pa.int64()) for x in (chars, size))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.float64()), *lists], names=names)
-
-    numbered = docs.select("_id", "_lang", "_text").withColumn("_row", F.monotonically_increasing_id())
-    types = f"_row long, _like long, _id {kind}, _lang int, chars long, n_words long, bits double, pairs array<long>, times array<long>"
-    found = settle(scan(numbered, run, types), "kneser-ney-texts")
-
-    asked = found.select("_row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("_row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("n"))
-    gains, hot = table.select("pair", "gain"), hot_keys(asked, ["pair"])
-    if hot is None:
-        met = asked.join(gains, "pair")
-    else:
-        hot = F.broadcast(settle(hot, "hot-pairs"))
-        answers = F.broadcast(gains.join(hot, "pair", "left_semi"))
-        met = asked.join(answers, "pair").union(asked.join(hot, "pair", "left_anti").join(gains, "pair"))
-    more = met.groupBy(F.col("_row").alias("_like")).agg(F.sum(F.col("gain") * F.col("n")).alias("more"))
-    whole = F.col("bits") + F.coalesce("more", F.lit(0.0))
-    return found.drop("pairs", "times").join(more, "_like", "left").select("_id", "_lang", "chars", "n_words", whole.alias("bits"))
+                ids.append(part.column(part.schema.get_field_index("_id")))
+                for lang, t in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_lang", "_text"))):
+                    i, t = len(likes), t or ""
+                    like = seen.setdefault((lang, xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass"))), i)
+                    keys = read.keys(lang, t) if like == i else None
+                    likes.append(like)
+                    langs.append(lang)
+                    chars.append(len(t))
+                    n_words.append(n_words[like] if keys is None else len(keys))
+                    if keys is not None and len(keys) and trained[lang]:
+                        asking.append(i)
+                        waiting.append(keys)
+                        size += len(keys)
+                if size >= FLUSH or len(likes) > (1 << TEXT_BITS) - 64:
+                    yield out()
+                    batch += 1
+                    ids, seen, likes, chars, n_words, langs, asking, waiting, size = [], {}, [], [], [], [], [], [], 0
+        if likes:
+            yield out()
+
+    answered = f"batch long, more array<double>, {_kept(kind)}"
+    out_schema = arrow_schema(answered)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, gain = None, [], None
+        for b in batches:
+            column = {f: b.column(i) for i, f in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                bucket, batch, n, size, pairs, times, texts = (column[f][i].as_py() for f in ("bucket", "batch", "n", "size", "pairs", "times", "texts"))
+                if bucket != now:
+                    now, table, gain = bucket, [], None
+                if batch < 0:
+                    table.append((unpacked_pairs(pairs, size), unpacked(times, size)))
+                    continue
+                more = None
+                if pairs is not None:
+                    if gain is None:
+                        table = _summed([np.zeros(0, np.int64), *(x for x, _ in table)], [np.zeros(0, np.int64), *(x for _, x in table)])
+                        gain, table = fitted.gains(*table), table[0]
+                    pair = unpacked_pairs(pairs, size)
+                    if not len(table):
+                        continue
+                    at = np.minimum(np.searchsorted(table, pair), len(table) - 1)
+                    here = table[at] == pair
+                    more = np.bincount(unpacked(texts, size)[here], (gain[at] * unpacked(times, size))[here], n)
+                columns = [pa.array([batch], pa.int64()), pa.array([more], pa.list_(pa.float64())), *(column[f].slice(i, 1) for f in _KEPT)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
+    result = f"_id {kind}, _lang int, chars long, n_words long, bits double"
+    result_schema = arrow_schema(result)
+
+    def finish(group: pa.Table) -> pa.Table:
+        """The texts of a batch, with all that was answered added up."""
+        group = group.combine_chunks()
+        kept = group.filter(group["ids"].is_valid())
+        ids, langs, chars, n_words, likes, bits = (kept[f].combine_chunks().flatten() for f in _KEPT)
+        more = np.zeros(len(ids))
+        for x in group["more"].combine_chunks().drop_null():
+            more += x.values.to_numpy()
+        like = likes.to_numpy()
+        total = pa.array((bits.fill_null(0.0).to_numpy() + more)[like], pa.float64(), mask=bits.is_null().to_numpy(zero_copy_only=False)[like])
+        columns = [ids, langs, chars, n_words, total]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, result_schema)], schema=result_schema)
+
+    asked = scan(docs.select("_id", "_lang", "_text"), ask, schema).unionByName(_dealt_table(others, buckets, kind))
+    met = scan(asked.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "batch"), answer, answered)
+    return met.groupBy("batch").applyInArrow(finish, result)
 
 
 def fit(texts: DataFrame, strata: int, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:

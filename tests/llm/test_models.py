@@ -119,6 +119,33 @@ def test_perplexities_against_dictionaries(spark, frequent):
         assert value == (want and pytest.approx(want, rel=1e-6)), docs[i]
 
 
+@pytest.mark.parametrize("bounds", [{"FLUSH": 300, "BUCKET_PAIRS": 7}, {"TEXT_BITS": 7, "COUNT_BUCKETS": 1, "ASK_BUCKETS": 1}])
+def test_perplexities_do_not_depend_on_batches_and_buckets(spark, monkeypatch, bounds):
+    rng = random.Random(5)
+    train = [prose(rng, 30) for _ in range(60)] + ["the cat sat"] * 7
+    docs = [x for i in range(20) for x in (train[i], prose(rng, 40), "", None, "the cat sat on zzz qqq the", train[0])] + ["the cat sat"] * 100
+    frame = lambda texts: spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "_id long, _lang int, _text string").coalesce(2)
+    for k, v in bounds.items():
+        monkeypatch.setattr(kneser_ney, k, v)
+    fitted, pairs = kneser_ney.fit(frame(train), 2)
+    got = {r._id: r for r in kneser_ney.log_probabilities(frame(docs), fitted, pairs, 50).collect()}
+    assert len(got) == len(docs)
+    for lang in (0, 1):
+        # Each language has its own model, of the words it has.
+        for i, want in zip(range(lang, len(docs), 2), plain_perplexities(train[lang::2], docs[lang::2])):
+            value = None if got[i].bits is None else 2 ** (-got[i].bits / got[i].n_words)
+            assert value == (want and pytest.approx(want, rel=1e-6)), docs[i]
+            assert (got[i]._lang, got[i].chars, got[i].n_words) == (lang, len(docs[i] or ""), len(kneser_ney.split_words(docs[i])))
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for numbers in (np.zeros(0, np.int64), np.zeros(3, np.int64), np.array([255, 256, 0]), np.array([(1 << 62) + 1, 5]), rng.integers(0, 1 << 40, 1000)):
+        assert kneser_ney.unpacked(kneser_ney.packed(numbers), len(numbers)).tolist() == numbers.tolist()
+        ascending = np.sort(numbers)
+        assert kneser_ney.unpacked_pairs(kneser_ney.packed_pairs(ascending), len(numbers)).tolist() == ascending.tolist()
+
+
 def test_probabilities_add_up(spark):
     rng = random.Random(7)
     train = [prose(rng, 40) for _ in range(40)]
