@@ -1,8 +1,11 @@
 """Toxicity and perplexity."""
 
+import gc
 import math
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpus_fixtures import corpus, labels  # noqa: F401
 from emberline.llm import kneser_ney, toxicity
+from emberline.operators.lineage import checkpoint_root
 
 SYLLABLES = ["ba", "lo", "mi", "ter", "san", "que", "ri", "no", "da", "vel"]
 BAD = ["worthless", "pathetic", "disgusting", "moron"]
@@ -146,6 +150,32 @@ def test_packed_numbers():
         assert kneser_ney.unpacked_pairs(kneser_ney.packed_pairs(ascending), len(numbers)).tolist() == ascending.tolist()
 
 
+def test_disk_of_a_pair(spark):
+    """All that is written and dealt while texts are scored takes few bytes for each of their pairs."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice(SYLLABLES) for _ in range(5)) for _ in range(5000)]
+    texts = [(i, 0, " ".join(rng.choices(words, k=600))) for i in range(1000)]
+    docs = spark.createDataFrame(texts, "_id long, _lang int, _text string").coalesce(2)
+    fitted, pairs = kneser_ney.fit(docs, 1)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)  # so that files of earlier tests do not go meanwhile
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with larger tables
+    before = disk(spark)
+    try:
+        kneser_ney.log_probabilities(docs, fitted, pairs, 0).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert disk(spark) - before < 20 * 600 * 1000  # most of it for the filter, which has a fixed size
+
+
+def disk(spark):
+    """Bytes of shuffle files and of written tables."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffles = sum(blocks.apply(i).length() for i in range(blocks.size()))
+    return shuffles + sum(p.stat().st_size for p in Path(checkpoint_root(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+
 def test_probabilities_add_up(spark):
     rng = random.Random(7)
     train = [prose(rng, 40) for _ in range(40)]
