@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import METRES_PER_DEGREE, RasterMeta, pixel_of
+from emberline.operators.lineage import settle
 from emberline.operators.skew import key_counts, lookup, shuffled
 
 # Land-cover codes of water and urban areas, the last code of the legend, the label of no cover.
@@ -85,7 +86,9 @@ def sample_filled(
     """Like ``sample``, invalid pixels filled from their neighbourhood. Every pixel is worked out once."""
     at = with_pixel(points, meta, lat, lon)
     counts = counts or key_counts(at, PIXEL)
-    filled = filled_pixels(counts[0], raster, meta, stat, window, offset)
+    # Written out: a union of tables dealt by one key counts as dealt by it, so the lookup joins it without an exchange; where exchanges are
+    # reused it is not dealt so when it runs, and the join fails for unequal numbers of partitions.
+    filled = settle(filled_pixels(counts[0], raster, meta, stat, window, offset), "filled")
     return lookup(at, filled.withColumnRenamed("value", name), PIXEL, counts=counts).drop(*PIXEL)
 
 

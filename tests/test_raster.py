@@ -52,6 +52,24 @@ def test_fill_mean_off_centre(spark):
     assert got == [pytest.approx(sum(cells) / len(cells))]
 
 
+def test_fill_where_hot_and_other_pixels_are_looked_up(spark, forced_big):
+    """Both ways of the lookup read the filled pixels, so their exchanges are reused."""
+    n = 20
+    cells = {(r, c): -1.0 if (r * n + c) % 7 == 0 else float((r * n + c) % 45) for r in range(n) for c in range(n)}
+    cover = spark.createDataFrame([(*rc, v) for rc, v in cells.items()], "row int, col int, value double")
+    asked = [*cells] * 3 + [(1, 1)] * 40
+    points = spark.createDataFrame([(i, n - r - 0.5, c + 0.5) for i, (r, c) in enumerate(asked)], "id long, lat double, lon double")
+
+    def want(r, c):
+        if cells[r, c] >= 0:
+            return cells[r, c]
+        near = [v for i in range(r - 2, r + 3) for j in range(c - 2, c + 3) if (v := cells.get((i, j), -1.0)) >= 0]
+        return min(near, key=lambda v: (-near.count(v), v))
+
+    got = values(raster.sample_filled(points, cover, RasterMeta(0.0, float(n), 1.0, 1.0, n, n, -1.0), "v"), "v")
+    assert got == [want(*rc) for rc in asked]
+
+
 def test_window_without_valid_pixels_is_unusable(spark):
     cover = grid(spark, lambda r, c: -1 if 1 <= r <= 9 and 1 <= c <= 9 else 12)
     coded = raster.sample_filled(at(spark, (5, 5), (0, 0), (1, 1)), cover, META, "code")
